@@ -6,7 +6,7 @@ import importlib
 
 from evalloom.registry import ORACLE, QUERIES, QueryFn
 
-MODULES = ("q_ledger", "q_panel")
+MODULES = ("q_ledger", "q_panel", "q_checks", "q_sampling")
 
 
 def load() -> dict[str, QueryFn]:
