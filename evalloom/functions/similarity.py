@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evalloom.functions.text import jaccard
+from evalloom.functions.text import jaccard_of_sets as jaccard
 
 # Weights of the fingerprint fields and of the set overlaps.
 FIELD_WEIGHTS = {
@@ -38,7 +38,8 @@ def core_similarity(left: Callable[[str], Column], right: Callable[[str], Column
 def fingerprint_similarity(left: Callable[[str], Column], right: Callable[[str], Column]) -> Column:
     """Weighted agreement of two fingerprints, rounded to six places.
 
-    ``left`` and ``right`` turn a field name into a column of that side.
+    ``left`` and ``right`` turn a field name into a column of that side; the three
+    set fields must hold distinct members.
     """
     total = F.lit(0.0)
     for name in ("family", "arity", "relation", "margin_operator"):

@@ -67,6 +67,13 @@ def jaccard(left: Column, right: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(shared / union)
 
 
+def jaccard_of_sets(left: Column, right: Column) -> Column:
+    """As ``jaccard`` for arrays already known to hold distinct members: one intersection suffices."""
+    shared = F.size(F.array_intersect(left, right))
+    union = F.size(left) + F.size(right) - shared
+    return F.when(union == 0, F.lit(0.0)).otherwise(shared / union)
+
+
 def padded_words(text: Column) -> Column:
     """Words joined by single spaces with a space at both ends, for whole-word search."""
     return F.concat(F.lit(" "), F.array_join(words(text), " "), F.lit(" "))
@@ -83,25 +90,46 @@ def _nfkc_casefold(values: pd.Series) -> pd.Series:
     return values.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).casefold())
 
 
-def normalize_answer(text: Column) -> Column:
-    """Compatibility-normalised, case-folded, single-spaced answer without edge punctuation.
+def _fold(text: Column) -> Column:
+    """Compatibility composition and case folding.
 
     Plain ASCII stays in the JVM; only other rows carry their text to Python.
     """
     plain = text.rlike(r"^[\x00-\x7F]*$")
-    folded = F.coalesce(F.when(plain, F.lower(text)), _nfkc_casefold(F.when(~plain, text)))
+    return F.coalesce(F.when(plain, F.lower(text)), _nfkc_casefold(F.when(~plain, text)))
+
+
+def _tidy(folded: Column) -> Column:
     return F.btrim(F.regexp_replace(F.trim(folded), r"\s+", " "), F.lit(ANSWER_EDGE))
 
 
+def normalize_answer(text: Column) -> Column:
+    """Compatibility-normalised, case-folded, single-spaced answer without edge punctuation."""
+    return _tidy(_fold(text))
+
+
+_SEPARATOR = "\x01"
+
+
+def _normalize_all(values: Column) -> Column:
+    """Every text of an array, folded in one call."""
+    folded = F.split(_fold(F.array_join(values, _SEPARATOR)), _SEPARATOR)
+    return F.transform(folded, _tidy)
+
+
 def score_response(content: Column, candidates: Column, gold: Column, refusal: Column) -> Column:
-    """Strict two-key JSON answer to ``status, prediction, confidence, correct``."""
+    """Strict two-key JSON answer to ``status, prediction, confidence, correct``.
+
+    Of two candidates with the same normal form the later one is taken.
+    """
     value = F.try_parse_json(content)
     keys = F.array_sort(F.json_object_keys(F.when(value.isNotNull(), content)))
     answer_type = F.schema_of_variant(F.try_variant_get(value, "$.answer", "variant"))
     confidence_type = F.schema_of_variant(F.try_variant_get(value, "$.confidence", "variant"))
     confidence = F.try_variant_get(value, "$.confidence", "double")
     answer = normalize_answer(F.try_variant_get(value, "$.answer", "string"))
-    picked = F.element_at(F.filter(candidates, lambda c: F.lower(F.trim(c)) == answer), -1)
+    at = F.array_position(F.reverse(_normalize_all(candidates)), answer)
+    picked = F.when(at > 0, F.try_element_at(F.reverse(candidates), at.cast("int")))
     well_formed = (
         (keys == F.array(F.lit("answer"), F.lit("confidence")))
         & (answer_type == "STRING")
