@@ -96,3 +96,67 @@ def islands(
 ) -> DataFrame:
     """Number consecutive runs per key: a row where ``starts`` is true opens a new run."""
     return running(df, keys, order, bucket, {name: ("sum", _as_col(starts).cast("bigint"))})
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str], bucket: str | Column, name: str = "idx") -> DataFrame:
+    """Position of each row per key, counted from 0."""
+    out = running(df, keys, order, bucket, {name: ("sum", F.lit(1).cast("bigint"))})
+    return out.withColumn(name, F.col(name) - 1)
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], bucket: Column) -> DataFrame:
+    """Exact linear percentiles per key without gathering a key's values.
+
+    Equal values are counted first; a bucketed running count over the distinct
+    values then shows which of them cover the wanted positions.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
+    upto = running(counts, keys, [value], bucket, {"__upto": ("sum", "__n")})
+    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
+    placed = upto.join(totals, keys)
+    first, last = F.col("__upto") - F.col("__n"), F.col("__upto") - 1
+    picks = []
+    for name, p in probs.items():
+        at = (F.col("__total") - 1) * p
+        covers = lambda spot: F.when((first <= spot) & (spot <= last), F.col(value))
+        picks += [
+            F.max(covers(F.floor(at))).alias(f"__lo_{name}"),
+            F.max(covers(F.ceil(at))).alias(f"__hi_{name}"),
+            F.max(at - F.floor(at)).alias(f"__w_{name}"),
+        ]
+    got = placed.groupBy(*keys).agg(*picks)
+    return got.select(
+        *keys,
+        *[(F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__w_{n}")).alias(n) for n in probs],
+    )
+
+
+def moving_mean(
+    df: DataFrame, keys: list[str], order: list[str], bucket: str | Column, value: str, half: int, *, block: int = 100_000
+) -> DataFrame:
+    """Centred mean over ``2 * half + 1`` rows, the edge rows repeated beyond both ends.
+
+    Rows are numbered, cut into blocks, and the few rows next to a cut are copied
+    to the neighbouring block.
+    """
+    numbered = ranked(df, keys, order, bucket, "idx")
+    ends = df.groupBy(*keys).agg(
+        F.min_by(value, F.struct(*order)).alias("__first"),
+        F.max_by(value, F.struct(*order)).alias("__last"),
+        F.count(F.lit(1)).alias("__count"),
+    )
+    here, spot = F.floor(F.col("idx") / block), F.col("idx") % block
+    homes = F.array_compact(
+        F.array(
+            F.struct(here.alias("b"), F.lit(True).alias("own")),
+            F.when(spot < half, F.struct((here - 1).alias("b"), F.lit(False).alias("own"))),
+            F.when(spot >= block - half, F.struct((here + 1).alias("b"), F.lit(False).alias("own"))),
+        )
+    )
+    spread = numbered.withColumn("__home", F.explode(homes)).select(*numbered.columns, "__home.b", "__home.own")
+    near = W.partitionBy(*keys, "b").orderBy("idx").rowsBetween(-half, half)
+    summed = spread.withColumn("__sum", F.sum(value).over(near)).filter("own").join(ends, keys)
+    before = F.greatest(F.lit(0), half - F.col("idx"))
+    after = F.greatest(F.lit(0), F.col("idx") + half - (F.col("__count") - 1))
+    mean = (F.col("__sum") + before * F.col("__first") + after * F.col("__last")) / (2 * half + 1)
+    return summed.withColumn("smooth", mean).select(*numbered.columns, "smooth")
