@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalloom.functions.geometry import angle_bucket
+from evalloom.plans.scan import percentiles
 
 # ---------------------------------------------------------------------------
 # grids: one row per scene, the g x g cells as an array
@@ -235,7 +236,11 @@ def attest(grids: DataFrame, candidate: str) -> DataFrame:
     medians = F.array(*[F.col(f"q_{n}")[1] for n in GEOMETRY_FIELDS])
     ranges = F.array(*[F.col(f"q_{n}")[2] - F.col(f"q_{n}")[0] for n in GEOMETRY_FIELDS])
     shares = F.array(*[F.col(f"share_{s}") for s in (*SCALE_ORDER, *SHAPE_ORDER)])
-    visual = F.array(*[F.col(c) if c in grids.columns else F.lit(0.0) for c in ("foreground", "edges", "entropy")])
+    seen = [c for c in ("foreground", "edges", "entropy") if c in grids.columns]
+    for c in seen:
+        medians_of = percentiles(grids.select(candidate, c), [candidate], c, {f"visual_{c}": 0.5}, F.floor(F.col(c) * 256))
+        joined = joined.join(medians_of, candidate)
+    visual = F.array(*[F.col(f"visual_{c}") if c in seen else F.lit(0.0) for c in ("foreground", "edges", "entropy")])
     vector = F.concat("impact_mean", "error_mean", medians, ranges, shares, visual, F.array("stability", "error_fraction"))
     return joined.select(
         candidate,

@@ -6,7 +6,7 @@ import importlib
 
 from evalloom.registry import ORACLE, QUERIES, QueryFn
 
-MODULES = ("q_ledger", "q_panel", "q_checks", "q_sampling", "q_reports", "q_logs", "q_sources", "q_similarity", "q_scalar", "q_archive", "q_geometry")
+MODULES = ("q_ledger", "q_panel", "q_checks", "q_sampling", "q_reports", "q_logs", "q_sources", "q_similarity", "q_scalar", "q_archive", "q_geometry", "q_streams")
 
 
 def load() -> dict[str, QueryFn]:
