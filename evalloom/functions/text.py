@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -117,33 +117,47 @@ def _normalize_all(values: Column) -> Column:
     return F.transform(folded, _tidy)
 
 
-def score_response(content: Column, candidates: Column, gold: Column, refusal: Column) -> Column:
-    """Strict two-key JSON answer to ``status, prediction, confidence, correct``.
+def score_responses(
+    rows: DataFrame, content: str = "content", candidates: str = "candidates", gold: str = "gold", refusal: str = "refusal"
+) -> DataFrame:
+    """Strict two-key JSON answers to ``status, prediction, confidence, correct``.
 
-    Of two candidates with the same normal form the later one is taken.
+    The content is parsed once per row.  Of two candidates with the same normal
+    form the later one is taken.
     """
-    value = F.try_parse_json(content)
-    keys = F.array_sort(F.json_object_keys(F.when(value.isNotNull(), content)))
-    answer_type = F.schema_of_variant(F.try_variant_get(value, "$.answer", "variant"))
-    confidence_type = F.schema_of_variant(F.try_variant_get(value, "$.confidence", "variant"))
-    confidence = F.try_variant_get(value, "$.confidence", "double")
-    answer = normalize_answer(F.try_variant_get(value, "$.answer", "string"))
-    at = F.array_position(F.reverse(_normalize_all(candidates)), answer)
-    picked = F.when(at > 0, F.try_element_at(F.reverse(candidates), at.cast("int")))
+    parsed = rows.withColumn("__v", F.try_parse_json(content))
+    variant = lambda path: F.try_variant_get("__v", path, "variant")
+    fields = (
+        parsed.withColumn("__answer", variant("$.answer"))
+        .withColumn("__confidence", variant("$.confidence"))
+        .withColumn("__keys", F.array_sort(F.json_object_keys(F.when(F.col("__v").isNotNull(), F.col(content)))))
+    )
+    typed = (
+        fields.withColumn("__at", F.schema_of_variant("__answer"))
+        .withColumn("__ct", F.schema_of_variant("__confidence"))
+        .withColumn("__conf", F.try_variant_get("__confidence", "$", "double"))
+        .withColumn("__text", normalize_answer(F.try_variant_get("__answer", "$", "string")))
+        .withColumn("__forms", _normalize_all(F.col(candidates)))
+    )
+    number = F.col("__ct").isin("BIGINT", "DOUBLE", "FLOAT") | F.col("__ct").startswith("DECIMAL")
     well_formed = (
-        (keys == F.array(F.lit("answer"), F.lit("confidence")))
-        & (answer_type == "STRING")
-        & (confidence_type.isin("BIGINT", "DOUBLE", "FLOAT") | confidence_type.startswith("DECIMAL"))
-        & confidence.between(0, 1)
+        (F.col("__keys") == F.array(F.lit("answer"), F.lit("confidence")))
+        & (F.col("__at") == "STRING")
+        & number
+        & F.col("__conf").between(0, 1)
     )
-    prediction = F.when(F.coalesce(well_formed, F.lit(False)), picked)
-    refused = F.coalesce(refusal, F.lit("")) != ""
-    scored = ~refused & prediction.isNotNull()
-    return F.struct(
-        F.when(refused, "refused").when(prediction.isNotNull(), "scored").otherwise("unparseable").alias("status"),
-        F.when(scored, prediction).alias("prediction"),
-        F.when(scored, confidence).alias("confidence"),
-        F.when(scored, prediction == gold).alias("correct"),
+    position = F.array_position(F.reverse("__forms"), F.col("__text"))
+    picked = F.when(position > 0, F.try_element_at(F.reverse(candidates), position.cast("int")))
+    judged = typed.withColumn("__pick", F.when(F.coalesce(well_formed, F.lit(False)), picked)).withColumn(
+        "__refused", F.coalesce(refusal, F.lit("")) != ""
+    )
+    scored = ~F.col("__refused") & F.col("__pick").isNotNull()
+    return judged.select(
+        *rows.columns,
+        F.when(F.col("__refused"), "refused").when(F.col("__pick").isNotNull(), "scored").otherwise("unparseable").alias("status"),
+        F.when(scored, F.col("__pick")).alias("prediction"),
+        F.when(scored, F.col("__conf")).alias("confidence"),
+        F.when(scored, F.col("__pick") == F.col(gold)).alias("correct"),
     )
 
 

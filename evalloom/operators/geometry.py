@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from evalloom.functions.geometry import angle_bucket
 from evalloom.plans.scan import percentiles
+from evalloom.session import cut_lineage
 
 # ---------------------------------------------------------------------------
 # grids: one row per scene, the g x g cells as an array
@@ -228,7 +229,8 @@ def mean_grid(scenes: DataFrame, candidate: str, grid: str, name: str) -> DataFr
 
 def attest(grids: DataFrame, candidate: str) -> DataFrame:
     """Descriptor, stability and behavioural vector per candidate from its scene grids."""
-    scenes = scene_profiles(grids)
+    # the scorer and the kernels run once: everything below reads their written result
+    scenes = cut_lineage(scene_profiles(grids), "scenes")
     profile = robust_profile(scenes, candidate)
     impact = mean_grid(scenes, candidate, "impact_map", "impact_mean")
     error = mean_grid(scenes, candidate, "error_map", "error_mean")
@@ -238,7 +240,7 @@ def attest(grids: DataFrame, candidate: str) -> DataFrame:
     shares = F.array(*[F.col(f"share_{s}") for s in (*SCALE_ORDER, *SHAPE_ORDER)])
     seen = [c for c in ("foreground", "edges", "entropy") if c in grids.columns]
     for c in seen:
-        medians_of = percentiles(grids.select(candidate, c), [candidate], c, {f"visual_{c}": 0.5}, F.floor(F.col(c) * 256))
+        medians_of = percentiles(scenes.select(candidate, c), [candidate], c, {f"visual_{c}": 0.5}, F.floor(F.col(c) * 256))
         joined = joined.join(medians_of, candidate)
     visual = F.array(*[F.col(f"visual_{c}") if c in seen else F.lit(0.0) for c in ("foreground", "edges", "entropy")])
     vector = F.concat("impact_mean", "error_mean", medians, ranges, shares, visual, F.array("stability", "error_fraction"))
@@ -426,34 +428,44 @@ def common_circle_score(fits: DataFrame, scene: str) -> DataFrame:
     return out.select(scene, "fragments", "score", answer.alias("answer"))
 
 
-def min_pairwise_gap(shapes: DataFrame, scene: str, ident: str) -> DataFrame:
-    """Smallest centre distance minus both radii per scene, without comparing all pairs.
+def min_pairwise_gap(shapes: DataFrame, scene: str, ident: str, *, small: int = 32) -> DataFrame:
+    """Smallest centre distance minus both radii per scene.
 
-    Any two shapes give an upper bound; the pair of neighbours in x order inside a
-    coarse strip gives a good one.  The closest pair then lies within that bound
-    plus twice the largest radius, so shapes only meet those of the nine cells of
-    that size around them.
+    A scene of at most ``small`` shapes compares its few pairs.  In a larger one
+    any two shapes give an upper bound, and neighbours in x order inside a coarse
+    strip give a good one; the closest pair lies within that bound plus twice the
+    largest radius, so shapes only meet those of the cells of that size around
+    them.
     """
-    from pyspark.sql import Window as W
-
     from evalloom.plans.scan import neighbour
 
     n = shapes.groupBy(scene).agg(F.count(F.lit(1)).alias("shapes"), F.max("r").alias("rmax"))
-    chain = neighbour(shapes, [scene], ["x", "y", ident], F.floor(F.col("x")), ["x", "y", "r", ident])
+    sized = shapes.select(scene, ident, "x", "y", "r").join(n, scene)
+
+    few = sized.filter(F.col("shapes") <= small)
+    gap = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) - F.col("ar") - F.col("br")
+    a_side = lambda df, *more: df.select(scene, F.col(ident).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("r").alias("ar"), *more)
+    b_side = lambda df, *more: df.select(scene, F.col(ident).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("r").alias("br"), *more)
+    near_few = a_side(few).join(b_side(few), scene).filter("a < b").groupBy(scene).agg(F.min(gap).alias("gap"))
+
+    many = sized.filter(F.col("shapes") > small)
+    chain = neighbour(many, [scene], ["x", "y", ident], F.floor(F.col("x")), ["x", "y", "r", ident])
     step = F.hypot(F.col("x") - F.col("prev_x"), F.col("y") - F.col("prev_y")) - F.col("r") - F.col("prev_r")
     # the order may repeat an id; only pairs of different ids count
-    valid = F.col(f"prev_{ident}") != F.col(ident)
-    bound = chain.groupBy(scene).agg(F.min(F.when(valid, step)).alias("bound"))
-    reach = n.join(bound, scene).filter("bound IS NOT NULL").select(
-        scene, "shapes", F.greatest(F.col("bound") + 2 * F.col("rmax"), F.lit(1e-6)).alias("cell")
+    different = F.col(f"prev_{ident}") != F.col(ident)
+    bound = chain.groupBy(scene).agg(F.min(F.when(different, step)).alias("bound"))
+    reach = F.greatest(F.col("bound") + 2 * F.col("rmax"), F.lit(1e-6))
+    placed = (
+        many.join(bound, scene).filter("bound IS NOT NULL").withColumn("cell", reach)
+        .withColumn("gx", F.floor(F.col("x") / F.col("cell"))).withColumn("gy", F.floor(F.col("y") / F.col("cell")))
     )
-    placed = shapes.join(reach, scene).withColumn("gx", F.floor(F.col("x") / F.col("cell"))).withColumn("gy", F.floor(F.col("y") / F.col("cell")))
-    around = F.array(*[F.struct((F.col("gx") + dx).alias("gx"), (F.col("gy") + dy).alias("gy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    left = placed.select(scene, F.col(ident).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("r").alias("ar"), F.inline(around))
-    right = placed.select(scene, "gx", "gy", F.col(ident).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("r").alias("br"))
-    gap = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) - F.col("ar") - F.col("br")
-    near = left.join(right, [scene, "gx", "gy"]).filter("a < b").groupBy(scene).agg(F.min(gap).alias("gap"))
-    return n.select(scene, "shapes").join(near, scene, "left")
+    # half of the eight neighbours is enough: the other half sees the pair from the other side
+    ahead = F.array(*[F.struct((F.col("gx") + dx).alias("gx"), (F.col("gy") + dy).alias("gy")) for dx, dy in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    near_many = (
+        a_side(placed, F.inline(ahead)).join(b_side(placed, "gx", "gy"), [scene, "gx", "gy"]).filter("a <> b")
+        .groupBy(scene).agg(F.min(gap).alias("gap"))
+    )
+    return n.select(scene, "shapes").join(near_few.unionByName(near_many), scene, "left")
 
 
 def _match_scene(fits: list, truths: list) -> tuple[int, float | None, float | None]:

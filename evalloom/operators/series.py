@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalloom.operators.logs import run_segments
+from evalloom.session import cut_lineage
 from evalloom.plans.scan import islands, moving_mean, neighbour, percentiles, running
 
 
@@ -33,7 +34,8 @@ def count_cycles(
     *, half: int = 4, low: float = 0.04, high: float = 0.96, lift: float = 0.30, minimum_run: int = 8,
 ) -> DataFrame:
     """Smooth, take the 4th and 96th percentile, count runs above the midpoint plus a share of the amplitude."""
-    smooth = moving_mean(rows, keys, order, bucket, value, half)
+    # the smoothed series is read three times: compute it once
+    smooth = cut_lineage(moving_mean(rows, keys, order, bucket, value, half), "smooth")
     marks = percentiles(smooth, keys, "smooth", {"low": low, "high": high}, value_bucket)
     amplitude = (F.col("high") - F.col("low")) / 2.0
     level = (F.col("low") + F.col("high")) / 2.0 + lift * amplitude

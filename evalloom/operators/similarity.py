@@ -20,7 +20,7 @@ from evalloom.functions.similarity import (
 )
 from evalloom.functions.text import jaccard_of_sets as jaccard
 from evalloom.functions.text import padded_words, tokens, words
-from evalloom.session import broadcast_if_small
+from evalloom.session import broadcast_if_small, cut_lineage
 
 CORE = list(FIELD_WEIGHTS)
 SETS = list(SET_WEIGHTS)
@@ -109,6 +109,8 @@ def similarity_edges(rows: DataFrame, threshold: float, ident: str = "id") -> Da
         .filter(F.col("structure") >= threshold - weight - _SLACK)
         .withColumn("need", (F.lit(threshold) - F.col("structure")) / weight - F.lit(1e-6))
     )
+    # three joins read these tables: compute each once
+    linked, members = cut_lineage(linked, "linked-shapes"), cut_lineage(members, "members")
 
     # pairs that qualify by structure alone are all results; the rest must share a prefix token
     left, right = _renamed(members, "l"), _renamed(members, "r")
@@ -261,13 +263,13 @@ def negative_neighbors(
     return _top_k(padded, ident, name, k).select(ident, "rank", name, "score")
 
 
-def protected_source_match(candidates: DataFrame, sources: DataFrame, *, ident: str, name: str, text: str = "text") -> DataFrame:
+def protected_source_match(candidates: DataFrame, sources: DataFrame, *, ident: str, name: str, text: str = "text", max_first_words: int = 2000) -> DataFrame:
     """Sources of which every concept group has a whole-word phrase in the text, above the source's floor.
 
-    Phrases meet texts through their first word: the words of a text that open
-    some phrase are found inside the row, and only those rows are joined.
-    ``sources`` holds ``name, groups, floor, tokens``; it is a curated table and
-    its size is checked before it is broadcast.
+    Phrases meet texts through their first word.  The sources are a curated table:
+    while their first words are few (counted first) they sit in the plan as a
+    constant, and a text is only joined for those of its words that open a phrase.
+    ``sources`` holds ``name, groups, floor, tokens``.
     """
     phrases = (
         sources.select(name, "floor", F.col("tokens").alias("r_tokens"), F.size("groups").alias("n_groups"), F.posexplode("groups").alias("group", "phrases"))
@@ -278,8 +280,17 @@ def protected_source_match(candidates: DataFrame, sources: DataFrame, *, ident:
     )
     rows = candidates.select(ident, words(F.col(text)).alias("ws"), tokens(F.col(text)).alias("l_tokens"))
     rows = rows.withColumn("padded", F.concat(F.lit(" "), F.array_join("ws", " "), F.lit(" ")))
-    opened = rows.select(ident, "padded", "l_tokens", F.explode(F.array_distinct("ws")).alias("first"))
-    hits = opened.join(broadcast_if_small(phrases), "first").filter(F.contains("padded", F.col("needle")))
+    opening = [r[0] for r in phrases.select("first").distinct().limit(max_first_words + 1).collect()]
+    opens = F.array_distinct("ws")
+    if len(opening) <= max_first_words:
+        opens = F.array_intersect(opens, F.array(*[F.lit(w) for w in sorted(opening)]).cast("array<string>"))
+    # the needles of one opening word are tried in place, so a text is never copied per phrase
+    grouped = phrases.groupBy("first").agg(
+        F.collect_list(F.struct(name, "floor", "r_tokens", "n_groups", "group", "needle")).alias("ps")
+    )
+    opened = rows.select(ident, "padded", "l_tokens", F.explode(opens).alias("first"))
+    found = F.filter("ps", lambda p: F.contains(F.col("padded"), p["needle"]))
+    hits = opened.join(broadcast_if_small(grouped), "first").select(ident, "l_tokens", F.inline(found))
     # no fingerprint on either side: the five fields are equal because both are missing
     base = sum(FIELD_WEIGHTS.values())
     score = F.round(F.lit(base) + SET_WEIGHTS["tokens"] * jaccard(F.col("l_tokens"), F.col("r_tokens")), 6)

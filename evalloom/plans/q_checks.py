@@ -442,7 +442,7 @@ def forbidden_fields(spark, d):
 def secret_scan(spark, d):
     patterns = (*C.SECRET_PATTERNS, r"[a-z0-9.]+@[a-z0-9]+\.example\.com")
     hit = C.secret_hit(F.col("text"), ["token = "], patterns)
-    return v.v_docs(spark, d).select("doc_id", hit.alias("hit")).filter("hit IS NOT NULL")
+    return v.v_docs_spread(spark, d).select("doc_id", hit.alias("hit")).filter("hit IS NOT NULL")
 
 
 @query(

@@ -11,6 +11,7 @@ from evalloom.functions.similarity import cell_key, rms_distance
 from evalloom.operators import checks as C
 from evalloom.plans.q_similarity import jaccard_sql, tokens_sql
 from evalloom.registry import query
+from evalloom.session import spread
 
 
 @query(
@@ -21,7 +22,7 @@ from evalloom.registry import query
 )
 def tokens(spark, d):
     found = TX.tokens(F.col("text"))
-    return v.v_docs(spark, d).select(
+    return v.v_docs_spread(spark, d).select(
         "doc_id", F.size(found).alias("n"), F.md5(F.array_join(F.array_sort(found), " ")).alias("digest")
     )
 
@@ -60,7 +61,7 @@ def rms_distance_to_first(spark, d):
         '\\s+', ' ', 'g'), ' ' || chr(9) || chr(13) || chr(10) || '"' || chr(39) || '`.,:;!?')) AS digest FROM documents""",
 )
 def normalize_answer(spark, d):
-    return v.v_docs(spark, d).select("doc_id", F.md5(TX.normalize_answer(F.col("text"))).alias("digest"))
+    return v.v_docs_spread(spark, d).select("doc_id", F.md5(TX.normalize_answer(F.col("text"))).alias("digest"))
 
 
 @query(
@@ -86,10 +87,14 @@ def score_response(spark, d):
     content = F.concat(
         F.lit('{"answer": "'), answer, F.lit('", "confidence": '), confidence, extra, F.when(k % 9 == 0, "").otherwise("}")
     )
-    scored = TX.score_response(
-        content, F.array(F.lit("yes"), F.lit("no")), F.lit("no"), F.when(k % 11 == 0, "declined")
+    ledger = spread(v.v_ledger(spark, d), "event_id").select(
+        "event_id",
+        content.alias("content"),
+        F.array(F.lit("yes"), F.lit("no")).alias("candidates"),
+        F.lit("no").alias("gold"),
+        F.when(k % 11 == 0, "declined").alias("refusal"),
     )
-    return v.v_ledger(spark, d).select("event_id", F.inline(F.array(scored)))
+    return TX.score_responses(ledger).select("event_id", "status", "prediction", "confidence", "correct")
 
 
 @query(
@@ -99,7 +104,7 @@ def score_response(spark, d):
         AS found FROM documents""",
 )
 def contains_phrase(spark, d):
-    return v.v_docs(spark, d).select("doc_id", TX.contains_phrase(F.col("text"), F.lit("of-the")).alias("found"))
+    return v.v_docs_spread(spark, d).select("doc_id", TX.contains_phrase(F.col("text"), F.lit("of-the")).alias("found"))
 
 
 @query(
@@ -111,7 +116,7 @@ def contains_phrase(spark, d):
 def redact(spark, d):
     first = F.split_part("text", F.lit(" "), F.lit(1))
     blind = TX.redact(F.col("text"), [(first, "[BLINDED_AGENT]"), (F.col("source"), "[BLINDED_MODEL]"), (F.lit(""), "x")])
-    return v.v_docs(spark, d).select("doc_id", F.md5(blind).alias("digest"))
+    return v.v_docs_spread(spark, d).select("doc_id", F.md5(blind).alias("digest"))
 
 
 @query(

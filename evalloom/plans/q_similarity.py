@@ -118,7 +118,7 @@ _NEG_SQL = f"""d AS (SELECT doc_id, {tokens_sql('text')} AS t FROM documents),
 )
 def negative_neighbors(spark, d):
     return S.negative_neighbors(
-        v.v_docs(spark, d), v.table(spark, d, "benchmark"), 5, ident="doc_id", name="item_id"
+        v.v_docs_spread(spark, d), v.table(spark, d, "benchmark"), 5, ident="doc_id", name="item_id"
     )
 
 
@@ -149,7 +149,7 @@ def protected_source_match(spark, d):
     sources = v.table(spark, d, "benchmark").select(
         "item_id", groups.alias("groups"), F.lit(0.76).alias("floor"), TX.tokens(F.col("text")).alias("tokens")
     )
-    return S.protected_source_match(v.v_docs(spark, d), sources, ident="doc_id", name="item_id")
+    return S.protected_source_match(v.v_docs_spread(spark, d), sources, ident="doc_id", name="item_id")
 
 
 @query(

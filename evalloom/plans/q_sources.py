@@ -7,6 +7,7 @@ from pyspark.sql.types import StructType
 
 from evalloom import views as v
 from evalloom.registry import query
+from evalloom.session import spread
 from evalloom.sources import files as FL
 from evalloom.sources import jsonl as J
 from evalloom.sources import manifests as M
@@ -21,7 +22,8 @@ def _lines(spark, d):
     line = (
         F.when(k == 3, F.left(text, F.lit(12))).when(k == 4, "   ").when(k == 5, "[1, 2]").otherwise(text)
     )
-    return v.v_ledger(spark, d).select((F.col("event_id") + 1).alias("line"), line.alias("text"))
+    ledger = spread(v.v_ledger(spark, d), "event_id")
+    return ledger.select((F.col("event_id") + 1).alias("line"), line.alias("text"))
 
 
 @query(

@@ -153,5 +153,5 @@ def attest_from_images(spark, d):
 def run_scorer(spark, d):
     plan = v.v_examples(spark, d).select("doc_id", F.lit("Is it good?").alias("question"), "candidates", "answer")
     responses = I.run_scorer(plan, I.first_choice, "doc_id").join(plan, "doc_id")
-    scored = TX.score_response(F.col("content"), F.col("candidates"), F.col("answer"), F.lit(None).cast("string"))
-    return responses.select("doc_id", F.inline(F.array(scored)))
+    ready = responses.withColumn("refusal", F.lit(None).cast("string"))
+    return TX.score_responses(ready, gold="answer").select("doc_id", "status", "prediction", "confidence", "correct")

@@ -51,3 +51,14 @@ def literal_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> D
     """A small fixed table built inside the JVM from literals."""
     packed = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(row, names, strict=True)]) for row in rows])
     return spark.range(1).select(F.inline(packed).alias(*names))
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Give a scan with fewer splits than cores one partition per core.
+
+    Meant for costly row work behind small or unsplittable files; a scan that
+    already has enough splits is returned as it is.  Rows go by the hash of a
+    key, so a retried task sees the same rows.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalloom.session import spread
+
 STATUSES = ("attempt_started", "scored", "unparseable", "api_error")
 HARD_THRESHOLD = 0.6
 
@@ -93,6 +95,11 @@ def v_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def v_docs_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents for work that is costly per text."""
+    return spread(v_docs(spark, sf_dir), "doc_id")
+
+
 def labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v_docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
 
