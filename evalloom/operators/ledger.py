@@ -42,7 +42,7 @@ def event_summary(events: DataFrame, group: list[str], key: str = "sample_key",
     """
     scored = F.col("status") == "scored"
     samples = events.groupBy(*group, key).agg(
-        F.max_by("status", seq).alias("last"),
+        F.max_by("status", F.when(F.col("status").isNotNull(), F.col(seq))).alias("last"),
         F.max_by("correct", F.when(scored, F.col(seq))).alias("correct"),
         F.bool_or(scored).alias("any_scored"),
         F.count("completion_tokens").alias("usage_records"),

@@ -11,7 +11,9 @@ from evalloom.operators import rerender as X
 from evalloom.operators import series as S
 from evalloom.registry import query
 
-EVENT_BUCKET = F.expr("event_id div 1000000")
+
+def event_bucket():
+    return F.expr("event_id div 1000000")
 
 
 @query(
@@ -58,7 +60,7 @@ def largest_gap_split(spark, d):
 def smooth_and_count_cycles(spark, d):
     rows = v.v_events(spark, d).select("user_id", "event_id", F.col("k").cast("double").alias("v"))
     return S.count_cycles(
-        rows, ["user_id"], ["event_id"], "v", EVENT_BUCKET, F.floor(F.col("smooth") / 8), minimum_run=3
+        rows, ["user_id"], ["event_id"], "v", event_bucket(), F.floor(F.col("smooth") / 8), minimum_run=3
     )
 
 
@@ -93,7 +95,7 @@ def rle_expand_match(spark, d):
     runs = v.v_events(spark, d).select(
         "user_id", "event_id", (F.col("k") % 2).alias("bit"), (1 + F.col("k") % 4).alias("len")
     )
-    return S.rle_expand_match(runs, ["user_id"], "event_id", "bit", "len", EVENT_BUCKET, _TEMPLATES)
+    return S.rle_expand_match(runs, ["user_id"], "event_id", "bit", "len", event_bucket(), _TEMPLATES)
 
 
 @query(

@@ -10,7 +10,10 @@ from evalloom.registry import query
 
 # events per ordered bucket of a scan; see evalloom.plans.scan
 SPAN = 1_000_000
-BUCKET = F.expr(f"event_id div {SPAN}")
+
+
+def bucket():
+    return F.expr(f"event_id div {SPAN}")
 
 
 @query(
@@ -263,7 +266,7 @@ _STREAK_SQL = """
 )
 def streaks(spark, d):
     ledger = v.v_ledger(spark, d)
-    out = L.streaks(ledger, ["sample_key"], "event_id", BUCKET, F.col("status") != "scored", 4)
+    out = L.streaks(ledger, ["sample_key"], "event_id", bucket(), F.col("status") != "scored", 4)
     return out.select("sample_key", "event_id", "streak", "at_limit")
 
 
@@ -290,7 +293,7 @@ def retry_delay(spark, d):
         CAST(max(used) AS DOUBLE) / 1000000 AS total FROM r GROUP BY 1""",
 )
 def budget_cutoff(spark, d):
-    return L.budget_cutoff(v.v_ledger(spark, d), ["sample_key"], "event_id", BUCKET, "cost", 2500.0)
+    return L.budget_cutoff(v.v_ledger(spark, d), ["sample_key"], "event_id", bucket(), "cost", 2500.0)
 
 
 @query(

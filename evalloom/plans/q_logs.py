@@ -8,9 +8,14 @@ from evalloom import views as v
 from evalloom.operators import logs as G
 from evalloom.registry import query
 
-# a day of events per ordered bucket
-DAY_BUCKET = F.expr("us div 86400000000")
-TURN_BUCKET = F.expr("sequence div 100000")
+
+def day_bucket():
+    """A day of events per ordered bucket."""
+    return F.expr("us div 86400000000")
+
+
+def turn_bucket():
+    return F.expr("sequence div 100000")
 
 
 def _broken_turns(spark, d):
@@ -129,7 +134,7 @@ def selected_after_ranking(spark, d):
 def as_of_ranking(spark, d):
     events = v.v_events(spark, d)
     return G.as_of(
-        events.filter("event_type = 'purchase'"), events.filter("event_type = 'view'"), ["user_id"], "us", "k", DAY_BUCKET
+        events.filter("event_type = 'purchase'"), events.filter("event_type = 'view'"), ["user_id"], "us", "k", day_bucket()
     )
 
 
@@ -203,7 +208,7 @@ def phase_seconds(spark, d):
 def survivor_shrink(spark, d):
     survivors = F.array_distinct(F.regexp_extract_all(F.left(F.lower("text"), F.lit(200)), F.lit("([a-z]{2})"), F.lit(1)))
     passes = v.v_turns(spark, d).select("run", "sequence", survivors.alias("survivors"))
-    return G.survivor_shrink(passes, "run", "sequence", "survivors", TURN_BUCKET)
+    return G.survivor_shrink(passes, "run", "sequence", "survivors", turn_bucket())
 
 
 @query(

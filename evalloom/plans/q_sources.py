@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
 
 from evalloom import views as v
 from evalloom.registry import query
@@ -12,7 +12,13 @@ from evalloom.sources import files as FL
 from evalloom.sources import jsonl as J
 from evalloom.sources import manifests as M
 
-_LINE_SCHEMA = StructType.fromDDL("event_id bigint, status string, completion_tokens bigint, cost double")
+_LINE_SCHEMA = (
+    T.StructType()
+    .add("event_id", T.LongType())
+    .add("status", T.StringType())
+    .add("completion_tokens", T.LongType())
+    .add("cost", T.DoubleType())
+)
 
 
 def _lines(spark, d):

@@ -2,7 +2,8 @@
 
 A window over one key sorts that whole key in one task.  These helpers cut each
 key into ordered buckets, scan every bucket on its own, and carry one summary
-row per bucket across.  Only the summaries of a key meet in one task.
+row per bucket across.  Only the summaries of a key meet in one task.  Rows with
+a null key belong to no sequence and are left out.
 
 ``bucket`` must never fall while ``order`` rises, and must be a plain function
 of the row (for example ``event_id div 100000``), so that a retried task sees

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 
 def file_digests(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Relative path, digest and size of every file below a root."""
+    """Relative path, digest and size of every file below a root.
+
+    Spark's file index leaves out names that begin with ``_`` or ``.``.
+    """
     prefix = root.rstrip("/") + "/"
     return (
         spark.read.format("binaryFile")
