@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalloom.functions.geometry import angle_bucket
-from evalloom.plans.scan import percentiles
+from evalloom.plans.scan import neighbour, percentiles
 from evalloom.session import cut_lineage
 
 # ---------------------------------------------------------------------------
@@ -437,8 +437,6 @@ def min_pairwise_gap(shapes: DataFrame, scene: str, ident: str, *, small: int =
     largest radius, so shapes only meet those of the cells of that size around
     them.
     """
-    from evalloom.plans.scan import neighbour
-
     n = shapes.groupBy(scene).agg(F.count(F.lit(1)).alias("shapes"), F.max("r").alias("rmax"))
     sized = shapes.select(scene, ident, "x", "y", "r").join(n, scene)
 

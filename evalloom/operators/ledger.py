@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.plans.scan import running
+from evalloom.plans.scan import running, streak_lengths
 from evalloom.session import literal_table
 
 TERMINAL = ("scored", "unparseable", "refused")
@@ -215,27 +215,8 @@ def first_seen_claim(events: DataFrame, key: str, episode: str) -> DataFrame:
 
 def streaks(events: DataFrame, keys: list[str], seq: str, bucket: Column, miss: Column, limit: int) -> DataFrame:
     """Length of the running streak of misses at each event, reset by any other event."""
-    flagged = events.withColumn("__miss", miss.cast("bigint"))
-    marked = running(
-        flagged,
-        keys,
-        [seq],
-        bucket,
-        {
-            "__missed": ("sum", F.col("__miss")),
-            "__at_reset": ("max", F.when(F.col("__miss") == 0, F.col(seq))),
-        },
-    )
-    # misses counted up to the last reset are constant inside a streak
-    with_base = running(
-        marked, keys, [seq], bucket, {"__base": ("max", F.when(F.col("__miss") == 0, F.col("__missed")))}
-    )
-    streak = F.col("__missed") - F.coalesce("__base", F.lit(0))
-    return (
-        with_base.withColumn("streak", streak)
-        .withColumn("at_limit", F.col("streak") >= limit)
-        .select(*events.columns, "streak", "at_limit")
-    )
+    counted = streak_lengths(events, keys, [seq], bucket, miss)
+    return counted.withColumn("at_limit", F.col("streak") >= limit)
 
 
 def retry_delay(streak: Column, schedule: list[int]) -> Column:

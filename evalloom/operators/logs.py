@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.plans.scan import islands, neighbour, running
+from evalloom.plans.scan import neighbour, running, segments
 from evalloom.session import literal_table
 
 
@@ -146,9 +146,7 @@ def survivor_shrink(passes: DataFrame, run: str, order: str, survivors: str, buc
 def run_segments(rows: DataFrame, keys: list[str], order: list[str], flag: Column, bucket: Column, minimum: int) -> DataFrame:
     """Maximal runs of true rows with at least ``minimum`` members."""
     flagged = rows.withColumn("__on", flag)
-    prior = neighbour(flagged, keys, order, bucket, ["__on"])
-    starts = F.col("__on") & ~F.coalesce("prev___on", F.lit(False))
-    numbered = islands(prior, keys, order, bucket, starts, "segment")
+    numbered = segments(flagged, keys, order, bucket, ["__on"], lambda last, row: last["__on"] != row["__on"])
     return (
         numbered.filter("__on")
         .groupBy(*keys, "segment")

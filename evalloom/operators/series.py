@@ -7,15 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalloom.operators.logs import run_segments
+from evalloom.plans.scan import moving_mean, neighbour, percentiles, running, segments
 from evalloom.session import cut_lineage
-from evalloom.plans.scan import islands, moving_mean, neighbour, percentiles, running
 
 
 def gap_clusters(rows: DataFrame, keys: list[str], value: str, gap: float, bucket: Column) -> DataFrame:
     """Sorted values split where the step exceeds ``gap``; size and centre of each group."""
-    prior = neighbour(rows, keys, [value], bucket, [value])
-    starts = F.coalesce(F.col(value) - F.col(f"prev_{value}") > gap, F.lit(True))
-    numbered = islands(prior, keys, [value], bucket, starts, "cluster")
+    numbered = segments(
+        rows, keys, [value], bucket, [value], lambda last, row: row[value] - last[value] > gap, "cluster"
+    )
     return numbered.groupBy(*keys, "cluster").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("centre"))
 
 
@@ -34,9 +34,9 @@ def count_cycles(
     *, half: int = 4, low: float = 0.04, high: float = 0.96, lift: float = 0.30, minimum_run: int = 8,
 ) -> DataFrame:
     """Smooth, take the 4th and 96th percentile, count runs above the midpoint plus a share of the amplitude."""
-    # the smoothed series is read three times: compute it once
+    # the smoothed series and its percentiles are read more than once: compute them once
     smooth = cut_lineage(moving_mean(rows, keys, order, bucket, value, half), "smooth")
-    marks = percentiles(smooth, keys, "smooth", {"low": low, "high": high}, value_bucket)
+    marks = cut_lineage(percentiles(smooth, keys, "smooth", {"low": low, "high": high}, value_bucket), "marks")
     amplitude = (F.col("high") - F.col("low")) / 2.0
     level = (F.col("low") + F.col("high")) / 2.0 + lift * amplitude
     flagged = smooth.join(marks, keys).withColumn("above", F.round(F.col("smooth") - level, 9) > 0)

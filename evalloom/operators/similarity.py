@@ -252,7 +252,8 @@ def negative_neighbors(
     postings = right.select(name, F.size("rt").alias("rs"), F.explode("rt").alias("token"))
     index = broadcast_if_small(postings)
     hits = (
-        left.select(ident, F.size("lt").alias("ls"), F.explode("lt").alias("token"))
+        # the outer form: a plain explode would make Spark compute the tokens a second time to test for none
+        left.select(ident, F.size("lt").alias("ls"), F.explode_outer("lt").alias("token"))
         .join(index, "token")
         .groupBy(ident, name, "ls", "rs")
         .agg(F.count(F.lit(1)).alias("shared"))
@@ -288,7 +289,7 @@ def protected_source_match(candidates: DataFrame, sources: DataFrame, *, ident:
     grouped = phrases.groupBy("first").agg(
         F.collect_list(F.struct(name, "floor", "r_tokens", "n_groups", "group", "needle")).alias("ps")
     )
-    opened = rows.select(ident, "padded", "l_tokens", F.explode(opens).alias("first"))
+    opened = rows.select(ident, "padded", "l_tokens", F.explode_outer(opens).alias("first"))
     found = F.filter("ps", lambda p: F.contains(F.col("padded"), p["needle"]))
     hits = opened.join(broadcast_if_small(grouped), "first").select(ident, "l_tokens", F.inline(found))
     # no fingerprint on either side: the five fields are equal because both are missing

@@ -12,6 +12,8 @@ the same buckets.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,11 +94,60 @@ def neighbour(
     return out.select(*df.columns, *[F.col(f"__near.{c}").alias(f"{prefix}{c}") for c in columns])
 
 
-def islands(
-    df: DataFrame, keys: list[str], order: list[str], bucket: str | Column, starts: str | Column, name: str = "island"
+def segments(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    bucket: str | Column,
+    columns: list[str],
+    starts: Callable[[Column, Column], Column],
+    name: str = "segment",
 ) -> DataFrame:
-    """Number consecutive runs per key: a row where ``starts`` is true opens a new run."""
-    return running(df, keys, order, bucket, {name: ("sum", _as_col(starts).cast("bigint"))})
+    """Number consecutive runs per key in one scan.
+
+    ``starts(previous, row)`` says from two structs of ``columns`` whether a row
+    opens a new run; the first row of a key always does.  Inside a bucket this is
+    known at once; for the first row of a bucket it follows from the last row of
+    the bucket before, which the summaries hold.
+    """
+    base = df.withColumn(_BUCKET, _as_col(bucket)).withColumn("__row", F.struct(*columns))
+    local = W.partitionBy(*keys, _BUCKET).orderBy(*order)
+    near = base.withColumn("__near", F.lag("__row").over(local))
+    opens = F.when(F.col("__near").isNotNull() & starts(F.col("__near"), F.col("__row")), 1).otherwise(0).cast("bigint")
+    scanned = near.withColumn("__inner", F.sum(opens).over(local.rowsBetween(W.unboundedPreceding, 0))).drop("__near")
+    rank = F.struct(*order)
+    totals = scanned.groupBy(*keys, _BUCKET).agg(
+        F.max("__inner").alias("__n"), F.min_by("__row", rank).alias("__first"), F.max_by("__row", rank).alias("__last")
+    )
+    across = W.partitionBy(*(keys or [F.lit(0)])).orderBy(_BUCKET)
+    joined_on = totals.withColumn("__far", F.lag("__last").over(across)).withColumn(
+        "__open",
+        F.when(F.col("__far").isNull() | starts(F.col("__far"), F.col("__first")), 1).otherwise(0).cast("bigint"),
+    )
+    before = F.sum(F.col("__n") + F.col("__open")).over(across.rowsBetween(W.unboundedPreceding, -1))
+    carries = joined_on.select(*keys, _BUCKET, (F.coalesce(before, F.lit(0)) + F.col("__open")).alias("__base"))
+    out = scanned.join(carries, [*keys, _BUCKET])
+    return out.select(*df.columns, (F.col("__inner") + F.col("__base")).alias(name))
+
+
+def streak_lengths(
+    df: DataFrame, keys: list[str], order: list[str], bucket: str | Column, hit: Column, name: str = "streak"
+) -> DataFrame:
+    """Length of the running streak of hits at each row, 0 at any other row, in one scan."""
+    base = df.withColumn(_BUCKET, _as_col(bucket)).withColumn("__hit", hit.cast("bigint"))
+    local = W.partitionBy(*keys, _BUCKET).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    scanned = base.withColumn("__hits", F.sum("__hit").over(local)).withColumn(
+        "__reset", F.max(F.when(F.col("__hit") == 0, F.col("__hits"))).over(local)
+    )
+    totals = scanned.groupBy(*keys, _BUCKET).agg(F.max("__hits").alias("__n"), F.max("__reset").alias("__at"))
+    before = W.partitionBy(*(keys or [F.lit(0)])).orderBy(_BUCKET).rowsBetween(W.unboundedPreceding, -1)
+    counted = totals.withColumn("__upto", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    # hits counted up to the last reset of an earlier bucket
+    base_at = F.max(F.when(F.col("__at").isNotNull(), F.col("__upto") + F.col("__at"))).over(before)
+    carries = counted.select(*keys, _BUCKET, (F.col("__upto") - F.coalesce(base_at, F.lit(0))).alias("__carry"))
+    out = scanned.join(carries, [*keys, _BUCKET])
+    length = F.when(F.col("__reset").isNotNull(), F.col("__hits") - F.col("__reset")).otherwise(F.col("__hits") + F.col("__carry"))
+    return out.select(*df.columns, length.alias(name))
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[str], bucket: str | Column, name: str = "idx") -> DataFrame:
