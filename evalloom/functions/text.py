@@ -53,13 +53,18 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
-def tokens(text: Column) -> Column:
+def token_set(found: Column) -> Column:
     """Distinct words without stop words, synonyms folded."""
-    kept = F.array_except(words(text), F.array(*[F.lit(w) for w in STOP_WORDS]))
+    kept = F.array_except(found, F.array(*[F.lit(w) for w in STOP_WORDS]))
     folded = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
     return F.array_distinct(F.transform(kept, lambda w: F.coalesce(F.try_element_at(folded, w), w)))
 
 
+def tokens(text: Column) -> Column:
+    """Token set of a text."""
+    return token_set(words(text))
+
+
 def jaccard(left: Column, right: Column) -> Column:
     """Overlap over union of two sets; 0 when both are empty."""
     union = F.size(F.array_union(left, right))

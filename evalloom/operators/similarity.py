@@ -273,13 +273,13 @@ def protected_source_match(candidates: DataFrame, sources: DataFrame, *, ident:
     ``sources`` holds ``name, groups, floor, tokens``.
     """
     phrases = (
-        sources.select(name, "floor", F.col("tokens").alias("r_tokens"), F.size("groups").alias("n_groups"), F.posexplode("groups").alias("group", "phrases"))
-        .select(name, "floor", "r_tokens", "n_groups", "group", F.explode("phrases").alias("phrase"))
+        sources.select(name, "floor", F.size("groups").alias("n_groups"), F.posexplode("groups").alias("group", "phrases"))
+        .select(name, "floor", "n_groups", "group", F.explode("phrases").alias("phrase"))
         .withColumn("needle", padded_words(F.col("phrase")))
         .withColumn("first", F.element_at(words(F.col("phrase")), 1))
         .filter(F.length("needle") > 2)
     )
-    rows = candidates.select(ident, words(F.col(text)).alias("ws"), tokens(F.col(text)).alias("l_tokens"))
+    rows = candidates.select(ident, words(F.col(text)).alias("ws"))
     rows = rows.withColumn("padded", F.concat(F.lit(" "), F.array_join("ws", " "), F.lit(" ")))
     opening = [r[0] for r in phrases.select("first").distinct().limit(max_first_words + 1).collect()]
     opens = F.array_distinct("ws")
@@ -287,21 +287,26 @@ def protected_source_match(candidates: DataFrame, sources: DataFrame, *, ident:
         opens = F.array_intersect(opens, F.array(*[F.lit(w) for w in sorted(opening)]).cast("array<string>"))
     # the needles of one opening word are tried in place, so a text is never copied per phrase
     grouped = phrases.groupBy("first").agg(
-        F.collect_list(F.struct(name, "floor", "r_tokens", "n_groups", "group", "needle")).alias("ps")
+        F.collect_list(F.struct(name, "floor", "n_groups", "group", "needle")).alias("ps")
     )
-    opened = rows.select(ident, "padded", "l_tokens", F.explode_outer(opens).alias("first"))
+    opened = rows.select(ident, "padded", F.explode_outer(opens).alias("first"))
     found = F.filter("ps", lambda p: F.contains(F.col("padded"), p["needle"]))
-    hits = opened.join(broadcast_if_small(grouped), "first").select(ident, "l_tokens", F.inline(found))
-    # no fingerprint on either side: the five fields are equal because both are missing
-    base = sum(FIELD_WEIGHTS.values())
-    score = F.round(F.lit(base) + SET_WEIGHTS["tokens"] * jaccard(F.col("l_tokens"), F.col("r_tokens")), 6)
-    groups = hits.select(ident, name, "floor", "n_groups", score.alias("score"), "group").distinct()
-    return (
-        groups.groupBy(ident, name, "floor", "n_groups", "score")
+    hits = opened.join(broadcast_if_small(grouped), "first").select(ident, F.inline(found))
+    complete = (
+        hits.select(ident, name, "floor", "n_groups", "group")
+        .distinct()
+        .groupBy(ident, name, "floor", "n_groups")
         .agg(F.count(F.lit(1)).alias("hit_groups"))
-        .filter((F.col("hit_groups") == F.col("n_groups")) & (F.col("score") >= F.col("floor")))
-        .select(ident, name, "score", "floor")
+        .filter(F.col("hit_groups") == F.col("n_groups"))
     )
+    # only pairs with every group are scored; no fingerprint on either side, so the
+    # five fields are equal because both are missing
+    base = sum(FIELD_WEIGHTS.values())
+    known = broadcast_if_small(sources.select(name, F.col("tokens").alias("r_tokens")))
+    pairs = complete.join(candidates.select(ident, text), ident).join(known, name)
+    overlap = jaccard(tokens(F.col(text)), F.col("r_tokens"))
+    scored = pairs.select(ident, name, F.round(F.lit(base) + SET_WEIGHTS["tokens"] * overlap, 6).alias("score"), "floor")
+    return scored.filter(F.col("score") >= F.col("floor"))
 
 
 def cell_collisions(candidates: DataFrame, registry: DataFrame, cell: list[str], ident: str, name: str) -> DataFrame:
