@@ -10,7 +10,8 @@ import __spark_entry__ as entry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+LLM = entry.llm.QUERIES if entry.llm else {}  # tested in tests/llm
+QUERIES, ORACLE = ({k: v for k, v in d.items() if k not in LLM} for d in (entry.queries(), entry.oracle_sql()))
 
 
 @pytest.fixture(scope="module")
