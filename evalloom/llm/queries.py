@@ -10,6 +10,7 @@ import public_tokenizers
 
 import corpus_pipeline  # noqa: F401
 from evalloom.llm.common import table
+from evalloom.llm.embedding_dedup import embedding_links
 from evalloom.llm.license_scan import license_scan
 from evalloom.llm.minhash import near_duplicates
 from evalloom.llm.packing import best_fit_pack
@@ -23,6 +24,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +53,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_minhash_near_dedup, op4_toxicity, op5_license_scan, op6_quality_rules, op8_quality_classifier, op9_piece_sampling, op10_best_fit_packing,
+    op1_minhash_near_dedup, op3_embedding_near_dedup, op4_toxicity, op5_license_scan, op6_quality_rules, op8_quality_classifier, op9_piece_sampling, op10_best_fit_packing,
 )}
 ORACLE: dict[str, str] = {}
