@@ -17,6 +17,7 @@ from evalloom.llm.packing import best_fit_pack
 from evalloom.llm.piece_sampling import sample_pieces
 from evalloom.llm.quality_classifier import quality_classifier
 from evalloom.llm.quality_rules import quality_rules
+from evalloom.llm.repeat_groups import remove_repeats
 from evalloom.llm.toxicity import toxicity
 
 
@@ -40,6 +41,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), least=200)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +58,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_minhash_near_dedup, op3_embedding_near_dedup, op4_toxicity, op5_license_scan, op6_quality_rules, op8_quality_classifier, op9_piece_sampling, op10_best_fit_packing,
+    op1_minhash_near_dedup, op3_embedding_near_dedup, op4_toxicity, op5_license_scan, op6_quality_rules, op7_suffix_array_dedup, op8_quality_classifier, op9_piece_sampling, op10_best_fit_packing,
 )}
 ORACLE: dict[str, str] = {}
