@@ -18,6 +18,7 @@ from evalloom.llm.piece_sampling import sample_pieces
 from evalloom.llm.quality_classifier import quality_classifier
 from evalloom.llm.quality_rules import quality_rules
 from evalloom.llm.repeat_groups import remove_repeats
+from evalloom.llm.substring_dedup import remove_windows
 from evalloom.llm.toxicity import toxicity
 
 
@@ -25,6 +26,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_windows(table(spark, sf_dir, "documents"), size=13)
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
@@ -58,6 +63,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_minhash_near_dedup, op3_embedding_near_dedup, op4_toxicity, op5_license_scan, op6_quality_rules, op7_suffix_array_dedup, op8_quality_classifier, op9_piece_sampling, op10_best_fit_packing,
+    op1_minhash_near_dedup, op2_substring_dedup, op3_embedding_near_dedup, op4_toxicity, op5_license_scan, op6_quality_rules, op7_suffix_array_dedup, op8_quality_classifier, op9_piece_sampling, op10_best_fit_packing,
 )}
 ORACLE: dict[str, str] = {}
