@@ -143,6 +143,20 @@ def score(docs: DataFrame, weights: dict | float) -> DataFrame:
     return keyed_texts(docs).mapInArrow(run, "doc_id bigint, score double")
 
 
+def keep_rows(docs: DataFrame, weights: dict | float, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score at least ``threshold``; rows without an id are judged as well."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for rows, data, offsets in pieces(pa.RecordBatch.from_arrays([batch.column(at), pa.array(np.arange(batch.num_rows))], ["text", "row"])):
+                x, first = passages(data, offsets)
+                p = np.full(len(first) - 1, weights) if isinstance(weights, float) else attend(weights, x, first)[0]
+                yield batch.take(rows.column(1).filter(pa.array(p >= threshold)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_classifier(docs: DataFrame, labels: DataFrame, sample: int = 3_000, threshold: float = 0.3) -> DataFrame:
     scored = score(docs, train(docs, labels, sample))
     return scored.select(

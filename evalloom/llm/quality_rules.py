@@ -201,5 +201,19 @@ def score(docs: DataFrame, forest: Forest, reject_below: float = 0.5) -> DataFra
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= reject_below))
 
 
+def keep_rows(docs: DataFrame, forest: Forest, reject_below: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the rules keep; rows without an id are judged as well."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for rows, data, offsets in pieces(pa.RecordBatch.from_arrays([batch.column(at), pa.array(np.arange(batch.num_rows))], ["text", "row"])):
+                base, stats = statistics(rows, data, offsets)
+                kept = (base[:, 0] >= 10) & (100 * base[:, 4] <= 20 * base[:, 0]) & (forest.score(stats) >= reject_below)
+                yield batch.take(rows.column(1).filter(pa.array(kept)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> DataFrame:
     return score(docs, train(docs, labels, sample))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-import corpus_pipeline  # noqa: F401
+import corpus_pipeline
 from evalloom.llm.common import table
 from evalloom.llm.embedding_dedup import embedding_links
 from evalloom.llm.license_scan import license_scan
@@ -64,5 +64,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_substring_dedup, op3_embedding_near_dedup, op4_toxicity, op5_license_scan, op6_quality_rules, op7_suffix_array_dedup, op8_quality_classifier, op9_piece_sampling, op10_best_fit_packing,
-)}
+)} | {"pipeline": corpus_pipeline.run}
 ORACLE: dict[str, str] = {}

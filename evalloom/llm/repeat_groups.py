@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from evalloom.llm.anchors import by_shard, contents, ranks_by_doubling, repeated
 from evalloom.llm.common import cut_lineage, drop_written, keyed_texts
 from evalloom.llm.text import UNSTEP, ids_of, mix, pieces, powers, running
 
-GRAM = 24
+GRAM, SPANS = 24, "spans of repeats"
 
 
 def byte_segments(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
@@ -141,45 +142,61 @@ def repeated_spans(docs: DataFrame, least: int = 200) -> DataFrame:
     )
 
 
-def remove_repeats(docs: DataFrame, least: int = 200, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; with ``keep_text`` the rest as text.
+def _stripped(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Bytes, removed bytes and removed runs of each row, and what is left of it."""
+    n = rows.num_rows
+    listed = rows.column(rows.schema.get_field_index(SPANS))
+    flat = listed.flatten()
+    low, high = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+    row = np.repeat(np.arange(n), listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    top = offsets[1:] - offsets[:-1]
+    low, high = np.minimum(low, top[row]), np.minimum(high, top[row])
+    row, low, high = merged(*(x[high > low] for x in (row, low, high)))
+    whole = data.tobytes()
+    first = np.searchsorted(row, np.arange(n + 1))
+    left = []
+    for i in range(n):
+        at, parts = int(offsets[i]), []
+        for k in range(int(first[i]), int(first[i + 1])):
+            parts.append(whole[at : int(offsets[i] + low[k])])
+            at = int(offsets[i] + high[k])
+        parts.append(whole[at : int(offsets[i + 1])])
+        left.append(b"".join(parts))
+    return top.astype(np.int64), np.bincount(row, high - low, n).astype(np.int64), np.diff(first).astype(np.int64), left
+
+
+def _with_spans(docs: DataFrame, least: int) -> DataFrame:
+    spans = repeated_spans(docs, least).groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias(SPANS))
+    return docs.join(spans, "doc_id", "left").select(*docs.columns, SPANS)
+
+
+def remove_repeats(docs: DataFrame, least: int = 200) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
 
-    Bytes of a character that is cut in two are dropped from that text (not from the digest).
+    def run(batches):
+        for batch in batches:
+            for rows, data, offsets in pieces(batch):
+                top, removed, runs, left = _stripped(rows, data, offsets)
+                digests = pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(ids_of(rows)), pa.array(top), pa.array(removed), pa.array(runs), digests], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return _with_spans(keyed_texts(docs), least).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+
+
+def strip_repeats(docs: DataFrame, least: int = 200) -> DataFrame:
+    """The rows of ``docs``, with all their columns, with repeated bytes cut out of ``text``.
+
+    A character that loses some of its bytes is dropped whole; a null text stays null,
+    and rows without an id stay as they are.
     """
-    spans = repeated_spans(docs, least).groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("s"))
 
     def run(batches):
         for batch in batches:
             for rows, data, offsets in pieces(batch):
-                listed = rows.column(rows.schema.get_field_index("s"))
-                flat = listed.flatten()
-                low, high = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
-                row = np.repeat(np.arange(rows.num_rows), listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                top = offsets[1:] - offsets[:-1]
-                low, high = np.minimum(low, top[row]), np.minimum(high, top[row])
-                row, low, high = (x[high > low] for x in (row, low, high))
-                row, low, high = merged(row, low, high)
-                whole = data.tobytes()
-                first = np.searchsorted(row, np.arange(rows.num_rows + 1))
-                removed = np.bincount(row, high - low, rows.num_rows).astype(np.int64)
-                digests, kept = [], []
-                for i in range(rows.num_rows):
-                    at, parts = int(offsets[i]), []
-                    for k in range(int(first[i]), int(first[i + 1])):
-                        parts.append(whole[at : int(offsets[i] + low[k])])
-                        at = int(offsets[i] + high[k])
-                    parts.append(whole[at : int(offsets[i + 1])])
-                    left = b"".join(parts)
-                    digests.append(hashlib.sha256(left).hexdigest())
-                    if keep_text:
-                        kept.append(left.decode("utf-8", "ignore"))
-                columns = [pa.array(ids_of(rows)), pa.array(top.astype(np.int64)), pa.array(removed), pa.array(np.diff(first).astype(np.int64)), pa.array(digests, pa.string())]
-                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-                if keep_text:
-                    columns.append(pa.array(kept, pa.string()))
-                    names.append("kept_text")
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_text string" * keep_text
-    return keyed_texts(docs).join(spans, "doc_id", "left").select("doc_id", "text", "s").mapInArrow(run, schema)
+                left = _stripped(rows, data, offsets)[3]
+                at = rows.schema.get_field_index("text")
+                text = pa.array([x.decode("utf-8", "ignore") for x in left], pa.string())
+                text = pc.if_else(rows.column(at).is_null(), pa.scalar(None, pa.string()), text)
+                yield pa.RecordBatch.from_arrays([text if i == at else rows.column(i) for i in range(rows.num_columns - 1)], rows.schema.names[:-1])
 
+    return _with_spans(docs, least).mapInArrow(run, docs.schema)
