@@ -46,17 +46,19 @@ def admission_reason(policy: ArchivePolicy, known_values: dict[str, list[str]] |
         (bad_axis, "descriptor_attestation_invalid"),
         (~F.col("cell").isin(*policy.cells), "outside_prespecified_feasible_mask"),
         (F.col("similarity") >= policy.similarity_ceiling, "global_semantic_similarity_ceiling"),
-        (F.coalesce(bad_vector, F.lit(True)), "descriptor_attestation_invalid"),
-        (F.coalesce(~error.between(0.0, 1.0), F.lit(True)), "descriptor_attestation_invalid"),
+        (bad_vector, "descriptor_attestation_invalid"),
+        (~error.between(0.0, 1.0), "descriptor_attestation_invalid"),
     ]
     if policy.error_ceiling is not None:
         rules.append((error > policy.error_ceiling, "oracle_ablation_fragility_ceiling"))
     rules += [
-        (F.coalesce(~stability.between(0.0, 1.0), F.lit(True)), "descriptor_attestation_invalid"),
+        (~stability.between(0.0, 1.0), "descriptor_attestation_invalid"),
         (stability < policy.stability_floor, "descriptor_instability_floor"),
     ]
-    out = F.when(*rules[0])
-    for condition, reason in rules[1:]:
+    # a rule that a null leaves open refuses
+    refused = [(F.coalesce(condition, F.lit(True)), reason) for condition, reason in rules]
+    out = F.when(*refused[0])
+    for condition, reason in refused[1:]:
         out = out.when(condition, reason)
     return out
 

@@ -242,9 +242,11 @@ AUDIT_HEADINGS = ("# Human audit", "Reviewer:", "| prompt family |", "Signed-off
 # end of fixed values
 
 
-def _filled(text: Column, label: str) -> Column:
-    value = F.btrim(F.trim(F.regexp_extract(text, rf"{label}[ \t\n\r]*([^\n]*)", 1)), F.lit("*_ "))
-    return (value != "") & ~value.contains("UNSIGNED") & ~value.contains("___") & (F.lower(value) != "todo")
+def _names_someone(text: Column, label: str) -> Column:
+    """What follows a label is a name: something remains without marks and white space, and it is no placeholder."""
+    line = F.regexp_extract(text, rf"{label}\s*([^\r\n]*)", 1)
+    name = F.regexp_replace(line, r"^[\s*_]+|[\s*_]+$", "")
+    return ~name.rlike(r"UNSIGNED|___|^(?i:todo)?$")
 
 
 def audit_document(text: Column, families: list[str]) -> Column:
@@ -254,7 +256,7 @@ def audit_document(text: Column, families: list[str]) -> Column:
     return F.struct(
         F.array_join(missing, ";").alias("missing_sections"),
         F.array_join(omitted, ";").alias("missing_families"),
-        (_filled(text, "Reviewer:") & _filled(text, "Signed-off-by:")).alias("signed"),
+        (_names_someone(text, "Reviewer:") & _names_someone(text, "Signed-off-by:")).alias("signed"),
     )
 
 
@@ -291,24 +293,24 @@ SECRET_PATTERNS = (
     r"(?:sk-ant-|sk-or-v1-|sk-proj-)[A-Za-z0-9_-]{20,}",
     r"-----BEGIN (?:RSA |OPENSSH |EC )?PRIVATE KEY-----",
 )
-MAX_SCAN_BYTES = 32 * 1024 * 1024
 # end of fixed values
 
 
 def secret_hit(text: Column, secrets: list[str], patterns: tuple[str, ...] = SECRET_PATTERNS) -> Column:
-    """First kind of leak in a text: a known value, its base64 form, or a shape; large texts are skipped."""
-    kept = [s for s in secrets if len(s) >= 8]
-    encoded = [base64.b64encode(s.encode()).decode() for s in kept]
+    """First kind of leak in a text of any size: a known value, its base64 form, or a shape.
+
+    Known values under eight characters would match by chance; they are not looked for.
+    """
+    long = [s for s in secrets if len(s) >= 8]
+    encoded = [base64.b64encode(s.encode()).decode() for s in long]
     def any_of(values: list[str]) -> Column:
         hit = F.lit(False)
         for value in values:
             hit = hit | text.contains(value)
         return hit
     scanned = F.regexp_replace(text, "/home/agent/", "/container-user/")
-    small = F.octet_length(text) <= MAX_SCAN_BYTES
-    return F.when(small & any_of(kept), "value").when(small & any_of(encoded), "base64").when(
-        small & scanned.rlike("|".join(f"(?:{p})" for p in patterns)), "pattern"
-    )
+    shaped = scanned.rlike("|".join(f"(?:{p})" for p in patterns))
+    return F.when(any_of(long), "value").when(any_of(encoded), "base64").when(shaped, "pattern")
 
 
 def payload_rules(root: Column, path: Column, approved: Column, roots: list[str], suffixes: list[str], names: list[str]) -> list[Rule]:

@@ -64,10 +64,12 @@ def class_balance(rows: DataFrame, supplement: DataFrame, group: str, declared:
             F.coalesce(F.min(kept) < F.max(kept), F.lit(False)).alias(f"{prefix}_balanced")
         )
 
-    names = sorted({*declared, *excluded})
-    families = F.explode(F.array(*[F.lit(x) for x in names])).alias("prompt_family")
-    grid = rows.select(group).distinct().select(group, families)
-    is_declared = F.col("prompt_family").isin(*declared) if declared else F.lit(False)
+    named = sorted({*declared, *excluded})
+    every = rows.select(group).distinct()
+    grid = every.select(group, F.explode(F.array(*[F.lit(x) for x in named]).cast("array<string>")).alias("prompt_family"))
+    if not declared:  # then the families that a group shows are the declared ones
+        grid = grid.unionByName(rows.select(group, "prompt_family")).distinct()
+    is_declared = F.col("prompt_family").isin(*declared) if declared else F.col("main_balanced").isNotNull()
     is_excluded = F.col("prompt_family").isin(*excluded) if excluded else F.lit(False)
     joined = grid.join(classes(rows, "main"), [group, "prompt_family"], "left").join(
         classes(supplement, "extra"), [group, "prompt_family"], "left"

@@ -21,14 +21,14 @@ class Hooks:
 
 
 def exact_rerender_check(rows: DataFrame, keys: list[str], hooks: Hooks, tolerance: float = 1e-9) -> DataFrame:
-    """First difference between the stored and the recomputed row."""
+    """First difference between the stored and the recomputed row; a null on one side only is one."""
     different = (
-        F.when(~hooks.supported, "unsupported")
+        F.when(~F.coalesce(hooks.supported, F.lit(False)), "unsupported")
         .when(~F.col("decision").eqNullSafe(hooks.decision), "decision")
-        .when(F.abs(F.col("margin") - hooks.margin) > tolerance, "margin")
-        .when(F.col("quarantined") != hooks.quarantined, "quarantined")
+        .when(~F.coalesce(F.abs(F.col("margin") - hooks.margin) <= tolerance, F.col("margin").eqNullSafe(hooks.margin)), "margin")
+        .when(~F.col("quarantined").eqNullSafe(hooks.quarantined), "quarantined")
         .when(~F.col("answer").eqNullSafe(hooks.answer), "answer")
-        .when(F.col("candidates") != hooks.candidates, "candidates")
+        .when(~F.col("candidates").eqNullSafe(hooks.candidates), "candidates")
         .otherwise("ok")
     )
     return rows.select(*keys, different.alias("outcome"))

@@ -200,13 +200,13 @@ def phase_seconds(spark, d):
 @query(
     "survivor_shrink",
     views=("v_turns",),
-    sql="""WITH s AS (SELECT run, sequence, list_distinct(regexp_extract_all(left(lower(text), 200), '[a-z]{2}')) AS sv FROM v_turns),
+    sql="""WITH s AS (SELECT run, sequence, list_distinct(regexp_extract_all(lower(text), '[a-z]{2}')) AS sv FROM v_turns),
     p AS (SELECT *, lag(sv) OVER (PARTITION BY run ORDER BY sequence) AS pv FROM s)
     SELECT run, sequence, CAST(len(list_filter(sv, lambda x: NOT list_contains(pv, x))) AS INTEGER) AS reintroduced FROM p
     WHERE pv IS NOT NULL AND len(list_filter(sv, lambda x: NOT list_contains(pv, x))) > 0""",
 )
 def survivor_shrink(spark, d):
-    survivors = F.array_distinct(F.regexp_extract_all(F.left(F.lower("text"), F.lit(200)), F.lit("([a-z]{2})"), F.lit(1)))
+    survivors = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{2})"), F.lit(1)))
     passes = v.v_turns(spark, d).select("run", "sequence", survivors.alias("survivors"))
     return G.survivor_shrink(passes, "run", "sequence", "survivors", turn_bucket())
 

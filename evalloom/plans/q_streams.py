@@ -129,18 +129,14 @@ def image_decision(spark, d):
     return I.image_decision(rasters(spark, d), "scene", dark_scorer)
 
 
-def _visible(spark, d):
-    return rasters(spark, d).filter(F.hex(F.col("image.data")).contains("000000"))
-
-
 @query("ablation_impact", views=())
 def ablation_impact(spark, d):
-    return I.ablation_impact(_visible(spark, d), "scene", dark_scorer, grid=8, overlap=4)
+    return I.ablation_impact(rasters(spark, d), "scene", dark_scorer, grid=8, overlap=4)
 
 
 @query("attest_from_images", views=())
 def attest_from_images(spark, d):
-    grids = I.ablation_impact(_visible(spark, d), "scene", dark_scorer, grid=8, overlap=4)
+    grids = I.ablation_impact(rasters(spark, d), "scene", dark_scorer, grid=8, overlap=4)
     labelled = grids.join(v.v_grid(spark, d).select("scene", "candidate"), "scene")
     return G.attest(labelled, "candidate")
 

@@ -3,7 +3,7 @@
 A window over one key sorts that whole key in one task.  These helpers cut each
 key into ordered buckets, scan every bucket on its own, and carry one summary
 row per bucket across.  Only the summaries of a key meet in one task.  Rows with
-a null key belong to no sequence and are left out.
+a null key form one sequence, as in a window.
 
 ``bucket`` must never fall while ``order`` rises, and must be a plain function
 of the row (for example ``event_id div 100000``), so that a retried task sees
@@ -26,6 +26,16 @@ def _as_col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def _rejoin(rows: DataFrame, carries: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with the carry of its key and bucket; a null key is a key of its own."""
+    on = [*keys, _BUCKET]
+    side = carries.select(*[F.col(k).alias(f"__on_{i}") for i, k in enumerate(on)], *[c for c in carries.columns if c not in on])
+    same = F.lit(True)
+    for i, k in enumerate(on):
+        same = same & rows[k].eqNullSafe(side[f"__on_{i}"])
+    return rows.join(side, same).drop(*[f"__on_{i}" for i in range(len(on))])
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -56,7 +66,7 @@ def running(
         _BUCKET,
         *[_AGG[kind](f"__t_{name}").over(before).alias(f"__c_{name}") for name, (kind, _) in specs.items()],
     )
-    out = scanned.join(carries, [*keys, _BUCKET])
+    out = _rejoin(scanned, carries, keys)
     for name, (kind, _) in specs.items():
         carry, here = F.col(f"__c_{name}"), F.col(f"__l_{name}")
         if kind == "sum":
@@ -90,7 +100,7 @@ def neighbour(
     edges = base.groupBy(*keys, _BUCKET).agg(edge.alias("__edge"))
     between = W.partitionBy(*(keys or [F.lit(0)])).orderBy(_BUCKET)
     carries = edges.select(*keys, _BUCKET, shift("__edge").over(between).alias("__far"))
-    out = scanned.join(carries, [*keys, _BUCKET]).withColumn("__near", F.coalesce("__near", "__far"))
+    out = _rejoin(scanned, carries, keys).withColumn("__near", F.coalesce("__near", "__far"))
     return out.select(*df.columns, *[F.col(f"__near.{c}").alias(f"{prefix}{c}") for c in columns])
 
 
@@ -126,7 +136,7 @@ def segments(
     )
     before = F.sum(F.col("__n") + F.col("__open")).over(across.rowsBetween(W.unboundedPreceding, -1))
     carries = joined_on.select(*keys, _BUCKET, (F.coalesce(before, F.lit(0)) + F.col("__open")).alias("__base"))
-    out = scanned.join(carries, [*keys, _BUCKET])
+    out = _rejoin(scanned, carries, keys)
     return out.select(*df.columns, (F.col("__inner") + F.col("__base")).alias(name))
 
 
@@ -145,7 +155,7 @@ def streak_lengths(
     # hits counted up to the last reset of an earlier bucket
     base_at = F.max(F.when(F.col("__at").isNotNull(), F.col("__upto") + F.col("__at"))).over(before)
     carries = counted.select(*keys, _BUCKET, (F.col("__upto") - F.coalesce(base_at, F.lit(0))).alias("__carry"))
-    out = scanned.join(carries, [*keys, _BUCKET])
+    out = _rejoin(scanned, carries, keys)
     length = F.when(F.col("__reset").isNotNull(), F.col("__hits") - F.col("__reset")).otherwise(F.col("__hits") + F.col("__carry"))
     return out.select(*df.columns, length.alias(name))
 

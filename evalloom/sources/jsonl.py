@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -56,11 +57,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> tuple[Data
 
 def number_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Lines with their number per file, counted in parallel over all splits."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
-    schema = "value string, file string, position bigint"
-    indexed = spark.createDataFrame(lines.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), schema)
-    first = indexed.groupBy("file").agg(F.min("position").alias("first"))
-    return indexed.join(first, "file").select("value", "file", (F.col("position") - F.col("first") + 1).alias("line"))
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seen"),
+    )
+    # a split is read in order, whatever splits share its partition
+    inside = F.row_number().over(W.partitionBy("file", "block").orderBy("seen"))
+    before = F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    sizes = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")).select("file", "block", F.coalesce(before, F.lit(0)).alias("before"))
+    return lines.withColumn("inside", inside).join(sizes, ["file", "block"]).select("value", "file", (F.col("before") + F.col("inside")).alias("line"))
 
 
 def legacy_rename(rows: DataFrame, new: str, old: str) -> DataFrame:

@@ -65,9 +65,13 @@ def latest_status(events: DataFrame, key: str = "sample_key", seq: str = "seq")
     return events.groupBy(key).agg(F.max_by("status", seq).alias("status"))
 
 
-def unique_events(events: DataFrame, ident: str, *, within: str | None = None) -> DataFrame:
-    """Ids seen for the first time; with ``within`` state is kept for that long after the watermark."""
-    return events.dropDuplicatesWithinWatermark([ident]) if within else events.dropDuplicates([ident])
+def unique_events(events: DataFrame, ident: str, *, within: str | None = None, at: str | None = None) -> DataFrame:
+    """Ids seen for the first time; with ``within`` an id is remembered for that long after its time ``at``."""
+    if within is None:
+        return events.dropDuplicates([ident])
+    if at is None:
+        raise ValueError("a bound needs the name of the time column")
+    return events.withWatermark(at, within).dropDuplicatesWithinWatermark([ident])
 
 
 def open_attempts(events: DataFrame, key: str) -> DataFrame:

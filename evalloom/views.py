@@ -227,14 +227,10 @@ def v_li(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of an acyclic graph: every link leads from a customer to a later one."""
-    return (
-        table(spark, sf_dir, "orders")
-        .filter(F.col("o_orderkey") % 10 == 0)
-        .select(
-            F.col("o_custkey").alias("src"),
-            (F.col("o_custkey") + 1 + F.col("o_orderkey") % 7).alias("dst"),
-            "o_orderkey",
-        )
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("src"),
+        (F.col("o_custkey") + 1 + F.col("o_orderkey") % 997).alias("dst"),
+        "o_orderkey",
     )
 
 
@@ -326,8 +322,7 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "v_edges": (
         (),
-        """SELECT o_custkey AS src, o_custkey + 1 + o_orderkey % 7 AS dst, o_orderkey
-        FROM orders WHERE o_orderkey % 10 = 0""",
+        """SELECT o_custkey AS src, o_custkey + 1 + o_orderkey % 997 AS dst, o_orderkey FROM orders""",
     ),
 }
 
