@@ -101,3 +101,11 @@ def test_distance_and_empty_cells(spark):
     archives = spark.createDataFrame([(0,)], "campaign_id int")
     out = {r.cell: (r.occupancy, r.min_distance) for r in A.archive_summary(elites, archives, ["campaign_id"], list(CELLS), "id").collect()}
     assert out == {"a": (2, round(np.sqrt(0.5), 9)), "b": (1, None), "c": (0, None)}
+
+
+def test_unknown_flags_are_refused(spark):
+    whole = dict(valid=True, attested=True, cell="a", similarity=0.1, vector=[0.1] * 4, error_fraction=0.1, stability=0.9)
+    rows = [whole] + [whole | {name: None} for name in whole]
+    df = spark.createDataFrame(rows, "valid boolean, attested boolean, cell string, similarity double, vector array<double>, error_fraction double, stability double")
+    reasons = [r.reason for r in df.select(A.admission_reason(POLICY).alias("reason")).collect()]
+    assert reasons[0] is None and all(reasons[1:])

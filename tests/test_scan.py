@@ -98,3 +98,11 @@ def test_smooth_cycles_match_numpy(spark):
     df = spark.createDataFrame([(0, int(i), float(x)) for i, x in enumerate(values)], "key int, seq int, v double")
     out = series.count_cycles(df, ["key"], ["seq"], "v", F.expr("seq div 50"), F.floor(F.col("smooth")), minimum_run=8).first()
     assert out.cycles == 5
+
+
+def test_null_keys_form_a_sequence(spark):
+    rows = spark.createDataFrame([(None, 1, 5), (None, 2, 6), (1, 1, 7), (None, 300, 1)], "k int, t int, x int")
+    got = scan.running(rows, ["k"], ["t"], F.expr("t div 100"), {"total": ("sum", "x")}).collect()
+    assert sorted((r.k or 0, r.t, r.total) for r in got) == [(0, 1, 5), (0, 2, 11), (0, 300, 12), (1, 1, 7)]
+    near = scan.neighbour(rows, ["k"], ["t"], F.expr("t div 100"), ["x"]).collect()
+    assert sorted((r.k or 0, r.t, r.prev_x) for r in near) == [(0, 1, None), (0, 2, 5), (0, 300, 6), (1, 1, None)]

@@ -122,3 +122,26 @@ def test_empty_and_single_cell_grids(spark):
     assert (rows[2].span, rows[2].components, rows[2].elongation, rows[2].fill) == (0.0, 1, 1.0, 1.0)
     assert np.array(rows[2].impact_map).reshape(8, 8)[4, 4] + np.array(rows[2].impact_map).reshape(8, 8)[3, 3] == 1.0
     assert G.component_table(df, "scene", "impact").count() == 1
+
+
+def test_line_numbers_over_many_splits(spark, tmp_path):
+    for name, bad in (("a", 95), ("b", 95), ("c", 3)):
+        (tmp_path / f"{name}.jsonl").write_text("".join("nope\n" if i == bad else f'{{"x": {i}}}\n' for i in range(1, 101)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200b")
+    try:
+        good, errors = J.read_jsonl(spark, str(tmp_path), StructType().add("x", LongType()))
+        assert sorted((r.file[-7:], r.line) for r in errors.collect()) == [("a.jsonl", 95), ("b.jsonl", 95), ("c.jsonl", 3)]
+        assert good.count() == 297
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_picture_without_an_answer_keeps_its_row(spark, pictures):
+    images = spark.read.format("image").load(pictures).select(F.col("image.origin").alias("scene"), "image")
+
+    def scorer(pixels):
+        raise ValueError("blank")
+
+    rows = I.ablation_impact(images, "scene", scorer, grid=2, overlap=None).collect()
+    assert len(rows) == 6 and all(r.decision is None and r.failure == "blank" and r.error == [1.0] * 4 for r in rows)
