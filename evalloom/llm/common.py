@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import gc
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.session import cut_lineage, shared_folder
+from evalloom import session
 
-__all__ = ["components", "cut_lineage", "drop_written", "keyed_texts", "labelled", "shared_folder", "table"]
+__all__ = ["components", "cut_lineage", "drop_written", "keyed_texts", "labelled", "remainder", "table"]
+
+
+def cut_lineage(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; the shuffles behind it may then go.
+
+    Spark removes the shuffle files of finished jobs when the driver collects its
+    garbage, so that is asked for here: the disk then holds about one step.
+    """
+    written = session.cut_lineage(df, purpose)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

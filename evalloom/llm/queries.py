@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from evalloom.llm.common import table
 from evalloom.llm.embedding_dedup import embedding_links
 from evalloom.llm.license_scan import license_scan
 from evalloom.llm.minhash import near_duplicates
+from evalloom.llm.oracle import ORACLE
 from evalloom.llm.packing import best_fit_pack
 from evalloom.llm.piece_sampling import sample_pieces
 from evalloom.llm.quality_classifier import quality_classifier
@@ -65,4 +65,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_substring_dedup, op3_embedding_near_dedup, op4_toxicity, op5_license_scan, op6_quality_rules, op7_suffix_array_dedup, op8_quality_classifier, op9_piece_sampling, op10_best_fit_packing,
 )} | {"pipeline": corpus_pipeline.run}
-ORACLE: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
