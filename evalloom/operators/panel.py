@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evalloom.session import broadcast_if_small
+
 from evalloom.operators.ledger import latest_terminal
 from evalloom.plans.scan import running
 
@@ -190,7 +192,7 @@ def bootstrap_join(manifest: DataFrame, results: DataFrame, digests: DataFrame,
         manifest.join(results, "candidate", "left")
         .join(digests, "candidate", "left")
         .join(
-            F.broadcast(forward.withColumn("forward", F.lit(True))),
+            broadcast_if_small(forward.withColumn("forward", F.lit(True))),
             (F.col("result_policy") == F.col("source_policy")) & (F.col("policy") == F.col("target_policy")),
             "left",
         )

@@ -117,9 +117,11 @@ _NEG_SQL = f"""d AS (SELECT doc_id, {tokens_sql('text')} AS t FROM documents),
     sql=f"WITH {_NEG_SQL} SELECT doc_id, CAST(rank AS INTEGER) AS rank, item_id, score FROM top WHERE rank <= 5",
 )
 def negative_neighbors(spark, d):
-    return S.negative_neighbors(
-        v.v_docs_spread(spark, d), v.table(spark, d, "benchmark"), 5, ident="doc_id", name="item_id"
-    )
+    return _negatives(spark, d, 5)
+
+
+def _negatives(spark, d, k: int):
+    return S.negative_neighbors(v.v_docs_spread(spark, d), v.table(spark, d, "benchmark"), k, ident="doc_id", name="item_id")
 
 
 @query(
@@ -128,7 +130,7 @@ def negative_neighbors(spark, d):
     sql=f"WITH {_NEG_SQL} SELECT doc_id, item_id, score FROM top WHERE rank = 1",
 )
 def top_k_by_score(spark, d):
-    return negative_neighbors(spark, d).filter("rank = 1").select("doc_id", "item_id", "score")
+    return _negatives(spark, d, 1).select("doc_id", "item_id", "score")
 
 
 @query(

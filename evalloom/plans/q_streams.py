@@ -106,7 +106,19 @@ def palette_label(spark, d):
     return I.palette_label(rasters(spark, d), "scene", [(10, 10, 10), (250, 250, 250), (128, 0, 0)])
 
 
-@query("image_profile", views=())
+# dark pixels and colours are 0 or 1 here; pixels near one side weigh one for each side
+_PICTURE = """px AS (SELECT scene, candidate, x, y, impact > 0 AS dark,
+        CAST(x < 3 AS INT) + CAST(x >= 5 AS INT) + CAST(y < 3 AS INT) + CAST(y >= 5 AS INT) AS w FROM v_grid),
+    sides AS (SELECT scene, sum(w) FILTER (dark) AS dark_w, sum(w) AS all_w FROM px GROUP BY scene),
+    paint AS (SELECT scene, CASE WHEN 2 * coalesce(dark_w, 0) > all_w THEN 0 WHEN 2 * coalesce(dark_w, 0) = all_w THEN 127 ELSE 255 END AS colour FROM sides),
+    share AS (SELECT scene, avg(CAST(abs(CASE WHEN dark THEN 0 ELSE 255 END - colour) * sqrt(3) > 24 AS DOUBLE)) AS foreground,
+        avg(CAST(dark AS DOUBLE)) AS p FROM px JOIN paint USING (scene) GROUP BY scene),
+    edge AS (SELECT a.scene, avg(CAST(a.dark <> b.dark AS DOUBLE)) AS edges FROM px a JOIN px b ON a.scene = b.scene
+        AND ((a.x = b.x AND a.y + 1 = b.y) OR (a.y = b.y AND a.x + 1 = b.x)) GROUP BY a.scene),
+    prof AS (SELECT scene, foreground, edges, CASE WHEN p IN (0, 1) THEN 0 ELSE -(p * log2(p) + (1 - p) * log2(1 - p)) / 9 END AS entropy FROM share JOIN edge USING (scene))"""
+
+
+@query("image_profile", views=("v_grid",), sql=f"WITH {_PICTURE} SELECT scene, foreground, edges, entropy FROM prof")
 def image_profile(spark, d):
     return I.image_profile(rasters(spark, d), "scene")
 
@@ -129,7 +141,18 @@ def image_decision(spark, d):
     return I.image_decision(rasters(spark, d), "scene", dark_scorer)
 
 
-@query("ablation_impact", views=())
+# a block of one cell, a quarter wider on all sides and rounded up, reaches one cell around it
+@query(
+    "ablation_impact",
+    views=("v_grid",),
+    sql=f"""WITH {_PICTURE}, base AS (SELECT scene, sum(CAST(dark AS INT)) AS n FROM px GROUP BY scene),
+    blocks AS (SELECT b.scene, b.y * 8 + b.x AS spot, sum(CAST(CASE WHEN abs(p.x - b.x) <= 1 AND abs(p.y - b.y) <= 1 THEN colour < 128 ELSE p.dark END AS INT)) AS n
+        FROM px b JOIN px p ON p.scene = b.scene JOIN paint c ON c.scene = b.scene GROUP BY b.scene, b.x, b.y),
+    hits AS (SELECT k.scene, list(CAST(base.n > 0 AND k.n > 0 AND (k.n >= 4) <> (base.n >= 4) AS DOUBLE) ORDER BY spot) AS impact,
+        list(CAST(base.n = 0 OR k.n = 0 AS DOUBLE) ORDER BY spot) AS error FROM blocks k JOIN base ON base.scene = k.scene GROUP BY k.scene)
+    SELECT scene, CASE WHEN n >= 4 THEN 'present' WHEN n > 0 THEN 'absent' END AS decision, CASE WHEN n = 0 THEN 'nothing to see' END AS failure,
+        impact, error, foreground, edges, entropy FROM base JOIN hits USING (scene) JOIN prof USING (scene)""",
+)
 def ablation_impact(spark, d):
     return I.ablation_impact(rasters(spark, d), "scene", dark_scorer, grid=8, overlap=4)
 

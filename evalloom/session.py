@@ -38,13 +38,15 @@ def cut_lineage(df: DataFrame, purpose: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after counting at most ``max_rows`` rows.
+def broadcast_if_small(df: DataFrame, max_rows: int = 200_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Hint a broadcast only after counting at most ``max_rows`` rows of ``max_bytes`` as JSON.
 
-    The count stops at the limit; a larger side is returned without the hint and
+    The count stops at the row limit; a larger side is returned without the hint and
     Spark then picks a shuffled join.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    rows, held = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(size)).first()
+    return F.broadcast(df) if rows <= max_rows and (held or 0) <= max_bytes else df
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
