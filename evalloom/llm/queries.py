@@ -20,14 +20,20 @@ from evalloom.llm.quality_rules import quality_rules
 from evalloom.llm.repeat_groups import remove_repeats
 from evalloom.llm.substring_dedup import remove_windows
 from evalloom.llm.toxicity import toxicity
+from evalloom.session import spread
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; a table with fewer splits than cores, such as one small file, is dealt to all of them."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(_documents(spark, sf_dir), percent=85)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_windows(table(spark, sf_dir, "documents"), size=13)
+    return remove_windows(_documents(spark, sf_dir), size=13)
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,31 +41,31 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents"))
+    return license_scan(_documents(spark, sf_dir))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_rules(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents"), least=200)
+    return remove_repeats(_documents(spark, sf_dir), least=200)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_classifier(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return sample_pieces(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return best_fit_pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
