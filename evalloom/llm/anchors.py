@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from evalloom.llm.common import cut_lineage, drop_written
 from evalloom.llm.text import ids_of, pieces, sliding_min
 
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
 
 
 def segments(grams: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -56,8 +56,13 @@ def segments(grams: np.ndarray, bounds: np.ndarray, size: int, gram: int) -> tup
     each = np.repeat(np.arange(len(start)), many)
     at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(a, many)
     times = np.bincount(each[grams[chosen[at]] == name[each]], minlength=len(start))
+    # long runs, where a name stands again and again, are cut so that contents stay short
+    most = 4 * size
+    parts = -(-(stop - start) // most)
+    each = np.repeat(np.arange(len(start)), parts)
+    first = start[each] + most * (np.arange(len(each)) - np.repeat(np.cumsum(parts) - parts, parts))
     row = np.searchsorted(bounds, start, "right") - 1
-    return row, start - bounds[row], stop - start, name, times
+    return row[each], first - bounds[row[each]], np.minimum(stop[each] - first, most), name[each], times[each]
 
 
 def named_segments(texts: DataFrame, cut: Callable) -> DataFrame:

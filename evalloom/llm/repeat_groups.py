@@ -25,11 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.llm.anchors import by_shard, contents, ranks_by_doubling, repeated_segments, segments
+from evalloom.llm.anchors import by_shard, contents, repeated_segments, segments
 from evalloom.llm.common import cut_lineage, drop_written, keyed_texts
 from evalloom.llm.text import UNSTEP, ids_of, mix, pieces, powers, running
 
-GRAM, SPANS = 24, "spans of repeats"
+GRAM, SPANS = 64, "spans of repeats"
 
 
 def byte_segments(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
@@ -42,66 +42,111 @@ def byte_segments(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np
     return segments(grams, offsets, least, gram)
 
 
-def maximal_repeats(bodies: list[bytes], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, body of each occurrence, place of each occurrence) of every maximal repeat of ``least`` bytes or more."""
+def _sorted_runs(bodies: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes that share their first ``least`` bytes with another, in order: body, place, the byte before, and run bounds.
+
+    Prefix doubling from seven bytes; a place is only ordered as far as its body
+    reaches, and only while it ties.
+    """
     size = np.array([len(b) for b in bodies], np.int64)
     start = np.cumsum(size + 1) - size - 1
-    joined = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8)
-    codes = joined.astype(np.int64) + 1
-    end = np.repeat(start + size, size + 1)  # of the body at each place
-    codes[start + size] = 300 + np.arange(len(bodies))  # every body ends in a symbol of its own
-    order, levels = ranks_by_doubling(codes)
-    room = end[order] - order >= least
-    order = order[room]
-    if len(order) < 2:
-        return
-    # common prefix of neighbours: a sum of falling powers, as no two suffixes are equal
-    a, b = order[:-1].copy(), order[1:].copy()
-    prefix = np.zeros(len(a), np.int64)
-    last = len(codes) - 1
-    for step in sorted(levels, reverse=True):
-        rank = levels[step]
-        same = (a <= last) & (b <= last) & (rank[np.minimum(a, last)] == rank[np.minimum(b, last)])
-        grown = step * same
-        a += grown
-        b += grown
-        prefix += grown
-    body = np.searchsorted(start, order, "right") - 1
-    # the byte before; a place at the start of its body differs from all others
-    before = np.where(order == start[body], -1 - np.arange(len(order)), codes[np.maximum(order - 1, 0)])
-    linked = prefix >= least
-    opens = np.flatnonzero(linked & ~np.concatenate([[False], linked[:-1]]))
-    closes = np.flatnonzero(linked & ~np.concatenate([linked[1:], [False]])) + 1
-    if not len(opens):
+    symbols = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8).astype(np.int64) + 1
+    symbols[start + size] = 0
+    n = len(symbols)
+    room = np.repeat(start + size, size + 1) - np.arange(n)  # bytes up to the end of the body
+    have = min(7, least)
+    key = np.zeros(n, np.int64)
+    for j in range(have):
+        key[: n - j] |= symbols[j:] << (9 * (have - 1 - j))
+    tied = np.flatnonzero(room >= have)
+    rank = np.zeros(n, np.int64)
+    key = key[tied]
+    base = np.zeros(len(tied), np.int64)
+    while True:
+        by_key = np.argsort(key, kind="stable")
+        tied, key, base = tied[by_key], key[by_key], base[by_key]
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        many = np.diff(np.append(heads, len(key)))
+        # ranks keep the order of earlier rounds: a group is renumbered inside its own range
+        group = np.flatnonzero(np.concatenate([[True], base[1:] != base[:-1]])) if len(base) else heads
+        inside = np.arange(len(tied)) - np.repeat(group, np.diff(np.append(group, len(tied))))
+        rank[tied] = np.repeat((base + inside)[heads] + 1, many)
+        tied = tied[np.repeat(many, many) > 1]
+        if 2 * have > least:
+            break
+        tied = tied[room[tied] >= 2 * have]
+        base = rank[tied] - 1
+        key = rank[tied] * (n + 2) + rank[tied + have]
+        have *= 2
+    tied = tied[room[tied] >= least]
+    key = rank[tied] * (n + 2) + rank[tied + least - have]
+    by_key = np.argsort(key, kind="stable")
+    tied, key = tied[by_key], key[by_key]
+    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    many = np.diff(np.append(heads, len(key)))
+    tied, many = tied[np.repeat(many, many) > 1], many[many > 1]
+    body = np.searchsorted(start, tied, "right") - 1
+    # a place at the start of its body differs from all others
+    before = np.where(tied == start[body], -1 - np.arange(len(tied)), symbols[np.maximum(tied - 1, 0)])
+    return body, tied - start[body], before, np.cumsum(many) - many, np.cumsum(many)
+
+
+def _common(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (differ.bit_length() + 7) // 8
+
+
+def _intervals(bodies: list[bytes], least: int) -> Iterator[tuple[int, list[tuple], int, int, list[int]]]:
+    """(length, suffixes of the run, first and last of the interval, its fresh suffixes) of every maximal repeat.
+
+    A run of suffixes with equal bytes before them only continues groups that begin
+    further left, so the stack scans the runs that differ there.  Fresh are the
+    suffixes that no longer maximal repeat holds; each suffix of a run is fresh once.
+    """
+    body, place, before, low, high = _sorted_runs(bodies, least)
+    if not len(low):
         return
-    change = np.concatenate([[0], np.cumsum(before[1:] != before[:-1])])
-    for low, high in zip(opens.tolist(), closes.tolist(), strict=True):
-        if change[high] == change[low]:
-            continue  # all extend to the left: a group one byte before holds them
-        if high - low == 1:
-            yield int(prefix[low]), body[low : high + 1], order[low : high + 1] - start[body[low : high + 1]]
-            continue
-        stack: list[tuple[int, int]] = []
-        for i in range(low, high + 1):
-            length, left = (int(prefix[i]) if i < high else 0), i
+    diverse = np.minimum.reduceat(before, low) != np.maximum.reduceat(before, low)
+    for a, b in zip(low[diverse].tolist(), high[diverse].tolist(), strict=True):
+        suffixes = sorted((bodies[i][p:], i, p, c) for i, p, c in zip(body[a:b].tolist(), place[a:b].tolist(), before[a:b].tolist(), strict=True))
+        change = [0]
+        for x, y in zip(suffixes, suffixes[1:], strict=False):
+            change.append(change[-1] + (x[3] != y[3]))
+        prefix = [_common(x[0], y[0]) for x, y in zip(suffixes, suffixes[1:], strict=False)] + [0]
+        stack: list[tuple[int, int, list[int]]] = []
+        for i, length in enumerate(prefix):
+            left, pending = i, [i]
             while stack and stack[-1][0] > length:
-                depth, left = stack.pop()
+                depth, left, fresh = stack.pop()
+                fresh += pending
+                pending = fresh
                 if change[i] != change[left]:
-                    yield depth, body[left : i + 1], order[left : i + 1] - start[body[left : i + 1]]
-            if length >= least and (not stack or stack[-1][0] < length):
-                stack.append((length, left))
+                    yield depth, suffixes, left, i, fresh
+                    pending = []
+            if length:
+                if stack and stack[-1][0] == length:
+                    stack[-1][2].extend(pending)
+                else:
+                    stack.append((length, left, pending))
+
+
+def maximal_repeats(bodies: list[bytes], least: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(length, (body, place) of all occurrences) of every maximal repeat of ``least`` bytes or more."""
+    for depth, suffixes, left, right, _ in _intervals(bodies, least):
+        yield depth, [(s[1], s[2]) for s in suffixes[left : right + 1]]
 
 
 def _covered(bodies: list[bytes], copies: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(body, start, end) of the repeated stretches of each body; a body with copies is repeated as a whole."""
-    who, low, high = [np.flatnonzero(copies > 1)], [], []
-    low.append(np.zeros(len(who[0]), np.int64))
-    high.append(np.array([len(bodies[i]) for i in who[0]], np.int64))
-    for length, body, place in maximal_repeats(bodies, least):
-        who.append(body)
-        low.append(place)
-        high.append(place + length)
-    return merged(np.concatenate(who), np.concatenate(low), np.concatenate(high))
+    who = np.flatnonzero(copies > 1).tolist()
+    low, high = [0] * len(who), [len(bodies[i]) for i in who]
+    for length, suffixes, _, _, fresh in _intervals(bodies, least):
+        for i in fresh:
+            who.append(suffixes[i][1])
+            low.append(suffixes[i][2])
+            high.append(suffixes[i][2] + length)
+    return merged(np.array(who, np.int64), np.array(low, np.int64), np.array(high, np.int64))
 
 
 def merged(who: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,10 +181,11 @@ def repeated_spans(docs: DataFrame, least: int = 200) -> DataFrame:
         who, low, high = _covered(bodies, copies, least)
         return who.tolist(), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))
 
-    spans = cut_lineage(by_shard(found.select("digest", "name", "content", "doc_id"), solve, "digest binary, low int, high int"), "spans")
-    return found.select("doc_id", "start", "digest").join(spans, "digest").select(
-        "doc_id", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high")
-    )
+    solved = cut_lineage(by_shard(found.select("digest", "name", "content", "doc_id"), solve, "digest binary, low int, high int"), "solved")
+    placed = found.select("doc_id", "start", "digest").join(solved, "digest")
+    out = cut_lineage(placed.select("doc_id", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high")), "spans")
+    drop_written(spark, found, solved)
+    return out
 
 
 def _stripped(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
