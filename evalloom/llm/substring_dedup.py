@@ -143,7 +143,7 @@ def repeated_windows(docs: DataFrame, size: int = 13) -> DataFrame:
         smallest = smallest_documents(bodies, lows, size)
         return range(len(bodies)), pa.array([x.astype("<i8").tobytes() for x in smallest], pa.binary())
 
-    solved = by_shard(found.select("digest", "name", "content", "doc_id"), solve, "digest binary, smallest binary")
+    solved = cut_lineage(by_shard(found.select("digest", "name", "content", "doc_id"), solve, "digest binary, smallest binary"), "smallest")
 
     def runs(batches):
         for batch in batches:
@@ -168,7 +168,10 @@ def repeated_windows(docs: DataFrame, size: int = 13) -> DataFrame:
                 ["doc_id", "low", "high"],
             )
 
-    return found.select("doc_id", "start", "digest").join(solved, "digest").select("doc_id", "start", "smallest").mapInArrow(runs, "doc_id bigint, low int, high int")
+    placed = found.select("doc_id", "start", "digest").join(solved, "digest").select("doc_id", "start", "smallest")
+    out = cut_lineage(placed.mapInArrow(runs, "doc_id bigint, low int, high int"), "spans")
+    drop_written(docs.sparkSession, found, solved)
+    return out
 
 
 def remove_windows(docs: DataFrame, size: int = 13, keep_text: bool = False) -> DataFrame:
