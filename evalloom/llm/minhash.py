@@ -4,9 +4,11 @@ Documents with equal shingle sets become one class.  Of a class's minima the low
 ``BITS`` bits are packed; bands of full minima propose pairs, the packed bits of a
 pair are compared by counting, the share of equal codes is corrected for chance,
 and only pairs that could still reach the threshold are confirmed on the full
-shingle sets.  A bucket first proposes its smallest class against all others; what
-these links leave apart is then proposed pair by pair, so a link between different
-texts is lost only where no band of it agrees (about 1 in 2 million at 0.85).
+shingle sets.  A bucket first proposes its smallest class against all others.  What
+these links leave in different components is then compared by packed bits inside
+tasks, in blocks of a bucket, and only pairs near the threshold leave them.  So a
+link between different texts is lost only where no band of it agrees (about 1 in 2
+million at 0.85) or its estimate falls short by four standard deviations.
 
 Cases: fewer words than a shingle make the whole sequence one shingle; null or
 empty texts and texts without words have an empty set and link with nothing; equal
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from evalloom.llm.common import components, cut_lineage, drop_written, keyed_texts
 from evalloom.llm.text import LOWER, STEP, Words, ids_of, mix, pieces, windows
 
-HASHES, BITS, BAND_ROWS, BANDS = 128, 4, 5, 25
+HASHES, BITS, BAND_ROWS, BANDS = 256, 4, 5, 25
+BLOCK = 512
 _rng = np.random.default_rng(128)
 FACTOR = (_rng.integers(1, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 SHIFT = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -97,14 +100,25 @@ def estimate(left: pa.Array, right: pa.Array) -> np.ndarray:
     """Similarity of packed signatures: share of equal codes, less what chance makes equal."""
     n = len(left)
     a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(n, HASHES * BITS // 8) for x in (left, right))
-    equal = EQUAL_CODES[a ^ b].sum(1) / HASHES
+    return corrected(a, b)
+
+
+def corrected(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    equal = EQUAL_CODES[a ^ b].sum(1, dtype=np.int64) / HASHES
     chance = 2.0**-BITS
     return (equal - chance) / (1 - chance)
 
 
+def lowest_estimate(percent: int) -> float:
+    """Four standard deviations below the threshold."""
+    share, chance = percent / 100, 2.0**-BITS
+    equal = share + (1 - share) * chance
+    return share - 4 * (equal * (1 - equal) / HASHES) ** 0.5 / (1 - chance)
+
+
 def confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs ``u, v`` of classes whose sets are similar: estimated first, then on full sets."""
-    floor = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / HASHES + 1 / (HASHES << BITS)) ** 0.5
+    floor = lowest_estimate(percent)
 
     def likely(batches):
         for batch in batches:
@@ -154,33 +168,87 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = filled.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     reps = signed.select(F.col("doc_id").alias("rep"), "k1", "k2", "n_shingles", "bands", "packed").join(classes, ["k1", "k2", "n_shingles", "rep"], "left_semi")
     reps = cut_lineage(reps.select("rep", "bands", "packed"), "classes")
-    buckets = cut_lineage(_shared(reps.select(F.explode("bands").alias("bucket"), "rep")), "buckets")
+    buckets = cut_lineage(_shared(reps.select(F.posexplode("bands").alias("band", "bucket"), "rep")), "buckets")
 
     centre = buckets.groupBy("bucket").agg(F.min("rep").alias("u"))
     pairs = buckets.join(centre, "bucket").select("u", F.col("rep").alias("v")).filter("u <> v").distinct()
     links = cut_lineage(confirm(pairs, reps, texts, percent), "links")
     joined = components(links)
 
-    # members of one bucket that the first links left in different components
-    placed = buckets.join(joined, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("part"))
-    placed = cut_lineage(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("rep").alias("u")).filter("low <> high")
-    open_ = placed.join(mixed.select("bucket", F.col("u").alias("centre")), "bucket")
-    open_ = cut_lineage(open_, "open")
-    other = open_.select("bucket", F.col("rep").alias("v"), F.col("part").alias("part_v"))
-    left = open_.filter("rep <> centre").select("bucket", F.col("rep").alias("u"), F.col("part").alias("part_u"), "centre")
-    pairs = left.join(other, "bucket").filter("u < v AND part_u <> part_v AND v <> centre").select("u", "v").distinct()
-    more = cut_lineage(confirm(pairs, reps, texts, percent), "links")
+    more = cut_lineage(confirm(_between_parts(buckets, joined, reps, percent), reps, texts, percent), "links")
     joined = components(links.unionByName(more)) if more.limit(1).count() else joined
 
     member = filled.select("doc_id", "k1", "k2", "n_shingles").distinct().join(classes, ["k1", "k2", "n_shingles"])
     named = member.join(joined, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")).distinct()
     out = cut_lineage(named.unionByName(alone), "components")
-    drop_written(spark, signed, reps, buckets, placed, open_, links, more)
+    drop_written(spark, signed, reps, buckets, links, more)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def _between_parts(buckets: DataFrame, joined: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one bucket that lie in different components and may be similar by their packed bits; each pair once.
+
+    A bucket above ``BLOCK`` classes is dealt in blocks, those of its main component
+    only against the others.  A task holds one pair of blocks at a time.
+    """
+    floor = lowest_estimate(percent)
+    placed = buckets.join(joined, F.col("rep") == F.col("node"), "left").select("band", "bucket", "rep", F.coalesce("component", "rep").alias("part"))
+    placed = cut_lineage(placed, "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min_by("part", "rep").alias("main"), F.count(F.lit(1)).alias("n"))
+    mixed = mixed.filter("low <> high").select("bucket", "main", F.ceil(F.col("n") / BLOCK).alias("k"))
+    salted = placed.join(mixed, "bucket").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("k")))
+    others = F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)
+    cell = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.alias("side"))
+    zero, salt = F.lit(0).cast("bigint"), F.col("salt")
+    cells = (
+        F.when(F.col("k") == 1, F.array(cell(0, zero, zero, F.lit(0))))
+        .when(F.col("part") == F.col("main"), F.transform(others, lambda t: cell(1, salt, t, F.lit(1))))
+        .otherwise(
+            F.concat(
+                F.transform(others, lambda t: cell(1, t, salt, F.lit(2))),
+                F.transform(others, lambda t: cell(2, F.least(salt, t), F.greatest(salt, t), F.when(salt == t, 0).when(salt < t, 1).otherwise(2))),
+            )
+        )
+    )
+    dealt = salted.select("band", "bucket", "rep", "part", F.explode(cells).alias("c")).select("band", "bucket", "rep", "part", "c.*")
+    dealt = dealt.join(reps.select("rep", "bands", "packed"), "rep").repartition("bucket", "kind", "x", "y").sortWithinPartitions("bucket", "kind", "x", "y")
+
+    def pairs_of(rows: list[tuple]):
+        rep, part, side = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2))
+        packed = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+        bands = np.array([r[4] for r in rows], np.int64)
+        band = rows[0][5]
+        for at in range(0, len(rows), 64):
+            open_ = part[at : at + 64, None] != part[None, :]
+            open_ &= np.where(side[at : at + 64, None] == 0, (side[None, :] == 0) & (np.arange(at, min(at + 64, len(rows)))[:, None] < np.arange(len(rows))[None, :]), (side[at : at + 64, None] == 1) & (side[None, :] == 2))
+            i, j = np.nonzero(open_)
+            i += at
+            near = corrected(packed[i], packed[j]) >= floor
+            i, j = i[near], j[near]
+            # a pair belongs to the first band that it shares
+            mine = (bands[i] == bands[j]).argmax(1) == band
+            i, j = i[mine], j[mine]
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], ["u", "v"])
+
+    def run(batches):
+        rows, last = [], None
+        for batch in batches:
+            at = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()  # noqa: B023, E731
+            keys = zip(at("bucket"), at("kind"), at("x"), at("y"), strict=True)
+            for key, row in zip(keys, zip(at("rep"), at("part"), at("side"), at("packed"), at("bands"), at("band"), strict=True), strict=True):
+                if key != last and rows:
+                    yield from pairs_of(rows)
+                    rows = []
+                last = key
+                rows.append(row)
+        if rows:
+            yield from pairs_of(rows)
+
+    return dealt.mapInArrow(run, "u bigint, v bigint")
+
+
 def _shared(rows: DataFrame) -> DataFrame:
     """Bucket rows whose bucket holds more than one class."""
     many = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
