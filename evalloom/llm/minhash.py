@@ -154,7 +154,7 @@ def confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -
     near = cut_lineage(near, "near-pairs")
     asked = near.select(F.col("u").alias("doc_id")).unionByName(near.select(F.col("v").alias("doc_id"))).distinct()
     # a rare id on several rows names the class of its smallest text
-    held = cut_lineage(texts.join(asked, "doc_id"), "asked-texts")
+    held = cut_lineage(texts.join(asked.hint("merge"), "doc_id"), "asked-texts")
     text = lambda of: held.select(F.col("doc_id").alias(of), F.col("text").alias(f"text_{of}"))
     return near.join(text("u"), "u").join(text("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(similar, "u bigint, v bigint")
 
