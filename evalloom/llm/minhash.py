@@ -176,10 +176,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     joined = components(links)
 
     more = cut_lineage(confirm(_between_parts(buckets, joined, reps, percent), reps, texts, percent), "links")
-    joined = components(links.unionByName(more)) if more.limit(1).count() else joined
+    # later links join whole components
+    part = lambda of: joined.select(F.col("node").alias(of), F.col("component").alias(f"part_{of}"))
+    between = more.join(part("u"), "u", "left").join(part("v"), "v", "left").select(F.coalesce("part_u", "u").alias("u"), F.coalesce("part_v", "v").alias("v"))
+    merged = components(between).select(F.col("node").alias("own"), F.col("component").alias("whole"))
 
     member = filled.select("doc_id", "k1", "k2", "n_shingles").distinct().join(classes, ["k1", "k2", "n_shingles"])
-    named = member.join(joined, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    placed = member.join(joined, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("part"))
+    named = placed.join(merged, F.col("part") == F.col("own"), "left").select("doc_id", "n_shingles", F.coalesce("whole", "part").alias("component_id"))
     alone = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")).distinct()
     out = cut_lineage(named.unionByName(alone), "components")
     drop_written(spark, signed, reps, buckets, links, more)
