@@ -42,10 +42,12 @@ class Encoder:
     """Ids of whole texts as packed little-endian integers.
 
     The tokenizer never joins two words over a space that a word follows, so a text
-    is the sequence of its space-led words; ids of recent words are kept.
+    is the sequence of its space-led words; ids of recent words are kept.  With
+    ``added`` the file's added tokens get their own ids where they stand in a text,
+    as the library does by default; without it they are spelled like other text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import public_tokenizers
         import tiktoken
 
@@ -55,6 +57,12 @@ class Encoder:
         ranks = byte_ranks({k: v for k, v in saved["model"]["vocab"].items() if k not in special})
         self.encode = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.kept: dict[str, bytes] = {}
+        tokens = saved.get("added_tokens", []) if added else []
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+            raise ValueError("added tokens that look at their neighbours are not supported")
+        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in tokens}
+        #: the longest of the tokens that begin at a place
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if tokens else None
 
     def _packed(self, text: str) -> bytes:
         return array("I", self.encode(text)).tobytes()
@@ -68,6 +76,14 @@ class Encoder:
         return got
 
     def __call__(self, text: str) -> bytes:
+        if self.split is None:
+            return self._plain(text)
+        parts = self.split(text)
+        if len(parts) == 1:
+            return self._plain(text)
+        return b"".join([self.added[x] if k % 2 else self._plain(x) for k, x in enumerate(parts)])
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         first, *rest = text.split(" ")
@@ -87,11 +103,11 @@ class Encoder:
             return self._packed(first) + b"".join([kept[w] if w in kept else self._word(w) for w in rest])
 
 
-def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False, added: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids; the first piece of a longer document takes what is left over."""
 
     def run(batches):
-        encode = Encoder(path)
+        encode = Encoder(path, added)
         end = array("I", [END_ID]).tobytes()
         for batch in batches:
             doc, piece, start, length, crc, ids = [], [], [], [], [], []
@@ -187,9 +203,9 @@ def place(pieces: DataFrame, steps: np.ndarray, total: int, per_salt: int = 20_0
     return ranked.mapInArrow(run, ", ".join([*fields, "sequence_id bigint", "offset bigint"]))
 
 
-def best_fit_pack(docs: DataFrame, path: str, capacity: int = CAPACITY, documents: int = CAPACITY, attention: float | None = None, by: str = "norm", keep_ids: bool = False) -> DataFrame:
-    """Pieces with their place.  ``attention`` bounds the sum of squared lengths of a sequence (default: no tighter than the tokens)."""
-    pieces = cut_lineage(tokenise(docs, path, capacity, keep_ids), "pieces")
+def best_fit_pack(docs: DataFrame, path: str, capacity: int = CAPACITY, documents: int = CAPACITY, attention: float | None = None, by: str = "norm", keep_ids: bool = False, added: bool = False) -> DataFrame:
+    """Pieces with their place.  ``added`` gives the file's added tokens their own ids; ``attention`` bounds the sum of squared lengths of a sequence (default: no tighter than the tokens)."""
+    pieces = cut_lineage(tokenise(docs, path, capacity, keep_ids, added), "pieces")
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     steps = plan(counts, (capacity, documents, capacity**2 if attention is None else attention), by=by)
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else []), "sequence_id", "offset"]

@@ -65,7 +65,7 @@ def op9_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return best_fit_pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), added=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
