@@ -189,7 +189,8 @@ class Sampler:
         order = np.lexsort((source, node))
         begin, source, node, piece, weight = begin[order], source[order], node[order], piece[order], weight[order]
         nodes = len(points) + len(units)
-        alpha = np.zeros(nodes)
+        # weights of the nodes as alpha * 2**scale: long runs of rare characters don't underflow, and scaling changes no digit
+        alpha, scale = np.zeros(nodes), np.zeros(nodes, np.int64)
         alpha[first] = 1.0
         level = node - first[unit[begin]]
         by_level = np.argsort(level, kind="stable")
@@ -199,13 +200,24 @@ class Sampler:
             if a == b:
                 continue
             now = by_level[a:b]
-            share[now] = alpha[source[now]] * weight[now]
-            np.add.at(alpha, node[now], share[now])
-        run = np.cumsum(share / alpha[node])
+            into, back = node[now], scale[source[now]]  # nodes ascend within a level
+            begins = np.flatnonzero(np.append(True, into[1:] != into[:-1]))
+            reached, group = into[begins], np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(into))))
+            top = np.maximum.reduceat(back, begins)
+            part = np.ldexp(alpha[source[now]] * weight[now], np.maximum(back - top[group], -2000))
+            total = np.bincount(group, part)
+            share[now] = part / total[group]
+            alpha[reached], more = np.frexp(total)
+            scale[reached] = top + more
         opens = np.ones(len(node), bool)
         opens[1:] = node[1:] != node[:-1]
-        base = (run - share / alpha[node])[opens][np.cumsum(opens) - 1]
-        cdf = np.minimum(run - base, 1.0)
+        starts = np.flatnonzero(opens)
+        edges = np.diff(np.append(starts, len(node)))
+        cdf = share.copy()  # summed inside each node: one unit's numbers never reach another's
+        for k in range(1, int(edges.max(initial=0))):
+            at = starts[edges > k] + k
+            cdf[at] += cdf[at - 1]
+        cdf = np.minimum(cdf, 1.0)
         closes = np.append(opens[1:], True)
         cdf[closes] = 1.0
         packed = np.zeros((len(node), 4), np.int32)

@@ -8,8 +8,9 @@ from tokenizers import Tokenizer
 
 from evalloom.llm import queries
 from evalloom.llm.packing import Encoder
+from evalloom.llm.piece_sampling import Pieces, Sampler, decode
 
-BPE = public_tokenizers.path("byte_bpe_50k.json")
+BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 MARKED = [
     "<|endoftext|>", "a <|endoftext|> b", "<|endoftext|> hi", "x<|endoftext|><|endoftext|>y", "end \n<|endoftext|>\n\n next", "<|endoftext| >", "a  <|endoftext|>  b",
     " <|endoftext|>", "it's<|endoftext|>'s 12", "<|<|endoftext|>|>", "<|ENDOFTEXT|>", "日本<|endoftext|>語",
@@ -31,3 +32,27 @@ def test_packing_query_counts_added_tokens_once(spark, tmp_path):
     for i, text in enumerate(MARKED):
         ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids + [0], "<u4")
         assert got[i] == (len(ids), zlib.crc32(ids.tobytes())), text
+
+
+def test_long_unknown_units_leave_their_neighbours_alone():
+    vocabulary = Pieces(PIECES)
+    plain = ["the quick brown fox", "it's then 12 times", "Por que não"]
+    unknown = [c for c in map(chr, range(0x10000, 0x10080)) if c not in vocabulary.ids]
+    odd = ["".join(unknown[(7 * i + n) % len(unknown)] for i in range(n)) for n in range(40, 61)]
+    alone, bounds = Sampler(vocabulary).sample(np.arange(3), plain)
+    want = [alone[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    texts = [odd[0], *odd, *plain, " ".join(odd), *odd[::-1]]
+    keys = np.arange(len(texts)) + 100
+    at = texts.index(plain[0])
+    keys[at : at + 3] = np.arange(3)
+    sampler = Sampler(vocabulary)
+    ids, bounds = sampler.sample(keys, texts)
+    parts = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert np.isfinite(sampler.cdf).all()
+    assert [decode(vocabulary, p) for p in parts] == texts
+    assert [p.tolist() for p in parts[at : at + 3]] == want
+    for unit in (" " + odd[7], " a" + odd[0] + "then"):
+        one = Sampler(vocabulary)
+        one._learn([unit])
+        cdf, node, source, _ = vocabulary.lattice(unit)
+        assert np.allclose(one.cdf, np.array(node) + np.array(cdf)) and one.source.tolist() == source
