@@ -3,8 +3,9 @@
 Every passage of ``PASSAGE`` words of the whole text is encoded from hashed words
 and byte classes; gated attention weighs the encodings and a logistic unit scores
 their weighted sum.  All weights are learned from document labels only, on the
-driver, from a bounded sample (``sample`` rows, smallest hashes of their ids) of
-the rows outside the held-out fold.
+driver, from a bounded sample (``sample`` rows, half of each label where there are
+as many, smallest hashes of their ids) of the labelled rows of the given documents
+outside the held-out fold.
 
 Cases: a null or empty text is one passage without words; rows without an id are
 left out; repeated rows each get their row; without labels, or with one label
@@ -118,8 +119,11 @@ def _samples(batches):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 3_000, folds: int = 5, held: int = 0) -> dict | float:
     """Weights, or the constant score where both labels do not occur."""
-    chosen = labelled(labels, "quality", sample, where=remainder("doc_id", folds) != held)
-    rows = keyed_texts(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(_samples, "doc_id bigint, y int, x binary").toPandas()
+    texts = keyed_texts(docs)
+    # labels of documents that an earlier stage dropped must not use up the bound
+    present = labels.withColumn("doc_id", F.col("doc_id").cast("bigint")).join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = labelled(present, "quality", sample, balanced=True, where=remainder("doc_id", folds) != held)
+    rows = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(_samples, "doc_id bigint, y int, x binary").toPandas()
     if not len(rows):
         return 0.5
     rows = rows.sort_values(["doc_id", "x"], kind="stable")

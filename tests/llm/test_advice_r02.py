@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from evalloom.llm import queries
 from evalloom.llm.packing import Encoder
 from evalloom.llm.piece_sampling import Pieces, Sampler, decode
@@ -56,3 +57,17 @@ def test_long_unknown_units_leave_their_neighbours_alone():
         one._learn([unit])
         cdf, node, source, _ = vocabulary.lattice(unit)
         assert np.allclose(one.cdf, np.array(node) + np.array(cdf)) and one.source.tolist() == source
+
+
+def test_classifier_stage_learns_from_the_labels_of_its_own_input(spark, tmp_path):
+    """The labels of documents that an earlier stage dropped have the smallest hashes and are far more than the bound."""
+    ids = [r["id"] for r in spark.range(8000).orderBy("id").selectExpr("id", "xxhash64(id) h").orderBy("h").collect()]
+    mine = ids[-400:]
+    rng = np.random.default_rng(4)
+    bad = {i for k, i in enumerate(mine) if k % 5 == 0}
+    good_words, bad_words = ["river", "stone", "walked", "morning", "letter"], ["BUY", "$$$", "click", "###", "WIN"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(bad_words if i in bad else good_words, 60))) for i in mine], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i not in bad)) for i in ids], "doc_id bigint, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.classifier_stage(spark, docs, str(tmp_path)).collect()}
+    assert kept == set(mine) - bad
