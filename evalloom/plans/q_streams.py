@@ -10,7 +10,7 @@ from evalloom.functions import text as TX
 from evalloom.operators import geometry as G
 from evalloom.plans.q_archive import POLICY
 from evalloom.operators import archive as A
-from evalloom.plans.q_ledger import _STREAK_SQL
+from evalloom.plans.q_ledger import _STREAK_SQL, bucket
 from evalloom.registry import query
 from evalloom.sources import images as I
 from evalloom.streaming import archive as SA
@@ -70,18 +70,16 @@ def stream_open_attempts(spark, d):
 )
 def stream_circuit_breaker(spark, d):
     events = ledger_stream(spark, d).withColumn("miss", F.col("status") != "scored")
-    breaker = SL.circuit_breaker(
-        events, "sample_key", seq="event_id", miss="miss", cost="cost", max_streak=6, max_cost=2500.0
+    return SL.break_arrivals(
+        events, "sample_key", seq="event_id", bucket=bucket(), miss="miss", cost="cost", max_streak=6, max_cost=2500.0
     )
-    return SL.drain(breaker, "append", name="breaker").select("sample_key", "stopped_at", "cause")
 
 
 @query("stream_archive", views=())
 def stream_archive(spark, d):
     from evalloom.plans.q_archive import fold_input
 
-    decided = SA.stream_archive(fold_input(_Streamed(spark), d), POLICY)
-    return SL.drain(decided, "append", name="archive").drop("batch")
+    return SA.fold_arrivals(fold_input(_Streamed(spark), d), POLICY)
 
 
 def rasters(spark, d):

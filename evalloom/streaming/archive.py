@@ -1,4 +1,4 @@
-"""The archive as a stream: rules as columns, then one bounded state per campaign."""
+"""The archive as a stream: rules as columns, then one bounded state per campaign, or the whole fold over a table of arrivals."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from evalloom.operators.archive import ArchivePolicy, attested_step
+from evalloom.operators.archive import ArchivePolicy, archive_fold, attested_step
+from evalloom.streaming.ledger import drain
 
 _OUT = "campaign_id bigint, episode bigint, candidate_id bigint, cell string, reason string, admitted boolean, replaced bigint"
 _COLUMNS = [c.split()[0] for c in _OUT.split(", ")]
@@ -47,3 +48,13 @@ def stream_archive(candidates: DataFrame, policy: ArchivePolicy, *, step=atteste
     return candidates.groupBy("campaign_id").applyInPandasWithState(
         fold, _OUT, "last bigint, elites string", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def fold_arrivals(candidates: DataFrame, policy: ArchivePolicy, *, step=attested_step, name: str = "archive", **blocks) -> DataFrame:
+    """Decisions of the whole fold over all that has arrived, whatever files and micro-batches the rows came in.
+
+    Micro-batches are appended to a table; once the input is drained, the table is
+    folded by :func:`archive_fold`, so late rows stand where their episode says and
+    a campaign's rows are spread over blocks.
+    """
+    return archive_fold(drain(candidates, "append", name=name).drop("batch"), policy, step=step, **blocks)[0]

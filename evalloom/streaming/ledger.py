@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from evalloom.plans import scan
 from evalloom.session import shared_folder
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -108,3 +109,21 @@ def circuit_breaker(
         step, f"{key} {kind}, stopped_at bigint, cause string", "streak bigint, used bigint, stopped boolean",
         "append", GroupStateTimeout.NoTimeout,
     )
+
+
+def break_arrivals(
+    events: DataFrame, key: str, *, seq: str, bucket: str | Column, miss: str, cost: str, max_streak: int, max_cost: float, name: str = "breaker"
+) -> DataFrame:
+    """:func:`circuit_breaker` over all that has arrived, in the order of ``seq`` whatever files and micro-batches the rows came in.
+
+    Micro-batches are appended to a table; once the input is drained, bucketed scans
+    over it give streaks and spend, so no task holds all rows of a key.
+    """
+    unit = 10**6
+    rows = drain(events.select(key, seq, miss, cost), "append", name=name)
+    spent = scan.running(rows, [key], [seq], bucket, {"used": ("sum", F.round(F.col(cost) * unit).cast("bigint"))})
+    counted = scan.streak_lengths(spent, [key], [seq], bucket, F.coalesce(F.col(miss), F.lit(False)), "streak")
+    streak = F.col("streak") >= max_streak
+    cause = F.when(streak, "streak").otherwise("cost")
+    stopped = counted.filter(streak | (F.col("used") >= int(max_cost * unit)))
+    return stopped.groupBy(key).agg(F.min(seq).alias("stopped_at"), F.min_by(cause, seq).alias("cause"))
