@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from evalloom.llm.common import table
+from evalloom.llm.conversation_trie import conversation_trie
 from evalloom.llm.embedding_dedup import embedding_links
 from evalloom.llm.license_scan import license_scan
 from evalloom.llm.minhash import near_duplicates
 from evalloom.llm.oracle import ORACLE
 from evalloom.llm.packing import best_fit_pack
+from evalloom.llm.phrase_mining import best_phrases
 from evalloom.llm.piece_sampling import sample_pieces
 from evalloom.llm.quality_classifier import quality_classifier
 from evalloom.llm.quality_rules import quality_rules
 from evalloom.llm.repeat_groups import remove_repeats
 from evalloom.llm.substring_dedup import remove_windows
+from evalloom.llm.token_counts import token_counts
 from evalloom.llm.toxicity import toxicity
 from evalloom.session import spread
 
@@ -68,8 +71,20 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), added=True)
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_phrases(_documents(spark, sf_dir), top=2000, least=10, share=50)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_minhash_near_dedup, op2_substring_dedup, op3_embedding_near_dedup, op4_toxicity, op5_license_scan, op6_quality_rules, op7_suffix_array_dedup, op8_quality_classifier, op9_piece_sampling, op10_best_fit_packing,
+    op1_minhash_near_dedup, op2_substring_dedup, op3_embedding_near_dedup, op4_toxicity, op5_license_scan, op6_quality_rules, op7_suffix_array_dedup, op8_quality_classifier, op9_piece_sampling, op10_best_fit_packing, op11_phrase_mining, op12_conversation_trie, op13_token_counts,
 )} | {"pipeline": corpus_pipeline.run}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -18,7 +18,16 @@ _rng = np.random.default_rng(20260101)
 BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 UNSTEP = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[int, np.ndarray] = {}
+
+
+class _Kept(dict):
+    """A table of this process alone: functions that use it travel to the tasks with an empty one."""
+
+    def __reduce__(self):
+        return _Kept, ()
+
+
+_powers = _Kept()
 
 #: byte classes
 SPACE = np.zeros(256, bool)
