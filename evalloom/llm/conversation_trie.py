@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalloom import session
 from evalloom.llm.common import cut_lineage, drop_written
 from evalloom.plans import scan
 
@@ -64,13 +65,13 @@ def shared_heads(placed: DataFrame, group: int = 20, most: int = 4) -> tuple[Dat
     Conversation c takes the first h turns of c - c % group, h = crc32(c) % most, and its
     own turns after its first h.  Returns the turns (with ``place``) and all conversations.
     """
-    convs = placed.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).select("conv_id", (F.crc32(F.col("conv_id").cast("string").cast("binary")) % most).alias("h"), (F.col("conv_id") - F.col("conv_id") % group).alias("base"))
+    sizes = placed.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    convs = sizes.select("conv_id", (F.crc32(F.col("conv_id").cast("string").cast("binary")) % most).alias("h"), (F.col("conv_id") - F.col("conv_id") % group).alias("base"))
+    convs = convs.join(sizes.select(F.col("conv_id").alias("base"), "n"), "base", "left").withColumn("taken", F.least("h", F.coalesce("n", F.lit(0))))
     heads = placed.filter((F.col("place") < most - 1) & (F.col("conv_id") % group == 0)).select(F.col("conv_id").alias("base"), "place", "code", "words")
     taken = convs.join(heads, "base").filter("place < h").select("conv_id", "place", "code", "words")
-    own = placed.withColumn("h", F.crc32(F.col("conv_id").cast("string").cast("binary")) % most).filter("place >= h").select("conv_id", "place", "code", "words")
-    # places stay in order; where the head is shorter than h they have a gap, closed by their rank
-    turns = scan.ranked(taken.unionByName(own), ["conv_id"], ["place"], F.shiftright("place", BLOCK.bit_length() - 1), "rank")
-    return turns.select("conv_id", F.col("rank").alias("place"), "code", "words"), convs.select("conv_id")
+    own = placed.join(convs.select("conv_id", "h", "taken"), "conv_id").filter("place >= h").select("conv_id", (F.col("place") - F.col("h") + F.col("taken")).alias("place"), "code", "words")
+    return taken.unionByName(own), convs.select("conv_id")
 
 
 def _named(placed: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def prefix_trie(placed: DataFrame, convs: DataFrame) -> DataFrame:
     alone = nodes.filter("sharing = 1")
     own = alone.groupBy("conv_id").agg(F.count(F.lit(1)).alias("alone"))
     whole = ends.withColumnRenamed("depth", "length").join(own, "conv_id", "left").withColumn("shared", F.col("length") - F.coalesce("alone", F.lit(0)))
-    whole = cut_lineage(whole.select("conv_id", "length", "shared", "copies", "ends_sha256", "whole", *KEY[1:]), "whole")
+    whole = session.cut_lineage(whole.select("conv_id", "length", "shared", "copies", "ends_sha256", "whole", *KEY[1:]), "whole")
 
     # chains that one distinct conversation has for itself
     chain = alone.join(whole.select("conv_id", "length", "shared", "copies", "ends_sha256", "whole"), "conv_id")
@@ -173,7 +174,7 @@ def peel(shared: DataFrame, nodes: DataFrame, whole: DataFrame) -> list[DataFram
         F.when(ending, zero).otherwise((F.col("copies") - 1) * (F.col("whole") - F.col("before"))).alias("saved_tokens"),
         F.when(ending, F.col("ends_sha256")).alias("ends_sha256"), *[zero.alias(c) for c in ("x1", "x2", "x3", "words")],
     )
-    entering = cut_lineage(entering, "entering")
+    entering = session.cut_lineage(entering, "entering")
     deepest = entering.agg(F.max("depth")).first()[0]
     if deepest is None:
         return []
@@ -189,7 +190,7 @@ def peel(shared: DataFrame, nodes: DataFrame, whole: DataFrame) -> list[DataFram
             F.max("ends_sha256").alias("ends_sha256"), *[F.max(c).alias(c) for c in ("x1", "x2", "x3", "words")],
         )
         level = level.withColumn("n_leaves", F.greatest("n_leaves", F.lit(1))).withColumn("saved_tokens", F.col("saved_tokens") + (F.col("n_convs") - 1) * F.col("words"))
-        level = cut_lineage(level.withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(EMPTY))), "level")
+        level = session.cut_lineage(level.withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(EMPTY))), "level")
         levels.append(level)
         surviving = level.select(
             (F.col("depth") - 1).alias("depth"), *[(F.col(f"k{i}") - F.col(f"x{i}")).alias(f"k{i}") for i in (1, 2, 3)], "conv_id", "n_convs", F.lit(1).cast("bigint").alias("n_children"),
