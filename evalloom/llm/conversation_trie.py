@@ -33,11 +33,11 @@ from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalloom import session
-from evalloom.llm.common import cut_lineage, drop_written
-from evalloom.plans import scan
+from evalloom.llm.common import cut_lineage
 
 IDS = 1024
 BLOCK = 4096
@@ -54,9 +54,17 @@ def coded_turns(conversations: DataFrame) -> DataFrame:
 
 
 def placed_turns(turns: DataFrame) -> DataFrame:
-    """``place`` of each turn in its conversation, from 0."""
+    """``place`` of each turn in its conversation, from 0.
+
+    Turns are numbered inside buckets of turn numbers, so a conversation that holds very many is sorted by several tasks.
+    """
     bucket = F.when(F.col("turn").isNull(), F.lit(-(1 << 62))).otherwise(F.shiftright("turn", BLOCK.bit_length() - 1)).cast("bigint")
-    return scan.ranked(turns, ["conv_id"], [F.asc_nulls_first("turn"), F.asc("code")], bucket, "place")
+    order = [F.asc_nulls_first("turn"), F.asc("code")]
+    local = turns.withColumn("bucket", bucket).withColumn("place", F.row_number().over(W.partitionBy("conv_id", "bucket").orderBy(*order)).cast("bigint") - 1)
+    before = F.sum("n").over(W.partitionBy("conv_id").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    ahead = local.groupBy("conv_id", "bucket").agg(F.count(F.lit(1)).alias("n")).select("conv_id", "bucket", before.alias("ahead")).filter("ahead > 0")
+    rows = local.join(ahead, ["conv_id", "bucket"], "left")
+    return rows.select("conv_id", (F.col("place") + F.coalesce("ahead", F.lit(0))).alias("place"), "code", "words")
 
 
 def shared_heads(placed: DataFrame, group: int = 20, most: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -65,23 +73,38 @@ def shared_heads(placed: DataFrame, group: int = 20, most: int = 4) -> tuple[Dat
     Conversation c takes the first h turns of c - c % group, h = crc32(c) % most, and its
     own turns after its first h.  Returns the turns (with ``place``) and all conversations.
     """
-    sizes = placed.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    convs = sizes.select("conv_id", (F.crc32(F.col("conv_id").cast("string").cast("binary")) % most).alias("h"), (F.col("conv_id") - F.col("conv_id") % group).alias("base"))
-    convs = convs.join(sizes.select(F.col("conv_id").alias("base"), "n"), "base", "left").withColumn("taken", F.least("h", F.coalesce("n", F.lit(0))))
-    heads = placed.filter((F.col("place") < most - 1) & (F.col("conv_id") % group == 0)).select(F.col("conv_id").alias("base"), "place", "code", "words")
-    taken = convs.join(heads, "base").filter("place < h").select("conv_id", "place", "code", "words")
-    own = placed.join(convs.select("conv_id", "h", "taken"), "conv_id").filter("place >= h").select("conv_id", (F.col("place") - F.col("h") + F.col("taken")).alias("place"), "code", "words")
-    return taken.unionByName(own), convs.select("conv_id")
-
-
-def _named(placed: DataFrame) -> DataFrame:
-    """Each turn with the name of the prefix that it ends: ``depth``, ``k1..k3``; its own part ``x1..x3``; ``upto``, the words so far."""
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % most
+    others = F.transform(F.sequence(F.lit(1 - group), F.lit(group - 1)), lambda i: F.col("conv_id") + i)
+    followers = F.filter(others, lambda c: c - c % group == F.col("conv_id"))  # % keeps the sign, so 0 also leads negative ids
+    heads = placed.filter((F.col("place") < most - 1) & (F.col("conv_id") % group == 0)).withColumn("conv_id", F.explode(followers))
+    both = placed.filter(F.col("place") >= head).withColumn("own", F.lit(True)).unionByName(heads.filter(F.col("place") < head).withColumn("own", F.lit(False)))
+    # heads of conversations that are not there are dropped; a head shorter than h moves the own turns up
+    convs = placed.groupBy("conv_id").agg(F.lit(True).alias("there"))
+    taken = both.groupBy("conv_id").agg(F.count_if(~F.col("own")).alias("taken"))
+    sizes = convs.join(taken, "conv_id", "left").select("conv_id", F.coalesce("taken", F.lit(0)).alias("taken"))
+    turns = both.join(sizes, "conv_id")
+    place = F.when(F.col("own"), F.col("place") - head + F.col("taken")).otherwise(F.col("place"))
+    return turns.select("conv_id", place.alias("place"), "code", "words"), convs.select("conv_id")
+
+
+def _named(placed: DataFrame, convs: DataFrame) -> DataFrame:
+    """Each turn with the name of the prefix that it ends: ``depth``, ``k1..k3``; its own part ``x1..x3``; ``upto``, the words so far.
+
+    Every conversation also has its empty prefix, of depth 0.
+    """
     at = F.sha2(F.concat(F.col("place").cast("string"), F.lit(":"), F.col("code")).cast("binary"), 256)
-    rows = placed.withColumn("at", at)
-    rows = rows.select("conv_id", "place", "words", *[F.conv(F.substring("at", 1 + 10 * i, 10), 16, 10).cast("bigint").alias(f"x{i + 1}") for i in range(3)])
-    sums = {**{f"k{i}": ("sum", f"x{i}") for i in (1, 2, 3)}, "upto": ("sum", "words")}
-    named = scan.running(rows, ["conv_id"], ["place"], F.shiftright("place", BLOCK.bit_length() - 1), sums)
-    return named.withColumn("depth", F.col("place") + 1).drop("place")
+    parts = [F.conv(F.substring("at", 1 + 10 * i, 10), 16, 10).cast("bigint").alias(f"x{i + 1}") for i in range(3)]
+    rows = placed.withColumn("at", at).select("conv_id", (F.col("place") + 1).alias("depth"), "words", *parts)
+    root = convs.select("conv_id", *[F.lit(0).cast("bigint").alias(c) for c in ("depth", "words", "x1", "x2", "x3")])
+    rows = rows.unionByName(root).withColumn("bucket", F.shiftright("depth", BLOCK.bit_length() - 1))
+    sums = {"k1": "x1", "k2": "x2", "k3": "x3", "upto": "words"}
+    inside = W.partitionBy("conv_id", "bucket").orderBy("depth").rowsBetween(W.unboundedPreceding, 0)
+    local = rows.select("*", *[F.sum(x).over(inside).alias(k) for k, x in sums.items()])
+    before = W.partitionBy("conv_id").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    ahead = local.groupBy("conv_id", "bucket").agg(*[F.sum(x).alias(k) for k, x in sums.items()])
+    ahead = ahead.select("conv_id", "bucket", *[F.sum(k).over(before).alias(f"ahead_{k}") for k in sums]).filter("ahead_k1 IS NOT NULL")
+    joined = local.join(ahead, ["conv_id", "bucket"], "left")
+    return joined.select("conv_id", "depth", "words", "x1", "x2", "x3", *[(F.col(k) + F.coalesce(f"ahead_{k}", F.lit(0))).alias(k) for k in sums])
 
 
 def _ends(last: DataFrame) -> DataFrame:
@@ -121,68 +144,56 @@ def prefix_trie(placed: DataFrame, convs: DataFrame) -> DataFrame:
     Columns: conv_id (smallest member), depth, parent_conv_id, n_convs, n_children,
     n_leaves, saved_tokens, ends_sha256.
     """
-    spark = placed.sparkSession
-    named = cut_lineage(_named(placed), "prefixes")
-    # the last prefix of each conversation; names are sums, so the deepest row is found by its depth alone
-    deepest = named.groupBy("conv_id").agg(F.max(F.struct("depth", "k1", "k2", "k3", "upto")).alias("end")).select("conv_id", "end.*")
-    turnless = convs.join(deepest, "conv_id", "left_anti").select("conv_id", *[F.lit(0).cast("bigint").alias(c) for c in (*KEY, "upto")])
-    ends = cut_lineage(_ends(deepest.unionByName(turnless)), "ends")
+    named = cut_lineage(_named(placed, convs), "prefixes")
+    deepest = named.groupBy("conv_id").agg(F.max(F.struct(*KEY, "upto")).alias("end")).select("conv_id", "end.*")
+    ends = cut_lineage(_ends(deepest), "ends")
 
     # every prefix of the distinct conversations, with the number of these that share it
-    paths = named.join(ends.select("conv_id"), "conv_id", "left_semi")
+    paths = named.filter("depth > 0").join(ends.select("conv_id"), "conv_id", "left_semi")
     nodes = paths.groupBy(*KEY).agg(F.count(F.lit(1)).alias("sharing"), F.min("conv_id").alias("conv_id"), *[F.max(c).alias(c) for c in ("x1", "x2", "x3", "words", "upto")])
     nodes = cut_lineage(nodes, "nodes")
     alone = nodes.filter("sharing = 1")
-    own = alone.groupBy("conv_id").agg(F.count(F.lit(1)).alias("alone"))
-    whole = ends.withColumnRenamed("depth", "length").join(own, "conv_id", "left").withColumn("shared", F.col("length") - F.coalesce("alone", F.lit(0)))
-    whole = session.cut_lineage(whole.select("conv_id", "length", "shared", "copies", "ends_sha256", "whole", *KEY[1:]), "whole")
+    whole = ends.withColumnRenamed("depth", "length").join(alone.groupBy("conv_id").agg((F.min("depth") - 1).alias("shared")), "conv_id", "left")
+    whole = session.cut_lineage(whole.withColumn("shared", F.coalesce("shared", "length")), "whole")
 
     # chains that one distinct conversation has for itself
     chain = alone.join(whole.select("conv_id", "length", "shared", "copies", "ends_sha256", "whole"), "conv_id")
     last = F.col("depth") == F.col("length")
     chain = chain.select(
-        "conv_id", "depth", F.when(F.col("depth") > F.col("shared") + 1, F.col("conv_id")).alias("above"), (F.col("depth") - 1).alias("up"),
-        *[(F.col(f"k{i}") - F.col(f"x{i}")).alias(f"p{i}") for i in (1, 2, 3)], F.col("copies").alias("n_convs"), F.when(last, 0).otherwise(1).cast("bigint").alias("n_children"),
+        "conv_id", "depth", "shared", *[(F.col(f"k{i}") - F.col(f"x{i}")).alias(f"p{i}") for i in (1, 2, 3)], F.col("copies").alias("n_convs"), F.when(last, 0).otherwise(1).cast("bigint").alias("n_children"),
         F.lit(1).cast("bigint").alias("n_leaves"), ((F.col("copies") - 1) * (F.col("whole") - F.col("upto") + F.col("words"))).alias("saved_tokens"), F.when(last, F.col("ends_sha256")).otherwise(F.lit(EMPTY)).alias("ends_sha256"),
     )
-
-    levels = peel(nodes.filter("sharing > 1"), nodes, whole)
+    chain = cut_lineage(chain, "chains")
+    names = ["n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    levels = peel(nodes.filter("sharing > 1"), chain, whole)
     if not levels:
-        return chain.limit(0).select("conv_id", "depth", F.lit(None).cast("bigint").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+        return chain.limit(0).select("conv_id", "depth", F.lit(None).cast("bigint").alias("parent_conv_id"), *names)
     shared = reduce(DataFrame.unionByName, levels)
-    both = shared.select("conv_id", "depth", F.lit(None).cast("bigint").alias("above"), (F.col("depth") - 1).alias("up"), *[(F.col(f"k{i}") - F.col(f"x{i}")).alias(f"p{i}") for i in (1, 2, 3)], "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256").unionByName(chain)
-    inner, open_ = both.filter("above IS NOT NULL"), both.filter("above IS NULL")
-    parents = shared.select(F.col("conv_id").alias("parent"), F.col("depth").alias("up"), *[F.col(f"k{i}").alias(f"p{i}") for i in (1, 2, 3)])
-    found = open_.join(parents, ["up", "p1", "p2", "p3"], "left").withColumn("above", F.col("parent")).drop("parent")
-    return inner.unionByName(found).select("conv_id", "depth", F.col("above").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+    up = [f"p{i}" for i in (1, 2, 3)]
+    joins = F.col("depth") == F.col("shared") + 1
+    open_ = shared.select("conv_id", "depth", *[(F.col(f"k{i}") - F.col(f"x{i}")).alias(f"p{i}") for i in (1, 2, 3)], *names).unionByName(chain.filter(joins).drop("shared")).withColumn("up", F.col("depth") - 1)
+    parents = shared.select(F.col("conv_id").alias("parent_conv_id"), F.col("depth").alias("up"), *[F.col(f"k{i}").alias(f"p{i}") for i in (1, 2, 3)])
+    found = open_.join(parents, ["up", *up], "left").select("conv_id", "depth", "parent_conv_id", *names)
+    return chain.filter(~joins).select("conv_id", "depth", F.col("conv_id").alias("parent_conv_id"), *names).unionByName(found)
 
 
-def peel(shared: DataFrame, nodes: DataFrame, whole: DataFrame) -> list[DataFrame]:
+def peel(shared: DataFrame, chain: DataFrame, whole: DataFrame) -> list[DataFrame]:
     """The nodes that several distinct conversations share, and the root, one written frame a depth, deepest first.
 
-    ``whole`` has each distinct conversation with the depth ``shared`` at which it joins others or ends.
+    A distinct conversation (``whole``) enters the peel at the depth ``shared``: as its own end, or as the child that the
+    first node of its ``chain`` is.
     """
-    spark = nodes.sparkSession
-    zero = F.lit(0).cast("bigint")
-    # the node where a conversation joins: its own end, or the parent of the first node it has for itself
-    firsts = nodes.filter("sharing = 1").select("conv_id", F.col("depth").alias("first"), *[(F.col(f"k{i}") - F.col(f"x{i}")).alias(f"j{i}") for i in (1, 2, 3)], (F.col("upto") - F.col("words")).alias("before"))
-    first_alone = whole.withColumn("first", F.col("shared") + 1).join(firsts, ["conv_id", "first"], "left")
-    ending = F.col("shared") == F.col("length")
-    entering = first_alone.select(
-        F.col("shared").alias("depth"), *[F.when(ending, F.col(f"k{i}")).otherwise(F.col(f"j{i}")).alias(f"k{i}") for i in (1, 2, 3)], "conv_id", F.col("copies").alias("n_convs"),
-        F.when(ending, 0).otherwise(1).cast("bigint").alias("n_children"), F.when(ending, 0).otherwise(1).cast("bigint").alias("n_leaves"),
-        F.when(ending, zero).otherwise((F.col("copies") - 1) * (F.col("whole") - F.col("before"))).alias("saved_tokens"),
-        F.when(ending, F.col("ends_sha256")).alias("ends_sha256"), *[zero.alias(c) for c in ("x1", "x2", "x3", "words")],
-    )
-    entering = session.cut_lineage(entering, "entering")
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("string")
+    parts = [zero.alias(c) for c in ("x1", "x2", "x3", "words")]
+    one = F.lit(1).cast("bigint")
+    ended = whole.filter("shared = length").select(F.col("length").alias("depth"), *KEY[1:], "conv_id", F.col("copies").alias("n_convs"), zero.alias("n_children"), zero.alias("n_leaves"), zero.alias("saved_tokens"), "ends_sha256", *parts)
+    joining = chain.filter("depth = shared + 1").select(F.col("shared").alias("depth"), *[F.col(f"p{i}").alias(f"k{i}") for i in (1, 2, 3)], "conv_id", "n_convs", one.alias("n_children"), "n_leaves", "saved_tokens", none.alias("ends_sha256"), *parts)
+    known = shared.select(*KEY, F.lit(None).cast("bigint").alias("conv_id"), *[zero.alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")], none.alias("ends_sha256"), "x1", "x2", "x3", "words")
+    entering = ended.unionByName(joining)
     deepest = entering.agg(F.max("depth")).first()[0]
-    if deepest is None:
-        return []
-    none = F.lit(None).cast("bigint")
-    known = shared.select(*KEY, none.alias("conv_id"), *[zero.alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")], F.lit(None).cast("string").alias("ends_sha256"), "x1", "x2", "x3", "words")
     levels: list[DataFrame] = []
     surviving = None
-    for depth in range(deepest, -1, -1):
+    for depth in range(-1 if deepest is None else deepest, -1, -1):
         met = entering.filter(F.col("depth") == depth).unionByName(known.filter(F.col("depth") == depth))
         met = met.unionByName(surviving) if surviving is not None else met
         level = met.groupBy(*KEY).agg(
@@ -193,10 +204,8 @@ def peel(shared: DataFrame, nodes: DataFrame, whole: DataFrame) -> list[DataFram
         level = session.cut_lineage(level.withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(EMPTY))), "level")
         levels.append(level)
         surviving = level.select(
-            (F.col("depth") - 1).alias("depth"), *[(F.col(f"k{i}") - F.col(f"x{i}")).alias(f"k{i}") for i in (1, 2, 3)], "conv_id", "n_convs", F.lit(1).cast("bigint").alias("n_children"),
-            "n_leaves", "saved_tokens", F.lit(None).cast("string").alias("ends_sha256"), *[zero.alias(c) for c in ("x1", "x2", "x3", "words")],
+            (F.col("depth") - 1).alias("depth"), *[(F.col(f"k{i}") - F.col(f"x{i}")).alias(f"k{i}") for i in (1, 2, 3)], "conv_id", "n_convs", one.alias("n_children"), "n_leaves", "saved_tokens", none.alias("ends_sha256"), *parts,
         )
-    drop_written(spark, entering)
     return levels
 
 

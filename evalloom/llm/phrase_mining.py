@@ -17,11 +17,12 @@ mean more passes, not larger tables.  Words are equal when their 64-bit hashes a
 
 Cases: a null text is empty, a null language ``und``; repeated rows count each;
 documents of any length are read in pieces at row ends; an empty table gives no rows;
-columns besides ``text`` and ``lang`` are ignored.
+columns besides ``text`` and ``lang`` are ignored.  Languages are told apart by 64-bit hashes too.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from evalloom.llm.common import cut_lineage
 from evalloom.llm.text import LOWER, STEP, Words, mix, pieces, running, span_hash
 
-BITS, PER_SHARD, HELD = 1 << 26, 2_000_000, 1_500_000
+BITS, PER_SHARD, HELD, CHUNK = 1 << 26, 600_000, 400_000, 1 << 14
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 PHRASE_WORD = ~BREAK
@@ -40,15 +41,15 @@ PHRASE_WORD[[0x20, 0x09]] = False
 
 
 class Corpus:
-    """The words of one piece of text: ``hashes``, ``lang`` (index into ``langs``), and whether the next word follows in the same phrase."""
+    """The words of one piece of text: ``hashes``, ``lang`` (the hash of each word's language), and whether the ``next`` word belongs to the same phrase."""
 
     def __init__(self, rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray):
         data = LOWER[data]
         self.words = Words(data, offsets, PHRASE_WORD)
         self.hashes = span_hash(running(data), self.words.starts, self.words.ends)
-        coded = rows.column(rows.schema.get_field_index("lang")).dictionary_encode()
-        self.langs: list[str] = coded.dictionary.to_pylist()
-        self.lang = coded.indices.to_numpy(zero_copy_only=False)[self.words.row]
+        self.langs, at = np.unique(rows.column(rows.schema.get_field_index("lh")).to_numpy(zero_copy_only=False).view(np.uint64), return_inverse=True)
+        self.at_lang = at[self.words.row]
+        self.lang = self.langs[self.at_lang]
         breaks = np.zeros(len(data) + 1, np.int32)
         np.cumsum(BREAK[data], out=breaks[1:])
         self.next = np.zeros(len(self.hashes), bool)
@@ -59,14 +60,6 @@ class Corpus:
         return self.words.data[self.words.starts[i] : self.words.ends[i]].tobytes().decode("utf-8", "replace")
 
 
-def lang_hashes(langs: list[str]) -> np.ndarray:
-    """A fixed hash of each language's name."""
-    raw = [x.encode() for x in langs]
-    ends = np.cumsum([len(x) for x in raw]) if raw else np.zeros(0, np.int64)
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    return span_hash(running(data), ends - [len(x) for x in raw], ends) if raw else np.zeros(0, np.uint64)
-
-
 def phrase_hash(lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
     out = lang
     for w in words:
@@ -74,8 +67,13 @@ def phrase_hash(lang: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def languages(docs: DataFrame) -> DataFrame:
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
+    return docs.select(lang.alias("lang"), F.xxhash64(lang).alias("lh"))
+
+
 def texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
+    return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col("lang").cast("string"), F.lit("und"))).alias("lh"))
 
 
 class Tally:
@@ -105,37 +103,53 @@ class Tally:
                 self.parts, self.size = [], 0
 
 
+def _rows(keys: np.ndarray, n: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(k).view(np.int64)) for k in keys], pa.array(n)], names)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
-    """(lang, lh, h, word, f): every word of every language."""
+    """(lh, h1, f): every word of every language."""
+
+    def run(batches):
+        tally = Tally(2)
+        for batch in batches:
+            for rows, data, offsets in pieces(batch):
+                piece = Corpus(rows, data, offsets)
+                tally.add(piece.lang, [piece.hashes])
+                for keys, n in tally.rows():
+                    yield _rows(keys, n, ["lh", "h1", "f"])
+        for keys, n in tally.rows(True):
+            yield _rows(keys, n, ["lh", "h1", "f"])
+
+    return texts(docs).mapInArrow(run, "lh bigint, h1 bigint, f bigint").groupBy("lh", "h1").agg(F.sum("f").alias("f"))
+
+
+def spelled(docs: DataFrame, table) -> DataFrame:
+    """(h, word): the strings of the words that are set in the broadcast ``table``, and perhaps some more."""
 
     def run(batches):
-        held: dict[tuple[str, int], list] = {}
+        held: dict[int, str] = {}
         for batch in batches:
             for rows, data, offsets in pieces(batch):
                 piece = Corpus(rows, data, offsets)
-                named = phrase_hash(lang_hashes(piece.langs)[piece.lang], [piece.hashes]) if len(piece.hashes) else np.zeros(0, np.uint64)
-                _, first, n = np.unique(named, return_index=True, return_counts=True)
-                for i, h, k in zip(first.tolist(), piece.hashes[first].tolist(), n.tolist(), strict=True):
-                    key = (piece.langs[piece.lang[i]], h)
-                    if key in held:
-                        held[key][1] += k
-                    else:
-                        held[key] = [piece.string(i), k]
-                if len(held) > HELD // 8:
+                hashes, first = np.unique(piece.hashes, return_index=True)
+                for h, i in _set_ones(hashes, first, table.value):
+                    if h not in held:
+                        held[h] = piece.string(i)
+                if len(held) > HELD // 2:
                     yield listed(held)
                     held = {}
         yield listed(held)
 
     def listed(held: dict) -> pa.RecordBatch:
-        langs = sorted({k[0] for k in held})
-        code = dict(zip(langs, lang_hashes(langs).view(np.int64).tolist(), strict=True))
-        return pa.RecordBatch.from_arrays([
-            pa.array([k[0] for k in held], pa.string()), pa.array([code[k[0]] for k in held], pa.int64()), pa.array(np.fromiter((k[1] for k in held), np.uint64, len(held)).view(np.int64)),
-            pa.array([v[0] for v in held.values()], pa.string()), pa.array([v[1] for v in held.values()], pa.int64()),
-        ], ["lang", "lh", "h", "word", "f"])
+        return pa.RecordBatch.from_arrays([pa.array(np.fromiter(held, np.uint64, len(held)).view(np.int64)), pa.array(held.values(), pa.string())], ["h", "word"])
+
+    return texts(docs).mapInArrow(run, "h bigint, word string").distinct()
 
-    counted = texts(docs).mapInArrow(run, "lang string, lh bigint, h bigint, word string, f bigint")
-    return counted.groupBy("lang", "lh", "h", "word").agg(F.sum("f").alias("f"))
+
+def _set_ones(hashes: np.ndarray, first: np.ndarray, table: np.ndarray):
+    on = is_set(table, hashes)
+    return zip(hashes[on].tolist(), first[on].tolist(), strict=True)
 
 
 def bit_table(frequent: DataFrame, columns: list[str], bits: int = BITS) -> np.ndarray:
@@ -149,8 +163,8 @@ def bit_table(frequent: DataFrame, columns: list[str], bits: int = BITS) -> np.n
     def run(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            lang, *words = (c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns)
-            at = np.unique(phrase_hash(lang, words) % np.uint64(bits)).astype(np.int64)
+            first, *words = (c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns)
+            at = np.unique(phrase_hash(first, words) % np.uint64(bits)).astype(np.int64)
             for k, part in zip(*_runs(at // slice_bits, at % slice_bits), strict=True):
                 held.setdefault(int(k), np.zeros(slice_bits, bool))[part] = True
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], ["slice", "set"])
@@ -308,7 +322,7 @@ def longer(docs: DataFrame, table, depth: int, least: int) -> DataFrame:
                 piece = Corpus(rows, data, offsets)
                 if not len(piece.hashes):
                     continue
-                tongue = lang_hashes(piece.langs)[piece.lang]
+                tongue = piece.lang
                 n = len(piece.hashes) - depth + 1
                 if n < 1:
                     continue
@@ -321,12 +335,9 @@ def longer(docs: DataFrame, table, depth: int, least: int) -> DataFrame:
                 at = at[is_set(table.value, phrase_hash(tongue[at], [s[at] for s in shift[1:]]))]
                 tally.add(tongue[at], [s[at] for s in shift])
                 for keys, seen in tally.rows():
-                    yield out(keys, seen)
+                    yield _rows(keys, seen, [*names, "seen"])
         for keys, seen in tally.rows(True):
-            yield out(keys, seen)
-
-    def out(keys: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(k).view(np.int64)) for k in keys], pa.array(seen)], [*names, "seen"])
+            yield _rows(keys, seen, [*names, "seen"])
 
     met = texts(docs).mapInArrow(run, ", ".join(f"{n} bigint" for n in [*names, "seen"]))
     return met.groupBy(*names).agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= least)
@@ -345,21 +356,39 @@ def count_phrases(docs: DataFrame, candidates: DataFrame, depth: int, per_shard:
         trie = spark.sparkContext.broadcast(DoubleArray(keys))
         told = spark.sparkContext.broadcast(keys.view(np.int64))
 
-        def run(batches, trie=trie, told=told):
+        def run(batches, trie=trie):
             total = np.zeros(trie.value.count, np.int64)
             for batch in batches:
                 for rows, data, offsets in pieces(batch):
                     piece = Corpus(rows, data, offsets)
                     if len(piece.hashes):
-                        got = trie.value.advance(lang_hashes(piece.langs), piece.lang, piece.hashes, piece.next, depth)
+                        got = trie.value.advance(piece.langs, piece.at_lang, piece.hashes, piece.next, depth)
                         total += np.bincount(got[got >= 0], minlength=len(total))
+            starts = [i for i in range(0, len(total), CHUNK) if total[i : i + CHUNK].any()]
+            yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([zlib.compress(total[i : i + CHUNK].tobytes(), 1) for i in starts], pa.binary())], ["start", "counts"])
+
+        def add(batches, told=told):
+            at, total = None, None
+            for batch in batches:
+                out = []
+                for start, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if start != at:
+                        if total is not None:
+                            out.append((at, total))
+                        at, total = start, 0
+                    total = total + np.frombuffer(zlib.decompress(counts), np.int64)
+                yield from (named(told.value, *x) for x in out)
+            if total is not None:
+                yield named(told.value, at, total)
+
+        def named(keys: np.ndarray, start: int, total: np.ndarray) -> pa.RecordBatch:
             met = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([*[pa.array(told.value[met, i]) for i in range(depth + 1)], pa.array(total[met])], [*names, "f"])
+            return _rows(keys[start + met].T, total[met], [*names, "f"])
 
-        summed = texts(docs).mapInArrow(run, ", ".join(f"{n} bigint" for n in [*names, "f"])).groupBy(*names).agg(F.sum("f").alias("f"))
-        summed = cut_lineage(summed, "phrases")
-        trie.unpersist()
-        told.unpersist()
+        counts = texts(docs).mapInArrow(run, "start bigint, counts binary").repartition("start").sortWithinPartitions("start")
+        summed = cut_lineage(counts.mapInArrow(add, ", ".join(f"{n} bigint" for n in [*names, "f"])), "phrases")
+        trie.destroy()
+        told.destroy()
         done = summed if done is None else done.unionByName(summed)
     return done
 
@@ -372,16 +401,23 @@ def mine_phrases(docs: DataFrame, least: int = 10, share: int = 50, per_shard: i
     """
     spark = docs.sparkSession
     words = cut_lineage(count_words(docs), "words")
-    totals = words.groupBy("lang", "lh").agg(F.sum("f").alias("n"))
+    totals = words.groupBy("lh").agg(F.sum("f").alias("n")).join(languages(docs).distinct(), "lh")
     frequent = words.filter(F.col("f") >= least)
-    ones = spark.sparkContext.broadcast(bit_table(frequent, ["lh", "h"], bits))
-    two = count_phrases(docs, cut_lineage(longer(docs, ones, 2, least), "pairs"), 2, per_shard).filter(F.col("f") >= least)
+    ones = spark.sparkContext.broadcast(bit_table(frequent, ["lh", "h1"], bits))
+    two = cut_lineage(longer(docs, ones, 2, least), "pairs")
+    ones.destroy()
+    two = count_phrases(docs, two, 2, per_shard).filter(F.col("f") >= least)
     pairs = spark.sparkContext.broadcast(bit_table(two, ["lh", "h1", "h2"], bits))
-    three = count_phrases(docs, cut_lineage(longer(docs, pairs, 3, least), "triples"), 3, per_shard).filter(F.col("f") >= least)
-    ones.unpersist()
-    pairs.unpersist()
-
-    word = lambda i: frequent.select("lh", F.col("h").alias(f"h{i}"), F.col("word").alias(f"w{i}"), F.col("f").alias(f"f{i}"))
+    three = cut_lineage(longer(docs, pairs, 3, least), "triples")
+    pairs.destroy()
+    three = count_phrases(docs, three, 3, per_shard).filter(F.col("f") >= least)
+    needed = two.select("h1").union(two.select("h2")).distinct()
+    wanted = spark.sparkContext.broadcast(bit_table(needed, ["h1"], bits))
+    strings = cut_lineage(spelled(docs, wanted), "strings")
+    wanted.destroy()
+
+    named = cut_lineage(frequent.join(strings, F.col("h1") == F.col("h")).select("lh", "h", "word", "f"), "named")
+    word = lambda i: named.select("lh", F.col("h").alias(f"h{i}"), F.col("word").alias(f"w{i}"), F.col("f").alias(f"f{i}"))
 
     def score(left: str, right: str):
         return F.expr(f"(CAST(f AS DECIMAL(14,0)) * CAST(f AS DECIMAL(14,0)) * CAST(1000000 AS DECIMAL(7,0))) div (CAST({left} AS DECIMAL(14,0)) * CAST({right} AS DECIMAL(14,0)))")
