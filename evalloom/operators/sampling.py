@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evalloom.plans.scan import running
+from evalloom.plans.scan import matched, running
 
 
 def rank_hash(seed: int | str, value: Column) -> Column:
@@ -52,9 +52,7 @@ def even_cover(examples: DataFrame, group: str, image: str, bucket: Column, *, s
                     lambda i: F.expr("0") + F.floor(i * (F.col("n_images") - 1) / (size - 1)))
     )
     wanted = totals.withColumn("slot", F.explode(slots))
-    picks = wanted.filter(F.col("n_images") >= minimum).join(
-        ranked.withColumn("slot", F.col("position") - 1), [group, "slot"]
-    )
+    picks = matched(wanted.filter(F.col("n_images") >= minimum), ranked.withColumn("slot", F.col("position") - 1), [group, "slot"])
     return picks.select(group, "slot", image, "n_images")
 
 
@@ -70,7 +68,7 @@ def content_rank(df: DataFrame, sha: str, ident: str, *, prefix: int = 3, span:
     inner = running(
         df.select(sha, ident), [sha], [ident], F.floor(F.col(ident) / span), {"inner": ("sum", F.lit(1))}
     )
-    return inner.join(offsets, sha).select(ident, sha, (F.col("before") + F.col("inner")).alias("rank"), "copies")
+    return matched(inner, offsets, [sha]).select(ident, sha, (F.col("before") + F.col("inner")).alias("rank"), "copies")
 
 
 def blind_ids(df: DataFrame, sha: str, ident: str, *, width: int = 3) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalloom.operators.logs import run_segments
-from evalloom.plans.scan import moving_mean, neighbour, percentiles, running, segments
+from evalloom.plans.scan import matched, moving_mean, neighbour, percentiles, running, segments
 from evalloom.session import cut_lineage
 
 
@@ -39,10 +39,10 @@ def count_cycles(
     marks = cut_lineage(percentiles(smooth, keys, "smooth", {"low": low, "high": high}, value_bucket), "marks")
     amplitude = (F.col("high") - F.col("low")) / 2.0
     level = (F.col("low") + F.col("high")) / 2.0 + lift * amplitude
-    flagged = smooth.join(marks, keys).withColumn("above", F.round(F.col("smooth") - level, 9) > 0)
+    flagged = matched(smooth, marks, keys).withColumn("above", F.round(F.col("smooth") - level, 9) > 0)
     runs = run_segments(flagged, keys, ["idx"], F.col("above"), F.floor(F.col("idx") / 100_000), minimum_run)
     counted = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("cycles"), F.min("width").alias("narrowest"))
-    return marks.join(counted, keys, "left").select(
+    return matched(marks, counted, keys, "left").select(
         *keys, F.coalesce("cycles", F.lit(0)).alias("cycles"), "narrowest", F.round(amplitude, 6).alias("amplitude")
     )
 
@@ -88,7 +88,7 @@ def profile_residual(traces: DataFrame, keys: list[str], left: str, right: str,
     both = traces.filter(F.col(left).isNotNull() & F.col(right).isNotNull())
     centres = both.groupBy(*keys).agg(F.avg(left).alias("__l"), F.avg(right).alias("__r"))
     gap = F.abs((F.col(left) - F.col("__l")) - (F.col(right) - F.col("__r")))
-    out = both.join(centres, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("positions"), F.avg(gap).alias("r"))
+    out = matched(both, centres, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("positions"), F.avg(gap).alias("r"))
     return out.select(
         *keys, "positions", F.round("r", 6).alias("residual"), F.when(F.round("r", 9) < limit, "yes").otherwise("no").alias("answer")
     )

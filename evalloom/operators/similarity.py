@@ -6,15 +6,17 @@ qualifying pair must share, and rows with equal content are joined once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evalloom.functions.similarity import (
     FIELD_WEIGHTS,
     SET_WEIGHTS,
-    blocking_keys,
     core_similarity,
     fingerprint_similarity,
 )
@@ -53,26 +55,97 @@ def _all_equal(names: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a & b, [side("l")(n).eqNullSafe(side("r")(n)) for n in names])
 
 
-def core_pairs(cores: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of cores (also of one with itself) whose equal fields can still reach the threshold.
+def _agreements(floor: float) -> list[tuple[float, tuple[str, ...]]]:
+    """Every set of fields that can agree with a weight of at least ``floor``, the strongest first."""
+    found = [(sum(FIELD_WEIGHTS[n] for n in c), c) for size in range(len(CORE) + 1) for c in combinations(CORE, size)]
+    return sorted((x for x in found if x[0] >= floor), key=lambda x: (-x[0], x[1]))
 
-    Cores are distinct combinations of five enumerated fields, so this table is
-    bounded by the enumerations and not by the number of rows.
+
+def _field_key(number: int, fields: tuple[str, ...]) -> Column:
+    """The values of ``fields`` as one string; missing values are left out, so they equal each other alone."""
+    return F.concat(F.lit(f"{number}:"), F.to_json(F.struct(*fields)) if fields else F.lit(""))
+
+
+def _must_share(need: float) -> tuple[tuple[str, ...], float]:
+    """Sets of which one must overlap by the returned Jaccard value, if the set terms are to add up to ``need``."""
+    for kinds in (("tokens",), ("entities", "tokens"), tuple(SETS)):
+        own = sum(SET_WEIGHTS[k] for k in kinds)
+        rest = sum(SET_WEIGHTS.values()) - own
+        if need > rest:
+            return kinds, (need - rest) / own
+    return (), 0.0
+
+
+def _prefix(size: Column, least: Column | float) -> Column:
+    """How many members of a set must be looked at so that an overlap of ``least`` cannot be missed."""
+    return F.greatest(F.lit(0), size - F.greatest(F.ceil(least * size - 1e-6), F.lit(1)) + 1).cast("int")
+
+
+def _all_of(sets: dict[str, Column], entry: Callable[[str, Column, Column], Column]) -> Column:
+    """One array with ``entry(set, member, place)`` of all members of all sets."""
+
+    def of(kind: str) -> Column:
+        return F.transform(F.coalesce(sets[kind], F.array().cast("array<string>")), lambda m, i: entry(kind, m, i))
+
+    return F.flatten(F.array(*[of(kind) for kind in sets]))
+
+
+def _members(rows: DataFrame, *kept: str) -> DataFrame:
+    """One row for each member of each set."""
+    entries = _all_of({s: F.col(s) for s in SETS}, lambda kind, m, _: F.struct(F.lit(kind).alias("kind"), m.alias("member")))
+    return rows.select(*kept, F.inline(entries))
+
+
+def _by_rarity(rows: DataFrame, counted: DataFrame, prefix: str = "rare_") -> DataFrame:
+    """Each set also as ``rare_<set>``: its members by rising number of rows of ``counted`` that hold them.
+
+    Frequencies are looked up once for each distinct combination of sets.
     """
-    floor = threshold - sum(SET_WEIGHTS.values()) - _SLACK
-    left, right = _renamed(cores, "l"), _renamed(cores, "r")
-    keys = blocking_keys(threshold)
-    if not keys:
-        raise ValueError("threshold is too low for blocking")
-    ordered = F.col("l_core") <= F.col("r_core")
-    parts = [left.join(right, _all_equal(k) & ordered) for k in keys]
-    found = reduce(DataFrame.unionByName, parts)
-    return (
-        found.withColumn("core_score", core_similarity(side("l"), side("r")))
-        .filter(F.col("core_score") >= floor)
-        .select("l_core", "r_core", "core_score")
-        .distinct()
-    )
+    shape = F.sha2(F.to_json(F.struct(*SETS)), 256)
+    shapes = rows.select(shape.alias("__shape"), *SETS).dropDuplicates(["__shape"])
+    seen = _members(counted).groupBy("kind", "member").agg(F.count(F.lit(1)).alias("rows"))
+    ranked = _members(shapes, "__shape").join(seen, ["kind", "member"], "left")
+    lists = ranked.groupBy("__shape").agg(*[
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == s, F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "member")))), lambda x: x["member"]).alias(f"{prefix}{s}") for s in SETS
+    ])
+    out = rows.withColumn("__shape", shape).join(lists, "__shape", "left")
+    return out.select(*rows.columns, *[F.coalesce(f"{prefix}{s}", F.array().cast("array<string>")).alias(f"{prefix}{s}") for s in SETS])
+
+
+def edge_candidates(full: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of profiles (``l_``, ``r_``) that can reach the threshold, each at most once for each set.
+
+    A pair is looked for at the exact set of fields in which it agrees.  What is still
+    missing then says which sets must overlap and by how much; members are ordered by
+    rising frequency, and a pair must share one of the first members of both sides
+    (prefix), early enough that what follows can still give the overlap (position).
+    Pairs that qualify by their fields alone need no shared member.
+    """
+
+    def entries(number: int, weight: float, fields: tuple[str, ...]) -> Column:
+        need, key = threshold - weight - 1e-6, _field_key(number, fields)
+        kinds, least = _must_share(need)
+
+        def entry(kind: str, pos: Column, member: Column) -> Column:
+            return F.struct(F.lit(weight).alias("weight"), F.lit(kind).alias("kind"), F.lit(least).alias("least"), pos.cast("int").alias("pos"), F.concat(key, F.lit(f"|{kind}|"), member).alias("key"))
+
+        if need <= 0:
+            return F.array(entry("", F.lit(0), F.lit("")))
+        firsts = {k: F.slice(f"rare_{k}", F.lit(1), _prefix(F.size(f"rare_{k}"), least)) for k in kinds}
+        return _all_of(firsts, lambda kind, m, i: entry(kind, i, m))
+
+    options = [entries(i, w, c) for i, (w, c) in enumerate(_agreements(threshold - sum(SET_WEIGHTS.values()) - _SLACK))]
+    keyed = _by_rarity(full, full).withColumn("sizes", F.struct(*[F.size(f"rare_{s}").alias(s) for s in SETS]))
+    keyed = keyed.select(*full.columns, "sizes", F.inline(F.flatten(F.array(*options))))
+    left, right = _renamed(keyed, "l").withColumnRenamed("l_key", "key"), _renamed(keyed.drop("weight", "kind", "least"), "r").withColumnRenamed("r_key", "key")
+    met = left.join(right, "key").filter("l_rep < r_rep")
+    # the same fields and no other: the pair belongs to this set of fields
+    met = met.withColumn("core_score", core_similarity(side("l"), side("r"))).filter(F.abs(F.col("core_score") - F.col("l_weight")) < 1e-6)
+    size = lambda p: reduce(lambda rest, s: F.when(F.col("l_kind") == s, F.col(f"{p}_sizes.{s}")).otherwise(rest), SETS, F.lit(0))
+    overlap = F.col("l_least") / (1 + F.col("l_least")) * (size("l") + size("r"))
+    left_over = F.least(size("l") - F.col("l_pos"), size("r") - F.col("r_pos"))
+    close = F.least(size("l"), size("r")) >= F.col("l_least") * F.greatest(size("l"), size("r")) - 1e-6
+    return met.filter((F.col("l_kind") == "") | close & (left_over >= overlap - 1e-6))
 
 
 def similarity_edges(rows: DataFrame, threshold: float, ident: str = "id") -> DataFrame:
@@ -83,69 +156,13 @@ def similarity_edges(rows: DataFrame, threshold: float, ident: str = "id") -> Da
     equal stands for the pairs among the copies of one profile.  Nothing is lost:
     members of a profile share every score.
     """
-    full = profiles(with_tokens(rows), ident)
-    cores = full.groupBy(*CORE).agg(F.min("rep").alias("core"))
-    keyed = full.join(cores, reduce(lambda a, b: a & b, [full[c].eqNullSafe(cores[c]) for c in CORE])).select(
-        "core", *[full[c] for c in [*SETS, "rep", "n"]]
-    )
-    shapes = keyed.groupBy("core", "entities", "primitives").agg(F.min("rep").alias("shape"))
-    members = keyed.join(shapes, ["core", "entities", "primitives"]).select("shape", "tokens", "rep", "n")
-
-    # shapes: score without text must come within the weight of the token term
-    linked = (
-        core_pairs(cores, threshold)
-        .join(_renamed(shapes, "l"), "l_core")
-        .join(_renamed(shapes, "r"), "r_core")
-        .filter((F.col("l_core") != F.col("r_core")) | (F.col("l_shape") <= F.col("r_shape")))
-    )
-    structure = (
-        F.col("core_score")
-        + SET_WEIGHTS["entities"] * jaccard(F.col("l_entities"), F.col("r_entities"))
-        + SET_WEIGHTS["primitives"] * jaccard(F.col("l_primitives"), F.col("r_primitives"))
-    )
-    weight = SET_WEIGHTS["tokens"]
-    linked = (
-        linked.select("l_shape", "r_shape", structure.alias("structure"))
-        .filter(F.col("structure") >= threshold - weight - _SLACK)
-        .withColumn("need", (F.lit(threshold) - F.col("structure")) / weight - F.lit(1e-6))
-    )
-    # three joins read these tables: compute each once
-    linked, members = cut_lineage(linked, "linked-shapes"), cut_lineage(members, "members")
-
-    # pairs that qualify by structure alone are all results; the rest must share a prefix token
-    left, right = _renamed(members, "l"), _renamed(members, "r")
-    sure = linked.filter("need <= 0").join(left, "l_shape").join(right, "r_shape")
-
-    def prefixed(df: DataFrame, p: str) -> DataFrame:
-        size = F.size(f"{p}_tokens")
-        length = (size - F.ceil(F.col("need") * size) + 1).cast("int")
-        return (
-            linked.filter("need > 0")
-            .join(df, f"{p}_shape")
-            .filter(length > 0)
-            .withColumn("token", F.explode(F.slice(f"{p}_tokens", F.lit(1), length)))
-        )
-
-    shared = prefixed(left, "l").join(
-        prefixed(right, "r").drop("structure", "need"), ["l_shape", "r_shape", "token"]
-    )
-    sizes = [F.size("l_tokens"), F.size("r_tokens")]
-    shared = shared.filter(F.least(*sizes) >= F.col("need") * F.greatest(*sizes)).drop("token").distinct()
-    pairs = sure.unionByName(shared.select(*sure.columns))
-    # one shape against itself meets both orders of a pair: keep one
-    pairs = pairs.filter((F.col("l_shape") != F.col("r_shape")) | (F.col("l_rep") <= F.col("r_rep")))
-    score = F.round(F.col("structure") + weight * jaccard(F.col("l_tokens"), F.col("r_tokens")), 6)
-    same = F.col("l_rep") == F.col("r_rep")
-    count = F.when(same, F.expr("l_n * (l_n - 1) div 2")).otherwise(F.col("l_n") * F.col("r_n"))
-    return (
-        pairs.select(
-            F.least("l_rep", "r_rep").alias("left_id"),
-            F.greatest("l_rep", "r_rep").alias("right_id"),
-            score.alias("score"),
-            count.alias("pairs"),
-        )
-        .filter((F.col("score") >= threshold) & (F.col("pairs") > 0))
-    )
+    full = cut_lineage(profiles(with_tokens(rows), ident), "profiles")
+    score = fingerprint_similarity(side("l"), side("r"))
+    met = edge_candidates(full, threshold).select(F.col("l_rep").alias("left_id"), F.col("r_rep").alias("right_id"), score.alias("score"), (F.col("l_n") * F.col("r_n")).alias("pairs"))
+    between = met.filter(F.col("score") >= threshold).distinct()
+    itself = fingerprint_similarity(F.col, F.col)
+    copies = full.filter("n > 1").select(F.col("rep").alias("left_id"), F.col("rep").alias("right_id"), itself.alias("score"), F.expr("n * (n - 1) div 2").alias("pairs"))
+    return between.unionByName(copies.filter(F.col("score") >= threshold))
 
 
 def sibling_risk(rows: DataFrame, edges: DataFrame, ident: str = "id") -> DataFrame:
@@ -162,70 +179,71 @@ def sibling_risk(rows: DataFrame, edges: DataFrame, ident: str = "id") -> DataFr
     return canonical.join(named, match).select(canonical[ident], named["top_score"])
 
 
-def semantic_neighbors(
-    candidates: DataFrame, memory: DataFrame, k: int, *, ident: str = "id", name: str = "memory_id", max_memory: int = 5000
-) -> DataFrame:
-    """The k most similar memory rows per candidate, ties by id as text.
+def semantic_neighbors(candidates: DataFrame, memory: DataFrame, k: int, *, ident: str = "id", name: str = "memory_id") -> DataFrame:
+    """The k most similar memory rows per candidate, ties by id as text; one plan for a memory of any size.
 
-    A memory that was counted to be small goes to every task, where each
-    candidate meets it in place and each partition keeps its own top k before the
-    shuffle.  A larger memory goes through ``neighbors_by_tiers``.
+    Threshold algorithm.  For each set of fields and their values, the first k ids of the
+    memory are its heads: a row that is no head of the fields in which it agrees, and
+    shares no set member, has k better rows before it.  The heads of a candidate give
+    the first scores, and its k-th one from then on decides: fields whose weight with
+    full overlap of all sets stays below it are not looked at, and of the others only
+    rows that share one of the rare members that the missing score demands.
+    Candidates with equal fingerprints are asked once.
     """
-    memory = with_tokens(memory)
-    if memory.limit(max_memory + 1).count() > max_memory:
-        return neighbors_by_tiers(candidates, memory, k, ident=ident, name=name)
     fields = [*CORE, *SETS]
-    slices = candidates.sparkSession.sparkContext.defaultParallelism
-    left = _renamed(with_tokens(candidates).select(ident, *fields).repartition(slices, ident), "l")
-    right = _renamed(memory.select(name, *fields), "r")
-    score = fingerprint_similarity(side("l"), side("r"))
-    scored = left.join(F.broadcast(right), score >= 0).select(
-        F.col(f"l_{ident}").alias(ident), F.col(f"r_{name}").alias(name), score.alias("score")
-    )
-    return _top_k(scored, ident, name, k).select(ident, "rank", name, "score")
+    most = sum(SET_WEIGHTS.values())
+    patterns = _agreements(0.0)
+    asked = with_tokens(candidates).select(ident, *fields).withColumn("profile", F.sha2(F.to_json(F.struct(*fields)), 256))
+    asked = asked.withColumn("core", _field_key(0, tuple(CORE)))
+    profs = cut_lineage(_by_rarity(asked.drop(ident).dropDuplicates(["profile"]), with_tokens(memory)), "asked")
+    order = F.col(name).cast("string")
+    copy = W.partitionBy(*fields).orderBy(order)
+    known = cut_lineage(with_tokens(memory).select(name, *fields).withColumn("__copy", F.row_number().over(copy)).filter(F.col("__copy") <= k).drop("__copy"), "known")
+
+    def spelled(rows: DataFrame, *kept: str) -> DataFrame:
+        return rows.select(*kept, F.inline(F.array(*[F.struct(F.lit(w).alias("w"), _field_key(i, c).alias("key")) for i, (w, c) in enumerate(patterns)])))
+
+    heads = spelled(known, name).withColumn("__at", F.row_number().over(W.partitionBy("key").orderBy(order))).filter(F.col("__at") <= k).select("key", name)
+    cores = cut_lineage(spelled(profs.select("core", *CORE).dropDuplicates(["core"]), "core"), "cores")
+    # the fields alone already bound the k-th score from below
+    near = cores.join(heads, "key").groupBy("core", name).agg(F.max("w").alias("w"))
+    at = F.row_number().over(W.partitionBy("core").orderBy(F.desc("w")))
+    near = near.withColumn("__at", at).withColumn("floor", F.max(F.when(F.col("__at") == k, F.col("w"))).over(W.partitionBy("core")))
+    near = near.filter(F.col("w") + most >= F.coalesce("floor", F.lit(0.0)) - _SLACK).select("core", name)
+
+    left, right = _renamed(profs.select("profile", "core", *fields), "l").withColumnsRenamed({"l_profile": "profile", "l_core": "core"}), _renamed(known, "r").withColumnRenamed(f"r_{name}", name)
+    score = fingerprint_similarity(side("l"), side("r")).alias("score")
+    first = left.join(near, "core").join(right, name).select("profile", name, score)
+    best = cut_lineage(_top_k(first, "profile", name, k), "best")
+
+    # what can still beat the k-th score
+    bar = best.filter(F.col("rank") == k).select("profile", F.col("score").alias("bar"))
+    open_ = profs.select("profile", "core", *[f"rare_{s}" for s in SETS]).join(bar, "profile", "left").withColumn("bar", F.coalesce("bar", F.lit(0.0)))
+    open_ = open_.join(cores, "core").withColumn("need", F.col("bar") - F.col("w") - 1e-6).filter(F.col("need") <= most)
+    firsts = {}
+    for kind in SETS:
+        least = F.lit(0.0)
+        for floor in (0.0, SET_WEIGHTS["primitives"], SET_WEIGHTS["primitives"] + SET_WEIGHTS["entities"]):
+            kinds, _ = _must_share(floor + 1e-9)
+            own = sum(SET_WEIGHTS[x] for x in kinds)
+            value = (F.col("need") - (most - own)) / own if kind in kinds else F.lit(2.0)  # 2: this set need not be looked at
+            least = F.when(F.col("need") > floor, value).otherwise(least)
+        firsts[kind] = F.slice(f"rare_{kind}", F.lit(1), F.when(least <= 1, _prefix(F.size(f"rare_{kind}"), least)).otherwise(0).cast("int"))
+    member_key = lambda kind, m, _: F.concat(F.col("key"), F.lit(f"|{kind}|"), m)
+    probes = open_.select("profile", F.explode(_all_of(firsts, member_key)).alias("key"))
+    postings = spelled(known, name, *SETS).select(name, F.explode(_all_of({s: F.col(s) for s in SETS}, member_key)).alias("key"))
+    pairs = probes.join(postings, "key").select("profile", name).distinct().join(best, ["profile", name], "left_anti")
+    more = pairs.join(left, "profile").join(right, name).select("profile", name, score)
+    top = _top_k(best.drop("rank").unionByName(more), "profile", name, k)
+    return asked.select(ident, "profile").join(top, "profile").select(ident, "rank", name, "score")
 
 
 def _top_k(scored: DataFrame, ident: str, name: str, k: int) -> DataFrame:
     """Rank per candidate; the filter on the rank lets Spark trim each partition before the shuffle."""
-    from pyspark.sql import Window as W
-
     order = W.partitionBy(ident).orderBy(F.col("score").desc(), F.col(name).cast("string"))
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def neighbors_by_tiers(candidates: DataFrame, memory: DataFrame, k: int, *, ident: str, name: str) -> DataFrame:
-    """Exact top-k against a memory of any size, through equi-joins of falling strength.
-
-    A tier finds every pair that can score at its level.  A candidate is finished
-    as soon as k of its pairs reach that level; only the others go on.  The last
-    tier joins on any shared field, set member or token; what is still missing
-    scores exactly 0 and is filled with the first ids.
-    """
-    fields = [*CORE, *SETS]
-    left = _renamed(with_tokens(candidates).select(ident, *fields), "l").withColumnRenamed(f"l_{ident}", ident)
-    right = _renamed(memory.select(name, *fields), "r").withColumnRenamed(f"r_{name}", name)
-    score = fingerprint_similarity(side("l"), side("r")).alias("score")
-    done: list[DataFrame] = []
-    todo = left
-    for level in (0.68, 0.53):
-        pairs = reduce(
-            DataFrame.unionByName,
-            [todo.join(right, _all_equal(key)).select(ident, name, score) for key in blocking_keys(level)],
-        ).distinct()
-        best = _top_k(pairs.filter(F.col("score") >= level), ident, name, k)
-        full = best.groupBy(ident).agg(F.count(F.lit(1)).alias("found")).filter(F.col("found") == k).select(ident)
-        done.append(best.join(full, ident, "left_semi"))
-        todo = todo.join(full, ident, "left_anti")
-    parts = [todo.join(right, _all_equal((c,))).select(ident, name, score) for c in CORE]
-    for s in SETS:
-        lx = todo.withColumn("member", F.explode(f"l_{s}"))
-        rx = right.withColumn("member", F.explode(f"r_{s}"))
-        parts.append(lx.join(rx, "member").select(ident, name, score))
-    pairs = reduce(DataFrame.unionByName, parts).distinct()
-    done.append(_top_k(_pad_zero(todo.select(ident), pairs, memory, ident, name, k), ident, name, k))
-    return reduce(DataFrame.unionByName, done).select(ident, "rank", name, "score")
-
-
 def _pad_zero(candidates: DataFrame, scored: DataFrame, memory: DataFrame, ident: str, name: str, k: int) -> DataFrame:
     """Add score 0 for the first ids of the memory where they were not scored.
 
@@ -240,27 +258,54 @@ def _pad_zero(candidates: DataFrame, scored: DataFrame, memory: DataFrame, ident
 
 
 def negative_neighbors(
-    candidates: DataFrame, memory: DataFrame, k: int, *, ident: str, name: str, text: str = "text"
+    candidates: DataFrame, memory: DataFrame, k: int, *, ident: str, name: str, text: str = "text", seed_tokens: int = 512
 ) -> DataFrame:
-    """Top-k by token overlap through an inverted index; zero overlaps fill up in id order.
-
-    Shared tokens are counted with a map-side combine, so a hot token is spread
-    over the tasks that read it.
+    """Top-k by token overlap through postings in rising document frequency; zero overlaps fill up in id order.
+
+    A few memory rows of common tokens (``4 * k``, whatever the size of the memory, of at
+    most ``seed_tokens`` tokens) are scored first, and the k-th score is the bar of a
+    candidate.  The bar and both sizes say how many tokens a better pair shares; leaving
+    out that many but one of the commonest tokens of a memory row, it must be met by one
+    of the others, so common tokens are read for candidates that have no bar yet, and
+    only there.  What passes the bound by its count is compared in full.
     """
-    left = candidates.select(ident, tokens(F.col(text)).alias("lt"))
-    right = memory.select(name, tokens(F.col(text)).alias("rt"))
-    postings = right.select(name, F.size("rt").alias("rs"), F.explode("rt").alias("token"))
-    index = broadcast_if_small(postings)
+    docs = cut_lineage(candidates.select(ident, tokens(F.col(text)).alias("lt")), "asked")
+    items = cut_lineage(memory.select(name, tokens(F.col(text)).alias("rt")), "known")
+    spots = items.select(name, F.size("rt").alias("rs"), F.explode("rt").alias("token"))
+    seen = spots.groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
+    place = F.row_number().over(W.partitionBy(name).orderBy("rows", "token"))
+    postings = cut_lineage(spots.join(seen, "token").withColumn("pos", place), "postings")
+    common = postings.filter(F.col("rs") <= seed_tokens).groupBy(name).agg(F.avg("rows").alias("common")).orderBy(F.desc("common"), F.col(name).cast("string")).limit(4 * k)
+    seeds = items.join(common, name).select(name, "rt").collect()
+    kind = items.schema[name].dataType
+
+    def overlap(left: Column, right: Column) -> Column:
+        return F.round(jaccard(left, right), 6)
+
+    listed = F.array(*[F.struct(F.lit(r[name]).cast(kind).alias(name), F.array(*[F.lit(t) for t in r["rt"]]).alias("rt")) for r in seeds])
+    tried = F.transform(listed, lambda s: F.struct(s[name].alias(name), overlap(F.col("lt"), s["rt"]).alias("score"))) if seeds else F.array().cast(f"array<struct<{name}:{kind.simpleString()},score:double>>")
+    asked = docs.withColumn("tried", tried).withColumn("bar", F.coalesce(F.get(F.sort_array(F.transform("tried", lambda s: s["score"]), asc=False), F.lit(k - 1)), F.lit(0.0)))
+    asked = cut_lineage(asked, "tried")
+    first = asked.select(ident, F.inline("tried"))
+
+    # scores are rounded to six places, so a pair counts as reaching the bar from half a unit below it
+    low = F.greatest(F.col("bar") - 1e-6, F.lit(0.0))
+    share = low / (1 + low)
+    must = F.greatest(F.lit(1), F.ceil(share * (F.col("ls") + F.col("rs")) - 1e-6))
     hits = (
-        # the outer form: a plain explode would make Spark compute the tokens a second time to test for none
-        left.select(ident, F.size("lt").alias("ls"), F.explode_outer("lt").alias("token"))
-        .join(index, "token")
-        .groupBy(ident, name, "ls", "rs")
-        .agg(F.count(F.lit(1)).alias("shared"))
+        # the outer form: a plain explode would make Spark read the list a second time to test for none
+        asked.select(ident, "bar", F.size("lt").alias("ls"), F.explode_outer("lt").alias("token"))
+        .join(postings, "token")
+        .filter(F.col("pos") <= F.col("rs") - must + 1)
+        .groupBy(ident, name, "bar", "ls", "rs")
+        .agg(F.count(F.lit(1)).alias("met"))
     )
-    union = F.col("ls") + F.col("rs") - F.col("shared")
-    scored = hits.select(ident, name, F.round(F.col("shared") / union, 6).alias("score"))
-    padded = _pad_zero(candidates.select(ident), scored, memory, ident, name, k)
+    at_best = F.least(F.col("met") + must - 1, "ls", "rs")
+    pairs = hits.filter(at_best / (F.col("ls") + F.col("rs") - at_best) >= low - 1e-6).select(ident, name)
+    pairs = pairs.filter(~F.col(name).isin([r[name] for r in seeds])) if seeds else pairs
+    more = pairs.join(docs, ident).join(items, name).select(ident, name, overlap(F.col("lt"), F.col("rt")).alias("score"))
+    scored = first.unionByName(more).filter("score > 0")
+    padded = _pad_zero(docs.select(ident), scored, memory, ident, name, k)
     return _top_k(padded, ident, name, k).select(ident, "rank", name, "score")
 
 

@@ -15,6 +15,7 @@ from evalloom.registry import query
 from evalloom.sources import images as I
 from evalloom.streaming import archive as SA
 from evalloom.streaming import ledger as SL
+from evalloom.streaming import ordered as SO
 
 
 class _Streamed:
@@ -79,7 +80,9 @@ def stream_circuit_breaker(spark, d):
 def stream_archive(spark, d):
     from evalloom.plans.q_archive import fold_input
 
-    return SA.fold_arrivals(fold_input(_Streamed(spark), d), POLICY)
+    arriving = fold_input(_Streamed(spark), d)
+    closing = SO.Closing(spark, arriving, "episode")
+    return SL.drain(SA.stream_archive(closing.after(arriving), POLICY, lateness=10_000), "append", name="archive", closing=closing).drop("batch")
 
 
 def rasters(spark, d):

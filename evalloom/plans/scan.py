@@ -26,14 +26,18 @@ def _as_col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def _rejoin(rows: DataFrame, carries: DataFrame, keys: list[str]) -> DataFrame:
-    """Each row with the carry of its key and bucket; a null key is a key of its own."""
-    on = [*keys, _BUCKET]
-    side = carries.select(*[F.col(k).alias(f"__on_{i}") for i, k in enumerate(on)], *[c for c in carries.columns if c not in on])
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` that ``left`` keeps; a null key is a key of its own."""
+    side = right.select(*[F.col(k).alias(f"__on_{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
     same = F.lit(True)
-    for i, k in enumerate(on):
-        same = same & rows[k].eqNullSafe(side[f"__on_{i}"])
-    return rows.join(side, same).drop(*[f"__on_{i}" for i in range(len(on))])
+    for i, k in enumerate(keys):
+        same = same & left[k].eqNullSafe(side[f"__on_{i}"])
+    return left.join(side, same, how).drop(*[f"__on_{i}" for i in range(len(keys))])
+
+
+def _rejoin(rows: DataFrame, carries: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with the carry of its key and bucket."""
+    return matched(rows, carries, [*keys, _BUCKET])
 
 
 def running(
@@ -175,7 +179,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, flo
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
     upto = running(counts, keys, [value], bucket, {"__upto": ("sum", "__n")})
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    placed = upto.join(totals, keys)
+    placed = matched(upto, totals, keys)
     first, last = F.col("__upto") - F.col("__n"), F.col("__upto") - 1
     picks = []
     for name, p in probs.items():
@@ -217,7 +221,8 @@ def moving_mean(
     )
     spread = numbered.withColumn("__home", F.explode(homes)).select(*numbered.columns, "__home.b", "__home.own")
     near = W.partitionBy(*keys, "b").orderBy("idx").rowsBetween(-half, half)
-    summed = spread.withColumn("__sum", F.sum(value).over(near)).filter("own").join(ends, keys)
+    summed = spread.withColumn("__sum", F.sum(value).over(near)).filter("own")
+    summed = matched(summed, ends, keys)
     before = F.greatest(F.lit(0), half - F.col("idx"))
     after = F.greatest(F.lit(0), F.col("idx") + half - (F.col("__count") - 1))
     mean = (F.col("__sum") + before * F.col("__first") + after * F.col("__last")) / (2 * half + 1)

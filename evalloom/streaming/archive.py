@@ -2,52 +2,32 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evalloom.operators.archive import ArchivePolicy, archive_fold, attested_step
 from evalloom.streaming.ledger import drain
+from evalloom.streaming.ordered import fold_in_order
 
 _OUT = "campaign_id bigint, episode bigint, candidate_id bigint, cell string, reason string, admitted boolean, replaced bigint"
-_COLUMNS = [c.split()[0] for c in _OUT.split(", ")]
 
 
-def stream_archive(candidates: DataFrame, policy: ArchivePolicy, *, step=attested_step) -> DataFrame:
-    """Decisions per candidate as they arrive.
+def stream_archive(candidates: DataFrame, policy: ArchivePolicy, *, lateness: int, step=attested_step) -> DataFrame:
+    """Decisions per candidate, in episode order, once the newest episode is ``lateness`` ahead.
 
-    Rows carry ``reason`` from the admission rules.  A micro-batch is folded in
-    episode order; an episode older than one already folded is rejected, since the
-    archive cannot go back.  State is the elites the policy allows.
+    Rows carry ``reason`` from the admission rules.  State is the elites the policy
+    allows and the candidates that still wait.
     """
+    more = [c for c in candidates.columns if c not in ("campaign_id", "episode", "candidate_id")]
+
+    def decide(packed: list, place: int, row: dict) -> list[tuple]:
+        elites = [{**e, "vector": np.asarray(e["vector"], dtype=float)} for e in packed]
+        decision = (row["reason"], False, None) if row["reason"] is not None else step(policy, elites, row)
+        if decision[1]:
+            packed[:] = [{**e, "vector": e["vector"].tolist()} for e in elites]
+        return [(place, row["candidate_id"], row["cell"], *decision)]
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, packed = state.get if state.exists else (-1, "[]")
-        elites = [{**e, "vector": np.asarray(e["vector"], dtype=float)} for e in json.loads(packed)]
-        rows = pd.concat(list(batches)).sort_values(["episode", "candidate_id"])
-        newest = last
-        out = []
-        for row in rows.to_dict("records"):
-            if row["episode"] <= last:
-                decision = ("out_of_order", False, None)
-            elif row["reason"] is not None:
-                decision = (row["reason"], False, None)
-            else:
-                decision = step(policy, elites, row)
-            newest = max(newest, int(row["episode"]))
-            out.append((key[0], row["episode"], row["candidate_id"], row["cell"], *decision))
-        state.update((newest, json.dumps([{**e, "vector": e["vector"].tolist()} for e in elites])))
-        frame = pd.DataFrame(out, columns=_COLUMNS)
-        frame["replaced"] = frame["replaced"].astype("Int64")
-        yield frame
-
-    return candidates.groupBy("campaign_id").applyInPandasWithState(
-        fold, _OUT, "last bigint, elites string", "append", GroupStateTimeout.NoTimeout
-    )
+    return fold_in_order(candidates, "campaign_id", "episode", ["candidate_id"], more, _OUT, lateness=lateness, begin=list, step=decide)
 
 
 def fold_arrivals(candidates: DataFrame, policy: ArchivePolicy, *, step=attested_step, name: str = "archive", **blocks) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evalloom.operators import archive as A
 from evalloom.streaming import archive as SA
 from evalloom.streaming import ledger as SL
+from evalloom.streaming import ordered as SO
 
 CELLS = ("a", "b", "c")
 POLICY = A.ArchivePolicy(cells=CELLS, max_elites=2, global_floor=0.05, local_floor=0.06, vector_size=4)
@@ -54,20 +55,21 @@ def test_stream_equals_batch(spark, tmp_path):
     for part in range(4):
         frame.filter(F.expr(f"episode div 12 = {part}")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = SL.file_stream(spark, str(tmp_path / "in"), frame, files_per_batch=1)
-    decided = SL.drain(SA.stream_archive(stream, POLICY), "append", name="t")
+    closing = SO.Closing(spark, frame, "episode")
+    decided = SL.drain(SA.stream_archive(closing.after(stream), POLICY, lateness=48), "append", name="t", closing=closing)
     want, _ = one_by_one(data)
     assert {r.candidate_id: (r.reason, r.admitted, r.replaced) for r in decided.collect()} == want
 
 
-def test_late_episode_is_rejected(spark, tmp_path):
-    first = [(0, 5, 5, "a", 0.1, [0.0] * 4, None)]
-    late = [(0, 2, 2, "a", 0.1, [1.0] * 4, None)]
-    spark.createDataFrame(first, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
-    frame = spark.createDataFrame(late, SCHEMA)
-    frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = SL.file_stream(spark, str(tmp_path / "in"), frame, files_per_batch=1)
-    got = {r.candidate_id: r.reason for r in SL.drain(SA.stream_archive(stream, POLICY), "append", name="t").collect()}
-    assert got == {5: "open_elite_slot", 2: "out_of_order"}
+def test_late_episode_is_left_out_and_counted(spark, tmp_path):
+    frames = [spark.createDataFrame([(0, e, e, "a", 0.1, [x] * 4, None)], SCHEMA) for e, x in ((500, 0.0), (600, 0.9), (2, 1.0))]
+    for frame in frames:
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = SL.file_stream(spark, str(tmp_path / "in"), frames[0], files_per_batch=1)
+    closing, progress = SO.Closing(spark, frames[0], "episode"), []
+    decided = SL.drain(SA.stream_archive(closing.after(stream), POLICY, lateness=100), "append", name="t", closing=closing, progress=progress)
+    assert {r.candidate_id: r.reason for r in decided.collect()} == {500: "open_elite_slot", 600: "open_elite_slot"}
+    assert SO.late_rows(progress) == 1
 
 
 def test_swap_needs_a_real_gain_and_takes_the_larger_id_on_a_tie():

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from evalloom.streaming import archive as SA
 from evalloom.streaming import ledger as SL
+from evalloom.streaming import ordered as SO
 from tests.test_archive import POLICY, SCHEMA, one_by_one, rows
 
 
@@ -20,8 +21,14 @@ def reversed_files(spark, path, data, schema, n):
 def test_archive_does_not_depend_on_files(spark, tmp_path, n):
     data = [(c, e // 2, i, *rest) for c, e, i, *rest in rows(seed=8)]
     want, _ = one_by_one(data)
-    decided = SA.fold_arrivals(reversed_files(spark, str(tmp_path / "in"), data, SCHEMA, n), POLICY)
+    stream = reversed_files(spark, str(tmp_path / "in"), data, SCHEMA, n)
+    closing, progress = SO.Closing(spark, stream, "episode"), []
+    decided = SL.drain(SA.stream_archive(closing.after(stream), POLICY, lateness=1000), "append", name="t", closing=closing, progress=progress)
     assert {r.candidate_id: (r.reason, r.admitted, r.replaced) for r in decided.collect()} == want
+    assert SO.late_rows(progress) == 0
+    if n == 3:
+        decided = SA.fold_arrivals(stream, POLICY)
+        assert {r.candidate_id: (r.reason, r.admitted, r.replaced) for r in decided.collect()} == want
 
 
 @pytest.mark.parametrize("n", [1, 3, 50])
@@ -35,6 +42,22 @@ def test_breaker_does_not_depend_on_files(spark, tmp_path, n):
         if key not in want and (streak >= 5 or used >= 150):
             want[key] = (seq, "streak" if streak >= 5 else "cost")
     stream = reversed_files(spark, str(tmp_path / "in"), data, "key bigint, seq bigint, miss boolean, cost double", n)
-    got = SL.break_arrivals(stream, "key", seq="seq", bucket=F.expr("seq div 64"), miss="miss", cost="cost", max_streak=5, max_cost=150.0)
+    closing = SO.Closing(spark, stream, "seq")
+    found = SL.circuit_breaker(closing.after(stream), "key", seq="seq", miss="miss", cost="cost", max_streak=5, max_cost=150.0, lateness=1000)
+    got = SL.drain(found, "append", name="t", closing=closing)
     assert {r.key: (r.stopped_at, r.cause) for r in got.collect()} == want
+    if n == 3:
+        got = SL.break_arrivals(stream, "key", seq="seq", bucket=F.expr("seq div 64"), miss="miss", cost="cost", max_streak=5, max_cost=150.0)
+        assert {r.key: (r.stopped_at, r.cause) for r in got.collect()} == want
     assert {c for _, c in want.values()} == {"streak", "cost"}
+
+
+def test_decisions_come_while_the_stream_runs(spark, tmp_path):
+    """Rows in order, a few places late at most: all but the last ones are decided before the stream is closed."""
+    data = [(0, i, i % 5 != 0, 1.0) for i in range(60)] + [(1, i, False, 0.0) for i in range(60)]
+    for part in range(6):
+        spark.createDataFrame([r for r in data if r[1] // 10 == part], "key bigint, seq bigint, miss boolean, cost double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = SL.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame(data[:1], "key bigint, seq bigint, miss boolean, cost double"), files_per_batch=1)
+    found = SL.circuit_breaker(stream, "key", seq="seq", miss="miss", cost="cost", max_streak=4, max_cost=1e9, lateness=5)
+    got = SL.drain(found, "append", name="t").collect()
+    assert [(r.key, r.stopped_at, r.cause) for r in got] == [(0, 4, "streak")] and got[0].batch < 5

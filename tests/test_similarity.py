@@ -64,11 +64,11 @@ def test_blocking_keys_lose_nothing():
                     assert any(set(k) <= set(agreeing) for k in keys)
 
 
-@pytest.mark.parametrize("limit", [5000, 1])
-def test_neighbors_both_ways(spark, limit):
-    data, memory = rows(25, 2), rows(20, 3)
+@pytest.mark.parametrize("size", [2, 20, 150])
+def test_neighbors_of_any_memory(spark, size):
+    data, memory = rows(25, 2), rows(size, 3)
     mem = spark.createDataFrame(memory, SCHEMA).withColumnRenamed("id", "memory_id")
-    got = S.semantic_neighbors(spark.createDataFrame(data, SCHEMA), mem, 4, max_memory=limit)
+    got = S.semantic_neighbors(spark.createDataFrame(data, SCHEMA), mem, 4)
     found = {(r.id, r["rank"]): (r.memory_id, r.score) for r in got.collect()}
     for a in data:
         best = sorted(((-score(a, b), str(b[0]), b[0]) for b in memory))[:4]
@@ -94,3 +94,35 @@ def test_protected_sources_need_every_group(spark, limit):
     )
     got = S.protected_source_match(docs, sources, ident="doc", name="src", max_first_words=limit).collect()
     assert {(r.doc, r.src) for r in got} == {(1, 7)}
+
+
+def test_negative_neighbors_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = np.array([f"w{i}" for i in range(400)])
+    weights = 1 / np.arange(1, 401) ** 1.1
+    draw = lambda n: " ".join(rng.choice(vocabulary, n, p=weights / weights.sum()))
+    docs = [(i, draw(int(rng.integers(0, 60)))) for i in range(40)]
+    known = [(i, draw(int(rng.integers(0, 14)))) for i in range(90)] + [(200, docs[3][1]), (201, docs[3][1]), (202, docs[4][1] + " w7")]
+    frames = spark.createDataFrame(docs, "doc bigint, text string"), spark.createDataFrame(known, "mem bigint, text string")
+    for k, seed in ((3, 512), (1, 512), (4, 0)):
+        got = {(r.doc, r["rank"]): (r.mem, r.score) for r in S.negative_neighbors(*frames, k, ident="doc", name="mem", seed_tokens=seed).collect()}
+        for d, t in docs:
+            best = sorted((-round(jac(set(t.split()), set(m.split())), 6), str(i), i) for i, m in known)[:k]
+            assert [got[(d, n)] for n in range(1, k + 1)] == [(i, -s) for s, _, i in best]
+
+
+def test_edges_compare_few_pairs(spark):
+    """Many profiles with the same fields but unlike sets: candidates grow with the rows, not with their square."""
+    counts = []
+    for n in (200, 400):
+        data = [(i, "f", "a", "r", "m", i % 4, [f"e{i}", f"e{i + 1}"], [f"p{i}"], f"word{i} word{i + 1} word{i + 2}") for i in range(n)]
+        data = [(i, "f", f"a{i}", "r", "m", i % 4, *row[6:]) for i, row in enumerate(data)]
+        full = S.profiles(S.with_tokens(spark.createDataFrame(data, SCHEMA)))
+        counts.append(S.edge_candidates(full, 0.68).select("l_rep", "r_rep").distinct().count())
+    assert counts[1] < 2.5 * counts[0] + 10
+
+
+def test_neighbors_need_no_nested_loop(spark, capsys):
+    mem = spark.createDataFrame(rows(20, 3), SCHEMA).withColumnRenamed("id", "memory_id")
+    S.semantic_neighbors(spark.createDataFrame(rows(10, 2), SCHEMA), mem, 3).explain()
+    assert "NestedLoop" not in (plan := capsys.readouterr().out) and "Cartesian" not in plan

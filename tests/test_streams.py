@@ -37,3 +37,27 @@ def test_unique_events_and_open_attempts(spark, tmp_path):
     started = ledger.filter("status = 'attempt_started'").select("attempt_id").distinct()
     closed = ledger.filter("status IN ('scored', 'unparseable')").select("attempt_id")
     assert rows(still) == rows(started.join(closed, "attempt_id", "left_anti"))
+
+
+def test_attempts_as_keyed_state(spark, tmp_path):
+    kind = "attempt_id bigint, status string, seq bigint"
+    data = [(i % 9, ("attempt_started", "api_error", "scored")[(i * 7) % 5 % 3], i) for i in range(45)]
+    for part in range(3):
+        spark.createDataFrame([r for r in data if r[2] % 3 == part], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = SL.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], kind), files_per_batch=1)
+    kept = SL.latest(SL.drain(SL.kept_attempts(stream, "attempt_id", keep=100, lateness=100), "update", name="t"), ["attempt_id"])
+    want = {k: (any(s == "attempt_started" for j, s, _ in data if j == k) and not any(s == "scored" for j, s, _ in data if j == k), max(q for j, _, q in data if j == k)) for k in range(9)}
+    assert {r.attempt_id: (r.open, r.last_seq) for r in kept.collect()} == want
+
+
+def test_closed_attempts_are_forgotten(spark, tmp_path):
+    kind = "attempt_id bigint, status string, seq bigint"
+    parts = [[(1, "attempt_started", 1), (1, "scored", 2), (2, "attempt_started", 3)], [(3, "api_error", 500)], [(3, "api_error", 501)], [(1, "attempt_started", 502), (2, "api_error", 503)]]
+    for rows_ in parts:
+        spark.createDataFrame(rows_, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = SL.file_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], kind), files_per_batch=1)
+    last = {}
+    for keep in (10, 10_000):
+        got = SL.latest(SL.drain(SL.kept_attempts(stream, "attempt_id", keep=keep, lateness=10), "update", name="t"), ["attempt_id"])
+        last[keep] = {r.attempt_id: r.open for r in got.collect()}
+    assert last == {10: {1: True, 2: True, 3: False}, 10_000: {1: False, 2: True, 3: False}}
