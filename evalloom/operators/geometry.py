@@ -20,10 +20,10 @@ from evalloom.session import cut_lineage
 # ---------------------------------------------------------------------------
 
 
-def component_labels(mask: np.ndarray) -> np.ndarray:
-    """Smallest 4-connected cell index per cell for a stack of grids, -1 off the mask.
+def component_labels(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
+    """Smallest connected cell index per cell for a stack of grids, -1 off the mask.
 
-    All grids of a batch relax together until no label moves.
+    Cells connect over their sides, with ``diagonal`` over corners too.  All grids of a batch relax together until no label moves.
     """
     n, h, w = mask.shape
     far = h * w
@@ -34,6 +34,11 @@ def component_labels(mask: np.ndarray) -> np.ndarray:
         low[:, :-1] = np.minimum(low[:, :-1], label[:, 1:])
         low[:, :, 1:] = np.minimum(low[:, :, 1:], label[:, :, :-1])
         low[:, :, :-1] = np.minimum(low[:, :, :-1], label[:, :, 1:])
+        if diagonal:
+            low[:, 1:, 1:] = np.minimum(low[:, 1:, 1:], label[:, :-1, :-1])
+            low[:, 1:, :-1] = np.minimum(low[:, 1:, :-1], label[:, :-1, 1:])
+            low[:, :-1, 1:] = np.minimum(low[:, :-1, 1:], label[:, 1:, :-1])
+            low[:, :-1, :-1] = np.minimum(low[:, :-1, :-1], label[:, 1:, 1:])
         low = np.where(mask, low, far)
         if np.array_equal(low, label):
             return np.where(mask, label, -1)
@@ -268,14 +273,14 @@ def descriptor_occupancy(rows: DataFrame) -> DataFrame:
     )
 
 
-def component_table(grids: DataFrame, ident: str, mask: str, *, minimum: int = 1) -> DataFrame:
-    """One row per 4-connected component: size, box and centroid."""
+def component_table(grids: DataFrame, ident: str, mask: str, *, minimum: int = 1, diagonal: bool = False) -> DataFrame:
+    """One row per component, 4-connected or with ``diagonal`` 8-connected: size, box and centroid."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if batch.empty:
                 continue
-            labels = component_labels(_stack(batch[mask]) > 0)
+            labels = component_labels(_stack(batch[mask]) > 0, diagonal)
             at, ys, xs = np.nonzero(labels >= 0)
             cells = pd.DataFrame({ident: batch[ident].to_numpy()[at], "component": labels[at, ys, xs], "y": ys, "x": xs})
             yield cells.groupby([ident, "component"], as_index=False).agg(

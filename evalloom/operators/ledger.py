@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.plans.scan import running, streak_lengths
+from evalloom.plans.scan import matched, running, streak_lengths
 from evalloom.session import literal_table
 
 TERMINAL = ("scored", "unparseable", "refused")
@@ -34,20 +34,27 @@ def reasoning_tokens(flat: str | Column, nested: str | Column) -> Column:
     return F.coalesce(flat, nested)
 
 
-def event_summary(events: DataFrame, group: list[str], key: str = "sample_key", seq: str = "seq") -> DataFrame:
+def event_summary(
+    events: DataFrame, group: list[str], key: str = "sample_key", seq: str = "seq", *, usage: tuple[str, ...] = ("completion_tokens",), nested: str | Column | None = None
+) -> DataFrame:
     """Attempted samples, latest status counts, accuracy over latest scored, usage over all events.
 
+    ``usage`` names the token counts to add up; an event with any of them is a usage
+    record.  ``nested`` is the reasoning count under the completion details, taken where
+    an event has no flat one.
+
     One shuffle per level: samples first, then groups, both with partial
     aggregation, so a hot sample or group stays cheap.
     """
     scored = F.col("status") == "scored"
+    reasoning = F.col("reasoning_tokens") if nested is None else reasoning_tokens("reasoning_tokens", nested)
     samples = events.groupBy(*group, key).agg(
         F.max_by("status", F.when(F.col("status").isNotNull(), F.col(seq))).alias("last"),
         F.max_by("correct", F.when(scored, F.col(seq))).alias("correct"),
         F.bool_or(scored).alias("any_scored"),
-        F.count("completion_tokens").alias("usage_records"),
-        F.sum("completion_tokens").alias("completion_tokens"),
-        F.sum("reasoning_tokens").alias("reasoning_tokens"),
+        F.count(F.coalesce(*[F.col(c) for c in usage])).alias("usage_records"),
+        *[F.sum(c).alias(c) for c in usage],
+        F.sum(reasoning).alias("reasoning_tokens"),
         F.sum("cost").alias("cost"),
     )
     last = F.col("last")
@@ -63,8 +70,7 @@ def event_summary(events: DataFrame, group: list[str], key: str = "sample_key",
             F.count_if(F.col("any_scored") & F.coalesce("correct", F.lit(False))), F.count_if("any_scored")
         ).alias("accuracy"),
         F.sum("usage_records").alias("usage_records"),
-        F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"),
-        F.coalesce(F.sum("reasoning_tokens"), F.lit(0)).alias("reasoning_tokens"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*usage, "reasoning_tokens")],
         F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 6).alias("cost"),
     )
 
@@ -114,24 +120,22 @@ def batch_completeness(events: DataFrame, group: list[str], key: str = "sample_k
 
 
 def run_reconcile(records: DataFrame, state: DataFrame, run: str) -> DataFrame:
-    """Token, cost and turn totals per run against the stored state."""
+    """Token, cost and turn totals per run against the stored state; a run without one is held against zeros."""
+    counted = {"input_tokens": "input_tokens", "cache_read_input_tokens": "cache_read_input_tokens", "output_tokens": "completion_tokens", "reasoning_output_tokens": "reasoning_tokens", "provider_turns": "num_turns"}
     totals = records.groupBy(run).agg(
         F.count(F.lit(1)).alias("episodes"),
-        F.sum(F.coalesce("completion_tokens", F.lit(0))).alias("output_tokens"),
-        F.sum(F.coalesce("reasoning_tokens", F.lit(0))).alias("reasoning_output_tokens"),
-        F.sum(F.coalesce("num_turns", F.lit(0))).alias("provider_turns"),
+        *[F.sum(F.coalesce(column, F.lit(0))).alias(name) for name, column in counted.items()],
         F.round(F.sum(F.coalesce("cost", F.lit(0.0))), 9).alias("cost_usd"),
     )
-    matches = totals.join(state, run).select(
+    stored = lambda c: F.coalesce(c, F.lit(0))
+    matches = matched(totals, state, [run], "left").select(
         run,
         "episodes",
-        "output_tokens",
-        "reasoning_output_tokens",
-        "provider_turns",
+        *counted,
         F.round("cost_usd", 6).alias("cost_usd"),
-        (F.col("episodes") == F.col("state_episodes")).alias("episodes_match"),
-        (F.col("provider_turns") == F.col("state_turns")).alias("turns_match"),
-        (F.abs(F.col("state_cost") - F.col("cost_usd")) < 1e-8).alias("cost_match"),
+        (F.col("episodes") == stored("state_episodes")).alias("episodes_match"),
+        (F.col("provider_turns") == stored("state_turns")).alias("turns_match"),
+        (F.abs(stored("state_cost") - F.col("cost_usd")) < 1e-8).alias("cost_match"),
     )
     return matches.withColumn("passed", F.col("episodes_match") & F.col("turns_match") & F.col("cost_match"))
 

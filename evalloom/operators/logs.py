@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalloom.plans.scan import neighbour, running, segments
+from evalloom.plans.scan import neighbour, ranked, running, segments
 from evalloom.session import literal_table
 
 
@@ -157,3 +157,12 @@ def run_segments(rows: DataFrame, keys: list[str], order: list[str], flag: Colum
         )
         .filter(F.col("width") >= minimum)
     )
+
+
+def run_gaps(rows: DataFrame, keys: list[str], order: list[str], flag: Column, bucket: Column, minimum: int, *, span: int = 100_000) -> DataFrame:
+    """Maximal runs of true rows with their rows' places: ``start``, ``stop`` (behind the last row), ``width`` and ``gap``, the rows since the kept run before."""
+    placed = ranked(rows, keys, order, bucket, "__at")
+    runs = run_segments(placed, keys, ["__at"], flag, F.floor(F.col("__at") / span), minimum)
+    spans = runs.select(*keys, F.col("first.__at").alias("start"), (F.col("last.__at") + 1).alias("stop"), "width")
+    before = neighbour(spans, keys, ["start"], F.floor(F.col("start") / span), ["stop"])
+    return before.select(*keys, "start", "stop", "width", (F.col("start") - F.col("prev_stop")).alias("gap"))

@@ -187,6 +187,20 @@ def component_table(spark, d):
     return G.component_table(grid, "scene", "mask", minimum=2)
 
 
+_COMP_8 = _COMP.replace("abs(g.y - w.y) + abs(g.x - w.x) = 1", "greatest(abs(g.y - w.y), abs(g.x - w.x)) = 1")
+
+
+@query(
+    "component_table_diagonal",
+    views=("v_grid",),
+    sql=f"""WITH {_COMP_8} SELECT scene, component, count(*) AS size, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1,
+        avg(y) AS cy, avg(x) AS cx FROM lab GROUP BY ALL HAVING count(*) >= 2""",
+)
+def component_table_diagonal(spark, d):
+    grid = v.v_grid(spark, d).withColumn("mask", G.support(F.col("impact"), F.col("error")))
+    return G.component_table(grid, "scene", "mask", minimum=2, diagonal=True)
+
+
 @query(
     "component_labels_joined",
     views=("v_grid",),

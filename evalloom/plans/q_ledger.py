@@ -32,8 +32,9 @@ def latest_status(spark, d):
     WITH s AS (SELECT evaluator, sample_key, arg_max(status, seq) AS last,
         coalesce(arg_max(correct, seq) FILTER (status = 'scored'), false) AS c,
         bool_or(status = 'scored') AS sc, count(completion_tokens) AS ur, sum(completion_tokens) AS ct,
-        sum(reasoning_tokens) AS rt, sum(cost) AS cost FROM v_ledger GROUP BY ALL)
-    SELECT evaluator, count(*) AS attempted_samples,
+        sum(completion_tokens + seq % 7) AS pt, sum(2 * completion_tokens + seq % 7) AS tt,
+        sum(coalesce(reasoning_tokens, CASE WHEN completion_tokens % 2 = 0 THEN completion_tokens // 3 END)) AS rt, sum(cost) AS cost FROM v_ledger GROUP BY ALL)
+    SELECT evaluator, CAST(sum(pt) AS BIGINT) AS prompt_tokens, CAST(sum(tt) AS BIGINT) AS total_tokens, count(*) AS attempted_samples,
         count(*) FILTER (last = 'scored') AS latest_scored,
         count(*) FILTER (last = 'unparseable') AS latest_unparseable,
         count(*) FILTER (last = 'api_error') AS latest_api_error,
@@ -45,7 +46,9 @@ def latest_status(spark, d):
     FROM s GROUP BY evaluator""",
 )
 def event_summary(spark, d):
-    return L.event_summary(v.v_ledger(spark, d), ["evaluator"])
+    events = v.v_ledger(spark, d).withColumn("prompt_tokens", F.expr("completion_tokens + seq % 7")).withColumn("total_tokens", F.expr("prompt_tokens + completion_tokens"))
+    nested = F.when(F.col("completion_tokens") % 2 == 0, F.expr("completion_tokens div 3"))
+    return L.event_summary(events, ["evaluator"], usage=("prompt_tokens", "completion_tokens", "total_tokens"), nested=nested)
 
 
 @query(
@@ -133,21 +136,24 @@ def batch_completeness(spark, d):
 @query(
     "run_reconcile",
     views=("v_ledger",),
-    sql="""SELECT plan_no, count(*) AS episodes, CAST(sum(coalesce(completion_tokens, 0)) AS BIGINT) AS output_tokens,
+    sql="""SELECT plan_no, CAST(sum(coalesce(completion_tokens, 0) + event_id % 7) AS BIGINT) AS input_tokens,
+        CAST(sum(CASE WHEN event_id % 4 = 0 THEN 0 ELSE event_id % 11 END) AS BIGINT) AS cache_read_input_tokens,
+        count(*) AS episodes, CAST(sum(coalesce(completion_tokens, 0)) AS BIGINT) AS output_tokens,
         CAST(sum(coalesce(reasoning_tokens, 0)) AS BIGINT) AS reasoning_output_tokens,
         CAST(sum(episode % 3) AS BIGINT) AS provider_turns, round(sum(cost), 6) AS cost_usd,
-        true AS episodes_match, plan_no <> 3 AS turns_match, plan_no <> 4 AS cost_match,
-        plan_no NOT IN (3, 4) AS passed FROM v_ledger GROUP BY plan_no""",
+        plan_no <> 2 AS episodes_match, plan_no NOT IN (2, 3) AS turns_match, plan_no NOT IN (2, 4) AS cost_match,
+        plan_no NOT IN (2, 3, 4) AS passed FROM v_ledger GROUP BY plan_no""",
 )
 def run_reconcile(spark, d):
-    records = v.v_ledger(spark, d).withColumn("num_turns", F.col("episode") % 3)
-    # the stored state, with a drift in two runs that the check must find
+    records = v.v_ledger(spark, d).withColumn("num_turns", F.col("episode") % 3).withColumn("input_tokens", F.expr("coalesce(completion_tokens, 0) + event_id % 7"))
+    records = records.withColumn("cache_read_input_tokens", F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 11))
+    # the stored state, with a drift in two runs that the check must find, and without one run
     state = records.groupBy("plan_no").agg(
         F.count(F.lit(1)).alias("state_episodes"),
         (F.sum("num_turns") + F.when(F.col("plan_no") == 3, 1).otherwise(0)).alias("state_turns"),
         (F.round(F.sum("cost"), 9) + F.when(F.col("plan_no") == 4, 0.01).otherwise(0.0)).alias("state_cost"),
     )
-    return L.run_reconcile(records, state, "plan_no")
+    return L.run_reconcile(records, state.filter("plan_no <> 2"), "plan_no")
 
 
 def _dispositions(spark, d):

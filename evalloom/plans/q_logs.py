@@ -224,3 +224,16 @@ def run_segments(spark, d):
     events = v.v_events(spark, d).select("user_id", "event_id", "value")
     runs = G.run_segments(events, ["user_id"], ["event_id"], F.col("value") > 40, F.expr("event_id div 1000000"), 3)
     return runs.select("user_id", F.col("first.event_id").alias("first_id"), F.col("last.event_id").alias("last_id"), "width")
+
+
+@query(
+    "run_gaps",
+    views=("v_events",),
+    sql="""WITH f AS (SELECT user_id, value > 40 AS on_, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM v_events),
+    g AS (SELECT *, pos - row_number() OVER (PARTITION BY user_id, on_ ORDER BY pos) AS grp FROM f),
+    r AS (SELECT user_id, min(pos) AS start, max(pos) + 1 AS stop, count(*) AS width FROM g WHERE on_ GROUP BY user_id, grp HAVING count(*) >= 3)
+    SELECT *, start - lag(stop) OVER (PARTITION BY user_id ORDER BY start) AS gap FROM r""",
+)
+def run_gaps(spark, d):
+    events = v.v_events(spark, d).select("user_id", "event_id", "value")
+    return G.run_gaps(events, ["user_id"], ["event_id"], F.col("value") > 40, F.expr("event_id div 1000000"), 3)

@@ -27,3 +27,13 @@ def test_cycles_and_residuals_keep_the_null_key(spark):
     assert set(got) == {1, None} and got[1] == got[None] and got[1][0] == 5
     residual = SE.profile_residual(rows.withColumn("w", F.col("v") + 3), ["k"], "v", "w", 0.1).collect()
     assert sorted((r.k is None, r.positions, r.residual) for r in residual) == [(False, 200, 0.0), (True, 200, 0.0)]
+
+
+def test_run_gaps_count_the_rows_between(spark):
+    from evalloom.operators import logs as LG
+
+    flags = [1, 1, 0, 1, 1, 1, 0, 0, 1, 0, 1, 1]
+    rows = spark.createDataFrame([(k, i, f) for k in (5, None) for i, f in enumerate(flags)], "k bigint, at bigint, f int")
+    got = LG.run_gaps(rows, ["k"], ["at"], F.col("f") == 1, F.expr("at div 4"), 2, span=3).collect()
+    for key in (5, None):
+        assert sorted((r.start, r.stop, r.width, r.gap) for r in got if r.k == key) == [(0, 2, 2, None), (3, 6, 3, 1), (10, 12, 2, 4)]
