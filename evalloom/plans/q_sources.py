@@ -96,10 +96,23 @@ def discover_manifests(spark, d):
     "load_examples",
     views=("v_examples",),
     sql="""SELECT doc_id, 'quarantined' AS rule, 'true' AS detail FROM v_examples WHERE quarantined
-        UNION ALL SELECT doc_id, 'answer_outside_candidates', NULL FROM v_examples WHERE answer IS NULL""",
+        UNION ALL SELECT doc_id, 'answer_outside_candidates', NULL FROM v_examples WHERE answer IS NULL
+        UNION ALL SELECT doc_id, 'missing_keys', CASE WHEN answer IS NOT NULL THEN 'question' WHEN doc_id % 13 = 0 THEN 'answer,question' ELSE 'answer' END
+            FROM v_examples WHERE answer IS NULL OR doc_id % 13 = 0
+        UNION ALL SELECT doc_id, 'unsupported_version', 'candidate-vlm-manifest-0.0.9' FROM v_examples WHERE doc_id % 17 = 0
+        UNION ALL SELECT doc_id, 'blank_text', 'prompt_family' FROM v_examples WHERE doc_id % 19 = 0""",
 )
 def load_examples(spark, d):
-    return M.load_violations(v.v_examples(spark, d), ["doc_id"])
+    rows = v.v_examples(spark, d)
+    ident = F.col("doc_id").cast("string")
+    written = {
+        "schema_version": F.when(F.col("doc_id") % 17 == 0, "candidate-vlm-manifest-0.0.9").otherwise(M.MANIFEST_VERSION),
+        "example_id": ident, "source_record_id": F.col("dataset_id"), "campaign_id": F.col("dataset_id"), "candidate_id": ident,
+        "image_path": F.col("image_path"), "question": F.when(F.col("doc_id") % 13 != 0, "Is it good?"), "answer": F.col("answer"),
+        "candidates": F.col("candidates"), "prompt_family": F.when(F.col("doc_id") % 19 == 0, "  ").otherwise("f_good"), "quarantined": F.col("quarantined"),
+    }
+    raw = F.to_json(F.struct(*[c.alias(k) for k, c in written.items()]))
+    return M.load_violations(rows.withColumn("raw", raw), ["doc_id"], raw="raw")
 
 
 @query(
@@ -151,6 +164,20 @@ def read_catalogue(spark, d):
     return M.repeated_records(v.v_reports(spark, d).select(record.alias("record_id")))
 
 
+@query(
+    "check_catalogue",
+    views=("v_reports",),
+    sql="""WITH r AS (SELECT campaign_id || ':' || lang || ':' || size_class AS record_id, count(*) AS copies, count(*) FILTER (candidate_id % 23 = 0) AS others
+        FROM v_reports GROUP BY 1)
+    SELECT record_id, 'repeated_record' AS rule, CAST(copies AS VARCHAR) AS detail FROM r WHERE copies > 1
+    UNION ALL SELECT record_id, 'unsupported_version', CAST(others AS VARCHAR) FROM r WHERE others > 0""",
+)
+def check_catalogue(spark, d):
+    record = F.concat_ws(":", "campaign_id", "lang", F.col("size_class").cast("string"))
+    version = F.when(F.col("candidate_id") % 23 == 0, "0.0.9").otherwise("0.1.0")
+    return M.check_catalogue(v.v_reports(spark, d).select(record.alias("record_id"), version.alias("schema_version")), "0.1.0")
+
+
 @query(
     "read_events",
     views=("v_ledger",),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.operators.checks import closed_choice_rules, relative_path_rules, violations
+from evalloom.operators.checks import closed_choice_rules, relative_path_rules, required_key_rules, violations
 
 MANIFEST_NAME = "vlm_manifest.jsonl"
 
@@ -32,13 +32,32 @@ def discover_manifests(listing: DataFrame, root: str, relative: str, name: str =
     return chosen.unionByName(missing)
 
 
-def load_violations(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rules of a strict manifest load that look at one row."""
+# The version and the keys of a manifest row, and the keys that hold text.
+MANIFEST_VERSION = "candidate-vlm-manifest-0.1.0"
+MANIFEST_KEYS = [
+    "schema_version", "example_id", "source_record_id", "campaign_id", "candidate_id", "image_path", "question", "answer", "candidates",
+    "prompt_family", "quarantined",
+]
+MANIFEST_TEXTS = ["example_id", "source_record_id", "campaign_id", "candidate_id", "question", "prompt_family"]
+# end of fixed values
+
+
+def load_violations(rows: DataFrame, keys: list[str], *, raw: str | None = None) -> DataFrame:
+    """Rules of a strict manifest load that look at one row.
+
+    ``raw`` names the row's JSON text; with it the keys, the version and the texts that
+    must not be blank are checked too.
+    """
     rules = [
         ("quarantined", ~F.col("quarantined").eqNullSafe(False), F.col("quarantined")),
         *closed_choice_rules(F.col("candidates"), F.col("answer")),
         *relative_path_rules(F.col("image_path")),
     ]
+    if raw is not None:
+        value = lambda key: F.get_json_object(raw, f"$.{key}")
+        rules += required_key_rules(F.col(raw), MANIFEST_KEYS)
+        rules.append(("unsupported_version", F.coalesce(value("schema_version") != MANIFEST_VERSION, F.lit(False)), value("schema_version")))
+        rules += [("blank_text", F.coalesce(F.trim(value(key)) == "", F.lit(False)), F.lit(key)) for key in MANIFEST_TEXTS]
     return violations(rows, keys, rules)
 
 
@@ -92,6 +111,13 @@ def repeated_records(catalogue: DataFrame) -> DataFrame:
     )
 
 
+def check_catalogue(catalogue: DataFrame, version: str) -> DataFrame:
+    """Records of another version, and records whose id repeats, one row for each rule and id."""
+    per_id = catalogue.groupBy("record_id").agg(F.count(F.lit(1)).alias("copies"), F.count_if(~F.col("schema_version").eqNullSafe(version)).alias("others"))
+    rules = [("repeated_record", F.col("copies") > 1, F.col("copies")), ("unsupported_version", F.col("others") > 0, F.col("others"))]
+    return violations(per_id, ["record_id"], rules)
+
+
 def cohort_summary(rows: DataFrame, campaign: str) -> DataFrame:
     return rows.groupBy(campaign).agg(
         F.count(F.lit(1)).alias("candidates"),
