@@ -165,6 +165,13 @@ def similarity_edges(rows: DataFrame, threshold: float, ident: str = "id") -> Da
     return between.unionByName(copies.filter(F.col("score") >= threshold))
 
 
+def clones(rows: DataFrame, ident: str = "id") -> DataFrame:
+    """``clone``: whether another row has the same fingerprint and tokens."""
+    named = with_tokens(rows).select(ident, F.sha2(F.to_json(F.struct(*CORE, *SETS)), 256).alias("profile"))
+    held = named.groupBy("profile").agg((F.count(F.lit(1)) > 1).alias("clone"))
+    return named.join(held, "profile").select(ident, "clone")
+
+
 def sibling_risk(rows: DataFrame, edges: DataFrame, ident: str = "id") -> DataFrame:
     """Rows that have a sibling at the threshold, by profile and without expanding pairs."""
     canonical = with_tokens(rows)

@@ -94,13 +94,14 @@ def semantic_neighbors(spark, d):
 @query(
     "duplicate_risk",
     views=("v_fp",),
-    sql=f"""WITH {_TOP_SQL} SELECT id, score AS top_score, CASE WHEN score >= {THRESHOLD} THEN 'high' WHEN score >= 0.53
-        THEN 'medium' ELSE 'low' END AS risk FROM top WHERE rank = 1""",
+    sql=f"""WITH {_TOP_SQL}, cl AS (SELECT id, count(*) OVER (PARTITION BY family, arity, relation, margin_operator, depth, entities, primitives, tokens) > 1 AS clone FROM fp)
+        SELECT id, score AS top_score, CASE WHEN score >= {THRESHOLD} OR clone THEN 'high' WHEN score >= 0.53
+        THEN 'medium' ELSE 'low' END AS risk FROM top JOIN cl USING (id) WHERE rank = 1""",
 )
 def duplicate_risk(spark, d):
-    top = semantic_neighbors(spark, d).filter("rank = 1")
+    top = semantic_neighbors(spark, d).filter("rank = 1").join(S.clones(v.v_fp(spark, d)), "id")
     return top.select(
-        "id", F.col("score").alias("top_score"), C.duplicate_risk(F.col("score"), F.lit(False), THRESHOLD).alias("risk")
+        "id", F.col("score").alias("top_score"), C.duplicate_risk(F.col("score"), F.col("clone"), THRESHOLD).alias("risk")
     )
 
 

@@ -133,24 +133,33 @@ def load_snapshots(spark, d):
     "export_eval_manifest",
     views=("v_manifest",),
     sql="""SELECT 'rec:' || dataset_id || '::' || scene_id || '_' || prompt_family AS example_id, 'rec:' || dataset_id AS source_record_id,
+        'candidate-vlm-manifest-0.1.0' AS schema_version, dataset_id AS campaign_id, scene_id % 50 AS candidate_id, 'Is it good?' AS question,
+        CASE WHEN scene_id % 3 = 0 THEN 'admitted' ELSE 'pending' END AS human_admission,
         image_path, answer, 'yes,no' AS candidates, prompt_family, margin, false AS quarantined, true AS development_only
         FROM v_manifest WHERE NOT quarantined""",
 )
 def export_eval_manifest(spark, d):
-    return M.export_eval_manifest(v.v_manifest(spark, d), F.concat(F.lit("rec:"), "dataset_id"))
+    rows = v.v_manifest(spark, d).withColumns({
+        "campaign_id": F.col("dataset_id"), "candidate_id": F.col("scene_id") % 50, "question": F.lit("Is it good?"),
+        "human_admission": F.when(F.col("scene_id") % 3 == 0, "admitted").otherwise("pending"),
+    })
+    return M.export_eval_manifest(rows, F.concat(F.lit("rec:"), "dataset_id"))
 
 
 @query(
     "build_catalogue",
     views=("v_reports",),
     sql="""SELECT campaign_id || ':' || candidate_id AS record_id, campaign_id, candidate_id, sha, quality, toxic,
+        CASE WHEN candidate_id % 29 <> 0 THEN 'About ' || lang ELSE '' END AS title, CASE WHEN candidate_id % 29 <> 0 THEN 'Is it good?' ELSE '' END AS question,
+        candidate_id % 29 <> 0 AND candidate_id IN (SELECT doc_id FROM labels) AS complete,
         CAST(1 AS BIGINT) AS copies FROM v_reports""",
 )
 def build_catalogue(spark, d):
     candidates = v.v_reports(spark, d).select("candidate_id", "campaign_id", "sha")
     gates = v.table(spark, d, "labels").withColumnRenamed("doc_id", "candidate_id")
-    out = M.build_catalogue(candidates, gates, "campaign_id", "candidate_id")
-    return out.select("record_id", "campaign_id", "candidate_id", "sha", "quality", "toxic", "copies")
+    about = v.v_reports(spark, d).filter("candidate_id % 29 <> 0").select("candidate_id", F.concat(F.lit("About "), "lang").alias("title"), F.lit("Is it good?").alias("question"))
+    out = M.build_catalogue(candidates, gates, "campaign_id", "candidate_id", about)
+    return out.select("record_id", "campaign_id", "candidate_id", "sha", "quality", "toxic", "title", "question", "complete", "copies")
 
 
 @query(

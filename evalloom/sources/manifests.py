@@ -73,17 +73,26 @@ def load_snapshots(rows: DataFrame, manifest: str, dataset: str, key: str) -> Da
 
 
 def export_eval_manifest(rows: DataFrame, record_id: Column) -> DataFrame:
-    """Rows outside quarantine in the evaluation layout."""
-    return rows.filter(~F.col("quarantined")).select(
+    """Rows outside quarantine in the evaluation layout, all of its keys.
+
+    ``rows`` has ``scene_id, prompt_family, campaign_id, candidate_id, image_path, question,
+    answer, candidates, margin, quarantined, human_admission``.
+    """
+    return rows.filter(~F.coalesce("quarantined", F.lit(False))).select(
+        F.lit(MANIFEST_VERSION).alias("schema_version"),
         F.concat(record_id, F.lit("::"), F.col("scene_id").cast("string"), F.lit("_"), F.col("prompt_family")).alias("example_id"),
         record_id.alias("source_record_id"),
+        "campaign_id",
+        "candidate_id",
         "image_path",
+        "question",
         "answer",
         F.array_join("candidates", ",").alias("candidates"),
         "prompt_family",
         "margin",
         F.lit(False).alias("quarantined"),
         F.lit(True).alias("development_only"),
+        "human_admission",
     )
 
 
@@ -97,12 +106,21 @@ def write_eval_manifest(rows: DataFrame, record_id: Column, path: str) -> int:
     return int(seen.get["written"])
 
 
-def build_catalogue(candidates: DataFrame, gates: DataFrame, campaign: str, ident: str) -> DataFrame:
-    """Candidates with their gate row as catalogue records, flagged when a record id repeats."""
+def build_catalogue(candidates: DataFrame, gates: DataFrame, campaign: str, ident: str, metadata: DataFrame | None = None) -> DataFrame:
+    """Candidates with their gate row and metadata as catalogue records, flagged when a record id repeats.
+
+    With ``metadata`` (``ident, title, question``) a record has both texts, empty where
+    unknown, and ``complete`` says whether gate row and metadata are there.
+    """
     record = F.concat_ws(":", F.col(campaign), F.col(ident).cast("string"))
-    joined = candidates.join(gates, ident, "left").withColumn("record_id", record)
+    joined = candidates.join(gates.withColumn("__gate", F.lit(True)), ident, "left").withColumn("record_id", record)
+    if metadata is not None:
+        known = metadata.select(ident, "title", "question", F.lit(True).alias("__known"))
+        joined = joined.join(known, ident, "left").withColumns({
+            "title": F.coalesce("title", F.lit("")), "question": F.coalesce("question", F.lit("")), "complete": F.col("__gate").isNotNull() & F.col("__known").isNotNull(),
+        }).drop("__known")
     copies = joined.groupBy("record_id").agg(F.count(F.lit(1)).alias("copies"))
-    return joined.join(copies, "record_id").orderBy("record_id")
+    return joined.drop("__gate").join(copies, "record_id").orderBy("record_id")
 
 
 def repeated_records(catalogue: DataFrame) -> DataFrame:

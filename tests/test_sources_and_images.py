@@ -78,10 +78,22 @@ def test_cohorts_and_export(spark, tmp_path):
     assert summary == {"c1": (2, 1), "c2": (1, 1)}
     assert sorted(p for p in os.listdir(tmp_path / "out") if p.startswith("campaign")) == ["campaign=c1", "campaign=c2"]
     manifest = spark.createDataFrame(
-        [(1, "f", "i.png", "yes", ["yes", "no"], 1.0, False), (2, "f", "i.png", "no", ["yes", "no"], 1.0, True)],
+        [(1, "f", "i.png", "yes", ["yes", "no"], 1.0, False), (2, "f", "i.png", "no", ["yes", "no"], 1.0, True), (3, "f", "i.png", "no", ["yes", "no"], None, None)],
         "scene_id int, prompt_family string, image_path string, answer string, candidates array<string>, margin double, quarantined boolean",
-    )
-    assert M.write_eval_manifest(manifest, F.lit("rec"), str(tmp_path / "eval")) == 1
+    ).withColumns({"campaign_id": F.lit("c"), "candidate_id": F.lit("k"), "question": F.lit("q"), "human_admission": F.lit("pending")})
+    assert M.write_eval_manifest(manifest, F.lit("rec"), str(tmp_path / "eval")) == 2
+    written = spark.read.json(str(tmp_path / "eval"))
+    assert len(written.columns) == 14 and {r.example_id for r in written.collect()} == {"rec::1_f", "rec::3_f"}
+
+
+def test_strict_load_names_every_fault(spark):
+    import json
+
+    good = dict.fromkeys(M.MANIFEST_KEYS, "x") | {"schema_version": M.MANIFEST_VERSION, "candidates": ["a", "b"], "answer": "a", "quarantined": False}
+    raws = [good, good | {"schema_version": "old"}, {k: x for k, x in good.items() if k not in ("question", "answer")}, good | {"campaign_id": " "}, None]
+    rows = spark.createDataFrame([(i, r and json.dumps(r), False, ["a", "b"], "a", "i/x.png") for i, r in enumerate(raws)], "id int, raw string, quarantined boolean, candidates array<string>, answer string, image_path string")
+    got = {(r.id, r.rule, r.detail) for r in M.load_violations(rows, ["id"], raw="raw").collect()}
+    assert got == {(1, "unsupported_version", "old"), (2, "missing_keys", "answer,question"), (3, "blank_text", "campaign_id"), (4, "missing_keys", ",".join(sorted(M.MANIFEST_KEYS)))}
 
 
 @pytest.fixture
