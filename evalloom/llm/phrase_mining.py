@@ -393,11 +393,48 @@ def count_phrases(docs: DataFrame, candidates: DataFrame, depth: int, per_shard:
     return done
 
 
-def mine_phrases(docs: DataFrame, least: int = 10, share: int = 50, per_shard: int = PER_SHARD, bits: int = BITS) -> DataFrame:
-    """(lang, phrase, words, a, l, r, n, score) of the phrases of 2 and 3 words that are frequent and not told by a longer one.
+def first_rows(rows: DataFrame, key: str, order: list, top: int) -> DataFrame:
+    """The first ``top`` rows of each key with their ``rank`` from 1.
+
+    Rows are sorted over all tasks; a rank is the place in a part of that order plus the
+    rows of the key in the parts before.
+    """
+    whole = [F.asc(key), *order]
+    ordered = cut_lineage(rows.repartitionByRange(*whole).sortWithinPartitions(*whole).withColumn("part", F.spark_partition_id()), "ordered")
+    sizes = ordered.groupBy(key, "part").agg(F.count(F.lit(1)).alias("here"))
+    ahead = F.coalesce(F.sum("here").over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # only a key's first parts can hold its first rows
+    sizes = sizes.select(key, "part", ahead.alias("ahead")).filter(F.col("ahead") < top)
+    local = F.row_number().over(Window.partitionBy(key, "part").orderBy(*order))
+    ranked = ordered.join(sizes, [key, "part"]).withColumn("rank", (F.col("ahead") + local).cast("bigint"))
+    return ranked.filter(F.col("rank") <= top).drop("part", "ahead")
+
+
+def score_phrases(frequent: DataFrame, two: DataFrame, three: DataFrame, share: int) -> DataFrame:
+    """(lh, h1, h2, h3, a, l, r, score) of the phrases that no longer one tells; ``h3`` is null for two words."""
+    word = lambda i: frequent.select("lh", F.col("h1").alias(f"h{i}"), F.col("f").alias(f"f{i}"))
+
+    def score(left: str, right: str):
+        return F.expr(f"(CAST(f AS DECIMAL(14,0)) * CAST(f AS DECIMAL(14,0)) * CAST(1000000 AS DECIMAL(7,0))) div (CAST({left} AS DECIMAL(14,0)) * CAST({right} AS DECIMAL(14,0)))")
+
+    holds = three.select("lh", "h1", "h2", "f").unionByName(three.select("lh", F.col("h2").alias("h1"), F.col("h3").alias("h2"), "f"))
+    holds = holds.groupBy("lh", "h1", "h2").agg(F.max("f").alias("inside"))
+    told = two.join(holds, ["lh", "h1", "h2"], "left").filter(F.coalesce(100 * F.col("inside") < share * F.col("f"), F.lit(True)))
+    short = told.join(word(1), ["lh", "h1"]).join(word(2), ["lh", "h2"])
+    short = short.select("lh", "h1", "h2", F.lit(None).cast("bigint").alias("h3"), F.col("f").alias("a"), F.col("f1").alias("l"), F.col("f2").alias("r"), score("f1", "f2").alias("score"))
+    full = three.join(word(1), ["lh", "h1"]).join(word(3), ["lh", "h3"])
+    full = full.join(two.select("lh", "h1", "h2", F.col("f").alias("f12")), ["lh", "h1", "h2"]).join(two.select("lh", F.col("h1").alias("h2"), F.col("h2").alias("h3"), F.col("f").alias("f23")), ["lh", "h2", "h3"])
+    full = full.withColumn("c1", score("f1", "f23")).withColumn("c2", score("f12", "f3")).withColumn("first", F.col("c1") <= F.col("c2"))
+    full = full.select("lh", "h1", "h2", "h3", F.col("f").alias("a"), F.when(F.col("first"), F.col("f1")).otherwise(F.col("f12")).alias("l"), F.when(F.col("first"), F.col("f23")).otherwise(F.col("f3")).alias("r"), F.least("c1", "c2").alias("score"))
+    return short.unionByName(full)
+
+
+def mine_phrases(docs: DataFrame, least: int = 10, share: int = 50, per_shard: int = PER_SHARD, bits: int = BITS, top: int | None = None) -> DataFrame:
+    """(lang, phrase, a, l, r, n, score) of the phrases of 2 and 3 words that are frequent and not told by a longer one.
 
     ``score`` is floor(1000000 * a * a / (l * r)) of the cut with the lowest; a phrase goes where a candidate one word longer has
-    at least ``share`` percent of its occurrences.
+    at least ``share`` percent of its occurrences.  With ``top`` only phrases that reach the score and count of their language's
+    ``top``-th are spelled out, ties included.
     """
     spark = docs.sparkSession
     words = cut_lineage(count_words(docs), "words")
@@ -411,43 +448,21 @@ def mine_phrases(docs: DataFrame, least: int = 10, share: int = 50, per_shard: i
     three = cut_lineage(longer(docs, pairs, 3, least), "triples")
     pairs.destroy()
     three = count_phrases(docs, three, 3, per_shard).filter(F.col("f") >= least)
-    needed = two.select("h1").union(two.select("h2")).distinct()
-    wanted = spark.sparkContext.broadcast(bit_table(needed, ["h1"], bits))
+
+    scored = cut_lineage(score_phrases(frequent, two, three, share), "scored")
+    if top is not None:
+        last = first_rows(scored, "lh", [F.desc("score"), F.desc("a")], top).groupBy("lh").agg(F.min(F.struct("score", "a")).alias("last"))
+        scored = cut_lineage(scored.join(last, "lh").filter(F.struct("score", "a") >= F.col("last")).drop("last"), "first")
+    parts = F.explode(F.array_compact(F.array("h1", "h2", "h3")))
+    wanted = spark.sparkContext.broadcast(bit_table(scored.select(parts.alias("h")).distinct(), ["h"], bits))
     strings = cut_lineage(spelled(docs, wanted), "strings")
     wanted.destroy()
-
-    named = cut_lineage(frequent.join(strings, F.col("h1") == F.col("h")).select("lh", "h", "word", "f"), "named")
-    word = lambda i: named.select("lh", F.col("h").alias(f"h{i}"), F.col("word").alias(f"w{i}"), F.col("f").alias(f"f{i}"))
-
-    def score(left: str, right: str):
-        return F.expr(f"(CAST(f AS DECIMAL(14,0)) * CAST(f AS DECIMAL(14,0)) * CAST(1000000 AS DECIMAL(7,0))) div (CAST({left} AS DECIMAL(14,0)) * CAST({right} AS DECIMAL(14,0)))")
-
-    holds = three.select("lh", "h1", "h2", "f").unionByName(three.select("lh", F.col("h2").alias("h1"), F.col("h3").alias("h2"), "f"))
-    holds = holds.groupBy("lh", "h1", "h2").agg(F.max("f").alias("inside"))
-    told = two.join(holds, ["lh", "h1", "h2"], "left").filter(F.coalesce(100 * F.col("inside") < share * F.col("f"), F.lit(True)))
-    short = told.join(word(1), ["lh", "h1"]).join(word(2), ["lh", "h2"])
-    short = short.select("lh", F.concat_ws(" ", "w1", "w2").alias("phrase"), F.lit(2).alias("words"), F.col("f").alias("a"), F.col("f1").alias("l"), F.col("f2").alias("r"), score("f1", "f2").alias("score"))
-    full = three.join(word(1), ["lh", "h1"]).join(word(2).drop("f2"), ["lh", "h2"]).join(word(3), ["lh", "h3"])
-    full = full.join(two.select("lh", "h1", "h2", F.col("f").alias("f12")), ["lh", "h1", "h2"]).join(two.select("lh", F.col("h1").alias("h2"), F.col("h2").alias("h3"), F.col("f").alias("f23")), ["lh", "h2", "h3"])
-    cut1, cut2 = score("f1", "f23"), score("f12", "f3")
-    full = full.withColumn("c1", cut1).withColumn("c2", cut2).withColumn("first", F.col("c1") <= F.col("c2"))
-    full = full.select("lh", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), F.lit(3).alias("words"), F.col("f").alias("a"), F.when(F.col("first"), F.col("f1")).otherwise(F.col("f12")).alias("l"), F.when(F.col("first"), F.col("f23")).otherwise(F.col("f3")).alias("r"), F.least("c1", "c2").alias("score"))
-    return short.unionByName(full).join(totals, "lh").select("lang", "phrase", "words", "a", "l", "r", "n", "score")
+    word = lambda i: strings.select(F.col("h").alias(f"h{i}"), F.col("word").alias(f"w{i}"))
+    named = scored.join(word(1), "h1").join(word(2), "h2").join(word(3), "h3", "left").withColumn("phrase", F.concat_ws(" ", "w1", "w2", "w3"))
+    return named.join(totals, "lh").select("lang", "phrase", "a", "l", "r", "n", "score")
 
 
 def best_phrases(docs: DataFrame, top: int = 2000, **bounds) -> DataFrame:
-    """Each language's first ``top`` phrases by score, occurrences and text.
-
-    Phrases are sorted over all tasks; a phrase's rank is its place in its part of the
-    order plus the phrases of its language in the parts before.
-    """
-    order = [F.asc("lang"), F.desc("score"), F.desc("a"), F.asc("phrase")]
-    ordered = mine_phrases(docs, **bounds).repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered = cut_lineage(ordered.withColumn("part", F.spark_partition_id()), "ordered")
-    sizes = ordered.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("here"))
-    ahead = F.coalesce(F.sum("here").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # only a language's first parts can hold its first phrases, and of each part only its first ones
-    sizes = sizes.select("lang", "part", ahead.alias("ahead")).filter(F.col("ahead") < top)
-    local = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order[1:]))
-    ranked = ordered.join(sizes, ["lang", "part"]).withColumn("rank", (F.col("ahead") + local).cast("bigint")).filter(F.col("rank") <= top)
-    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    """Each language's first ``top`` phrases by score, occurrences and text."""
+    found = mine_phrases(docs, top=top, **bounds)
+    return first_rows(found, "lang", [F.desc("score"), F.desc("a"), F.asc("phrase")], top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
