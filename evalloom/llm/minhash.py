@@ -5,10 +5,13 @@ Documents with equal shingle sets become one class.  Of a class's minima the low
 pair are compared by counting, the share of equal codes is corrected for chance,
 and only pairs that could still reach the threshold are confirmed on the full
 shingle sets.  A bucket first proposes its smallest class against all others.  What
-these links leave in different components is then compared by packed bits inside
-tasks, in blocks of a bucket, and only pairs near the threshold leave them.  So a
+these links leave in different components is then compared inside tasks, in pairs of
+blocks of a bucket: by packed bits first; classes that come near the threshold there
+get their shingle sets, once a block, and the task returns the links that join
+components, a forest at most.  So rows stay in proportion to classes and blocks, and a
 link between different texts is lost only where no band of it agrees (about 1 in 2
-million at 0.85) or its estimate falls short by four standard deviations.
+million at 0.85, 1 in 20,000 at 0.80) or its estimate falls short by four standard
+deviations.
 
 Cases: fewer words than a shingle make the whole sequence one shingle; null or
 empty texts and texts without words have an empty set and link with nothing; equal
@@ -28,7 +31,8 @@ from evalloom.llm.common import components, cut_lineage, drop_written, keyed_tex
 from evalloom.llm.text import LOWER, STEP, Words, ids_of, mix, pieces, windows
 
 HASHES, BITS, BAND_ROWS, BANDS = 256, 4, 5, 25
-BLOCK = 512
+#: classes of a block of a bucket, and shingles of all its classes
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 _rng = np.random.default_rng(128)
 FACTOR = (_rng.integers(1, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 SHIFT = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -77,13 +81,10 @@ def _signatures(batches):
                 for r in range(BAND_ROWS):
                     h = h * STEP + minima[b * BAND_ROWS + r]
                 bands[:, b] = mix(h)
-            sums = np.zeros((2, len(keys) + 1), np.uint64)
-            np.cumsum(mix(keys), out=sums[0, 1:])
-            np.cumsum(mix(keys ^ STEP), out=sums[1, 1:])
-            sums = sums[:, bounds[1:]] - sums[:, bounds[:-1]]
+            sums = _sums(keys, bounds)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids_of(rows)), pa.array(size.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
+                    pa.array(ids_of(rows)), pa.array(size.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]),
                     pa.ListArray.from_arrays(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32), pa.array(bands.view(np.int64).ravel())),
                     pa.array([p.tobytes() for p in packed], pa.binary()),
                 ],
@@ -91,6 +92,22 @@ def _signatures(batches):
             )
 
 
+def _sums(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums that name the set of each row."""
+    sums = np.zeros((2, len(keys) + 1), np.uint64)
+    np.cumsum(mix(keys), out=sums[0, 1:])
+    np.cumsum(mix(keys ^ STEP), out=sums[1, 1:])
+    return (sums[:, bounds[1:]] - sums[:, bounds[:-1]]).view(np.int64)
+
+
+def _sets(batches):
+    for batch in batches:
+        for rows, data, offsets in pieces(batch):
+            keys, bounds = shingles(data, offsets)
+            sets = [keys[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids_of(rows)), pa.array(_sums(keys, bounds)[0]), pa.array(sets, pa.binary())], ["rep", "k1", "keys"])
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """Set size, a 128-bit key of the set, band keys and packed low bits of every document."""
     return keyed_texts(docs).mapInArrow(_signatures, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, bands array<bigint>, packed binary")
@@ -167,15 +184,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     filled = signed.filter("n_shingles > 0")
     classes = filled.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     reps = signed.select(F.col("doc_id").alias("rep"), "k1", "k2", "n_shingles", "bands", "packed").join(classes, ["k1", "k2", "n_shingles", "rep"], "left_semi")
-    reps = cut_lineage(reps.select("rep", "bands", "packed"), "classes")
-    buckets = cut_lineage(_shared(reps.select(F.posexplode("bands").alias("band", "bucket"), "rep")), "buckets")
+    reps = cut_lineage(reps.select("rep", "k1", F.col("n_shingles").alias("size"), "bands", "packed"), "classes")
+    buckets = cut_lineage(_shared(reps.select(F.posexplode("bands").alias("band", "bucket"), "rep", "size")), "buckets")
 
     centre = buckets.groupBy("bucket").agg(F.min("rep").alias("u"))
     pairs = buckets.join(centre, "bucket").select("u", F.col("rep").alias("v")).filter("u <> v").distinct()
     links = cut_lineage(confirm(pairs, reps, texts, percent), "links")
     joined = components(links)
 
-    more = cut_lineage(confirm(_between_parts(buckets, joined, reps, percent), reps, texts, percent), "links")
+    more = _between_parts(buckets, joined, reps, texts, percent)
     # later links join whole components
     part = lambda of: joined.select(F.col("node").alias(of), F.col("component").alias(f"part_{of}"))
     between = more.join(part("u"), "u", "left").join(part("v"), "v", "left").select(F.coalesce("part_u", "u").alias("u"), F.coalesce("part_v", "v").alias("v"))
@@ -190,17 +207,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _between_parts(buckets: DataFrame, joined: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket that lie in different components and may be similar by their packed bits; each pair once.
+CELL = ["bucket", "kind", "x", "y"]
 
-    A bucket above ``BLOCK`` classes is dealt in blocks, those of its main component
-    only against the others.  A task holds one pair of blocks at a time.
+
+def _between_parts(buckets: DataFrame, joined: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links ``u, v`` that join the components of classes that share a bucket: a forest from each cell.
+
+    A bucket above ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles is dealt in blocks,
+    those of its main component only against the others.  A cell is one pair of
+    blocks; a task holds one cell at a time.
     """
-    floor = lowest_estimate(percent)
-    placed = buckets.join(joined, F.col("rep") == F.col("node"), "left").select("band", "bucket", "rep", F.coalesce("component", "rep").alias("part"))
+    spark = reps.sparkSession
+    placed = buckets.join(joined, F.col("rep") == F.col("node"), "left").select("band", "bucket", "rep", "size", F.coalesce("component", "rep").alias("part"))
     placed = cut_lineage(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min_by("part", "rep").alias("main"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.filter("low <> high").select("bucket", "main", F.ceil(F.col("n") / BLOCK).alias("k"))
+    mixed = placed.groupBy("bucket").agg(
+        F.min("part").alias("low"), F.max("part").alias("high"), F.min_by("part", "rep").alias("main"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("sizes")
+    )
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("sizes") / BLOCK_SHINGLES))
+    mixed = mixed.filter("low <> high").select("bucket", "main", blocks.alias("k"))
     salted = placed.join(mixed, "bucket").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("k")))
     others = F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)
     cell = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.alias("side"))
@@ -216,41 +240,122 @@ def _between_parts(buckets: DataFrame, joined: DataFrame, reps: DataFrame, perce
         )
     )
     dealt = salted.select("band", "bucket", "rep", "part", F.explode(cells).alias("c")).select("band", "bucket", "rep", "part", "c.*")
-    dealt = dealt.join(reps.select("rep", "bands", "packed"), "rep").repartition("bucket", "kind", "x", "y").sortWithinPartitions("bucket", "kind", "x", "y")
-
-    def pairs_of(rows: list[tuple]):
-        rep, part, side = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2))
-        packed = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-        bands = np.array([r[4] for r in rows], np.int64)
-        band = rows[0][5]
-        for at in range(0, len(rows), 64):
-            open_ = part[at : at + 64, None] != part[None, :]
-            open_ &= np.where(side[at : at + 64, None] == 0, (side[None, :] == 0) & (np.arange(at, min(at + 64, len(rows)))[:, None] < np.arange(len(rows))[None, :]), (side[at : at + 64, None] == 1) & (side[None, :] == 2))
-            i, j = np.nonzero(open_)
-            i += at
-            near = corrected(packed[i], packed[j]) >= floor
-            i, j = i[near], j[near]
-            # a pair belongs to the first band that it shares
-            mine = (bands[i] == bands[j]).argmax(1) == band
-            i, j = i[mine], j[mine]
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], ["u", "v"])
+    dealt = dealt.join(reps, "rep").select(*CELL, "side", "band", "part", "rep", "k1", "size", "packed", "bands")
+    near = cut_lineage(_by_cell(dealt).mapInArrow(_near_rows(percent), dealt.schema), "near-rows")
+
+    asked = near.select(F.col("rep").alias("doc_id")).distinct()
+    sets = texts.join(asked.hint("merge"), "doc_id").mapInArrow(_sets, "rep bigint, k1 bigint, keys binary")
+    sets = cut_lineage(sets, "asked-sets")
+    held = near.join(sets.dropDuplicates(["rep", "k1"]).hint("merge"), ["rep", "k1"])
+    links = cut_lineage(_by_cell(held).mapInArrow(_joining_links(percent), "u bigint, v bigint").distinct(), "links")
+    drop_written(spark, placed, near, sets)
+    return links
+
+
+def _by_cell(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL)
+
+
+def _cells(batches):
+    """The rows of one cell after another, as a table, from batches sorted by cell."""
+    open_, key = [], None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        at = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in CELL])
+        cuts = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1
+        for a, b in zip([0, *cuts], [*cuts, n], strict=True):
+            name = tuple(at[:, a])
+            if name != key and open_:
+                yield pa.Table.from_batches(open_).combine_chunks()
+                open_ = []
+            key = name
+            open_.append(batch.slice(a, b - a))
+    if open_:
+        yield pa.Table.from_batches(open_).combine_chunks()
+
+
+def _near_pairs(cell: pa.Table, percent: int):
+    """(part, then runs of row pairs) whose sizes and packed bits allow a link and whose first shared band is the cell's.
+
+    Pairs come as ``i, j`` arrays for 64 rows ``i`` at a time; ``part`` may be
+    joined up by the caller between two runs.
+    """
+    floor = lowest_estimate(percent)
+    column = lambda name: cell.column(name).to_numpy()
+    side, size, band = column("side"), column("size"), column("band")[0]
+    n = cell.num_rows
+    packed = np.frombuffer(b"".join(cell.column("packed").to_pylist()), np.uint8).reshape(n, -1)
+    bands = cell.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+    part = column("part").copy()
+    yield part
+    places = np.arange(n)
+    for at in range(0, n, 64):
+        rows = slice(at, min(at + 64, n))
+        open_ = part[rows, None] != part[None, :]
+        open_ &= np.where(side[rows, None] == 0, (side[None, :] == 0) & (places[rows, None] < places[None, :]), (side[rows, None] == 1) & (side[None, :] == 2))
+        open_ &= 100 * np.minimum(size[rows, None], size[None, :]) >= percent * np.maximum(size[rows, None], size[None, :])
+        i, j = np.nonzero(open_)
+        i += at
+        keep = (bands[i] == bands[j]).argmax(1) == band
+        i, j = i[keep], j[keep]
+        keep = corrected(packed[i], packed[j]) >= floor
+        yield i[keep], j[keep]
+
+
+def _near_rows(percent: int):
+    """Rows of a cell that are near to a row of another component."""
 
     def run(batches):
-        rows, last = [], None
-        for batch in batches:
-            at = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()  # noqa: B023, E731
-            keys = zip(at("bucket"), at("kind"), at("x"), at("y"), strict=True)
-            for key, row in zip(keys, zip(at("rep"), at("part"), at("side"), at("packed"), at("bands"), at("band"), strict=True), strict=True):
-                if key != last and rows:
-                    yield from pairs_of(rows)
-                    rows = []
-                last = key
-                rows.append(row)
-        if rows:
-            yield from pairs_of(rows)
-
-    return dealt.mapInArrow(run, "u bigint, v bigint")
+        for cell in _cells(batches):
+            pairs = _near_pairs(cell, percent)
+            next(pairs)
+            keep = np.zeros(cell.num_rows, bool)
+            for i, j in pairs:
+                keep[i] = keep[j] = True
+            if keep.any():
+                yield from cell.filter(pa.array(keep)).to_batches()
+
+    return run
+
+
+def _joining_links(percent: int):
+    """Links of a cell, on full sets, that join two components not joined by an earlier one."""
+
+    def run(batches):
+        for cell in _cells(batches):
+            rep = cell.column("rep").to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in cell.column("keys").to_pylist()]
+            u, v = [], []
+            pairs = _near_pairs(cell, percent)
+            part = next(pairs)
+            for i, j in pairs:
+                for a, b in zip(*(np.split(x, np.flatnonzero(np.diff(i)) + 1) for x in (i, j)), strict=True):
+                    if not len(a):
+                        continue
+                    a = a[0]
+                    b = b[part[b] != part[a]]
+                    for c in b[_similar(sets[a], [sets[c] for c in b], percent)]:
+                        if part[c] != part[a]:
+                            part[part == part[c]] = part[a]
+                            u.append(min(rep[a], rep[c]))
+                            v.append(max(rep[a], rep[c]))
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def _similar(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sorted sets share enough with the set ``one``."""
+    if not others or not len(one):
+        return np.zeros(len(others), bool)
+    sizes = np.array([len(o) for o in others], np.int64)
+    keys = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, keys), len(one) - 1)] == keys
+    common = np.bincount(np.repeat(np.arange(len(others)), sizes)[hit], minlength=len(others))
+    return 100 * common >= percent * (len(one) + sizes - common)
 
 
 def _shared(rows: DataFrame) -> DataFrame:
