@@ -72,15 +72,16 @@ class Pieces:
         total = sum(w for _, w in self.ids.values())
         self.ids = {k: (i, w / total) for k, (i, w) in self.ids.items()}
         self.longest = max(map(len, self.ids))
-        #: for each length the sorted hashes of the pieces, their ids and weights
+        #: for each length the sorted hashes of all beginnings of pieces, and id (-1 where none ends here) and weight of each
         self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for size in range(1, self.longest + 1):
-            mine = [(form, *self.ids[form]) for form in self.ids if len(form) == size]
-            points, prefix = points_of("".join(form for form, _, _ in mine))
+            begun = sorted({form[:size] for form in self.ids if len(form) >= size})
+            points, prefix = points_of("".join(begun))
             at = np.arange(0, len(points), size)
             hashes = span_hash(prefix, at, at + size)
             order = np.argsort(hashes)
-            self.tables.append((hashes[order], np.array([i for _, i, _ in mine], np.int32)[order], np.array([w for _, _, w in mine], float)[order]))
+            ends = [self.ids.get(form, (-1, 0.0)) for form in begun]
+            self.tables.append((hashes[order], np.array([i for i, _ in ends], np.int32)[order], np.array([w for _, w in ends], float)[order]))
 
     def spelled(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode()]
@@ -118,31 +119,97 @@ class Pieces:
         return cdf, node, source, ids
 
 
+class Grown:
+    """An array that doubles when it is full."""
+
+    def __init__(self, kind: type):
+        self.held, self.n = np.zeros(1024, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        while self.n + len(more) > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros_like(self.held)])
+        self.held[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each pair of a start and a size."""
+    return np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+
+
 class Sampler:
-    """Lattices of recent units as flat arrays."""
+    """Lattices of recent units as flat arrays.
 
-    def __init__(self, vocabulary: Pieces):
-        self.vocabulary = vocabulary
-        self.clear()
+    A unit has a run of nodes, a node a run of edges with rising shares.  When there
+    are too many units those used most stay, at most half as many.
+    """
 
-    def clear(self) -> None:
+    def __init__(self, vocabulary: Pieces, kept: int = KEPT_UNITS):
+        self.vocabulary, self.kept = vocabulary, kept
         self.known: dict[str, int] = {}
-        self.lengths: list[int] = []
-        self.nodes = 0
-        self.first_node = np.zeros(0, np.int64)
-        self.cdf = np.zeros(0)
-        self.source = np.zeros(0, np.int64)
-        self.ids = np.zeros((0, 4), np.int32)
-        self.width = np.zeros(0, np.int64)
-
-    def _append(self, lengths: list[int], first: np.ndarray, nodes: int, cdf: np.ndarray, source: np.ndarray, ids: np.ndarray, width: np.ndarray) -> None:
-        """Add units whose nodes are numbered from 0."""
-        self.lengths += lengths
-        self.first_node = np.concatenate([self.first_node, first + self.nodes])
-        self.cdf = np.concatenate([self.cdf, cdf + self.nodes])
-        self.source = np.concatenate([self.source, source + self.nodes])
-        self.ids, self.width = np.concatenate([self.ids, ids]), np.concatenate([self.width, width])
-        self.nodes += nodes
+        #: a piece below 0 stands for the bytes of a character: row -1 - piece
+        self.bytes: list[list[int]] = []
+        self.byte_rows: dict[str, int] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        self.first_node, self.length, self.uses = Grown(np.int64), Grown(np.int64), Grown(np.int64)
+        self.first_edge = Grown(np.int64)
+        self.shares, self.span, self.piece = Grown(float), Grown(np.uint8), Grown(np.int32)
+
+    def _append(self, lengths: np.ndarray, first: np.ndarray, edges: np.ndarray, cdf: np.ndarray, span: np.ndarray, piece: np.ndarray) -> None:
+        """Add units whose nodes are numbered from 0; ``edges`` counts those into each node."""
+        self.first_node.add(first + self.first_edge.n)
+        self.length.add(lengths)
+        self.uses.add(np.zeros(len(lengths), np.int64))
+        self.first_edge.add(np.cumsum(edges) - edges + self.shares.n)
+        self.shares.add(cdf)
+        self.span.add(span)
+        self.piece.add(piece)
+
+    @property
+    def _node(self) -> np.ndarray:
+        """The node into which each edge leads."""
+        return np.repeat(np.arange(self.first_edge.n), np.diff(np.append(self.first_edge.all, self.shares.n)))
+
+    @property
+    def cdf(self) -> np.ndarray:
+        """Node number plus running share of each edge."""
+        return self._node + self.shares.all
+
+    @property
+    def source(self) -> np.ndarray:
+        """The node from which each edge comes."""
+        return self._node - self.span.all
+
+    def _spelled(self, char: str) -> int:
+        row = self.byte_rows.get(char)
+        if row is None:
+            row = self.byte_rows[char] = len(self.bytes)
+            self.bytes.append(self.vocabulary.spelled(char))
+        return -1 - row
+
+    def _evict(self) -> None:
+        """Keep the units used twice or more since they came, the most used first, and halve their counts."""
+        uses = self.uses.all
+        stay = np.flatnonzero(uses > 1)
+        if len(stay) > self.kept // 2:
+            stay = np.sort(stay[np.argsort(-uses[stay], kind="stable")[: self.kept // 2]])
+        names = list(self.known)
+        first, nodes = self.first_node.all[stay], self.length.all[stay] + 1
+        at = _ranges(first, nodes)
+        starts = np.append(self.first_edge.all, self.shares.n)
+        edges = starts[at + 1] - starts[at]
+        take = _ranges(starts[at], edges)
+        kept = (self.length.all[stay], np.cumsum(nodes) - nodes, edges, self.shares.all[take], self.span.all[take], self.piece.all[take])
+        self._empty()
+        self._append(*kept)
+        self.uses.all[:] = uses[stay] // 2
+        self.known = {names[i]: k for k, i in enumerate(stay.tolist())}
 
     def _learn(self, units: list[str]) -> None:
         """Lattices of new units: short ones together, level by level; long ones each with scaled weights."""
@@ -155,12 +222,11 @@ class Sampler:
             if len(unit) > TOGETHER:
                 self.known[unit] = len(self.known)
                 cdf, node, source, pieces_ = self.vocabulary.lattice(unit)
-                ids = np.zeros((len(pieces_), 4), np.int32)
-                for k, piece in enumerate(pieces_):
-                    ids[k, : len(piece)] = piece
+                into = np.array(node)
+                piece = [ids[0] if j - i > 1 or unit[i:j] in self.vocabulary.ids else self._spelled(unit[i]) for i, j, ids in zip(source, node, pieces_, strict=True)]
                 self._append(
-                    [len(unit)], np.zeros(1, np.int64), len(unit) + 1, np.array(node) + np.array(cdf), np.array(source, np.int64),
-                    ids, np.fromiter(map(len, pieces_), np.int64, len(pieces_)),
+                    np.array([len(unit)]), np.zeros(1, np.int64), np.bincount(into, minlength=len(unit) + 1),
+                    np.array(cdf), into - np.array(source), np.array(piece, np.int32),
                 )
 
     def _learn_short(self, units: list[str]) -> None:
@@ -178,10 +244,12 @@ class Sampler:
                 break
             got = span_hash(prefix, char, char + span)
             at = np.minimum(np.searchsorted(hashes, got), max(len(hashes) - 1, 0))
-            hit = hashes[at] == got if len(hashes) else np.zeros(len(char), bool)
+            begun = hashes[at] == got if len(hashes) else np.zeros(len(char), bool)
+            hit = begun & (ids[at] >= 0) if len(hashes) else begun
             if span == 1:
                 spelled = char[~hit]
             parts.append((char[hit], np.full(hit.sum(), span), ids[at[hit]], weights[at[hit]]))
+            char = char[begun]  # elsewhere no longer piece starts either
         parts.append((spelled, np.ones(len(spelled), np.int64), np.full(len(spelled), -1, np.int32), np.full(len(spelled), RARE_WEIGHT)))
         begin, span, piece, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
         source = begin + unit[begin]  # one node more for each unit before
@@ -220,18 +288,14 @@ class Sampler:
         cdf = np.minimum(cdf, 1.0)
         closes = np.append(opens[1:], True)
         cdf[closes] = 1.0
-        packed = np.zeros((len(node), 4), np.int32)
-        packed[:, 0] = piece
-        width = np.ones(len(node), np.int64)
         for k in np.flatnonzero(piece < 0).tolist():
-            ids = self.vocabulary.spelled(chr(points[begin[k]]))
-            packed[k, : len(ids)], width[k] = ids, len(ids)
-        self._append(size.tolist(), first, nodes, node + cdf, source, packed, width)
+            piece[k] = self._spelled(chr(points[begin[k]]))
+        self._append(size, first, np.bincount(node, minlength=nodes), cdf, node - source, piece)
 
     def sample(self, keys: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the bounds of each text."""
-        if len(self.known) > KEPT_UNITS:
-            self.clear()
+        if len(self.known) > self.kept:
+            self._evict()
         units: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for t, text in enumerate(texts):
@@ -243,8 +307,10 @@ class Sampler:
         if new:
             self._learn(new)
         which = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
-        first = self.first_node[which]
-        at = first + np.array(self.lengths, np.int64)[which]
+        self.uses.all[:] += np.bincount(which, minlength=self.uses.n)
+        first = self.first_node.all[which]
+        at = first + self.length.all[which]
+        first_edge, cdf, span, piece = self.first_edge.all, self.shares.all, self.span.all, self.piece.all
         bounds = np.concatenate([[0], np.cumsum(counts)])
         row = np.repeat(np.arange(len(texts)), counts)
         seed = mix(mix(keys.astype(np.uint64) + np.uint64(1))[row] + (np.arange(len(units)) - bounds[row]).astype(np.uint64))
@@ -253,10 +319,14 @@ class Sampler:
         step = 0
         while len(alive):
             u = (mix(seed[alive] + np.uint64((0xA0761D6478BD642F * (step + 1)) % (1 << 64))) >> np.uint64(11)) * 2.0**-53
-            # a node's edges share its whole number; the draw falls into (number, number + 1]
-            edge = np.searchsorted(self.cdf, at[alive] + 1 - u, "left")
+            edge = first_edge[at[alive]]
+            # the first edge whose running share covers 1 - u; a node's last share is 1
+            short = np.flatnonzero(cdf[edge] < 1 - u)
+            while len(short):
+                edge[short] += 1
+                short = short[cdf[edge[short]] < 1 - u[short]]
             taken.append((alive, edge))
-            at[alive] = self.source[edge]
+            at[alive] -= span[edge]
             alive = alive[at[alive] > first[alive]]
             step += 1
         steps = np.bincount(np.concatenate([a for a, _ in taken]), minlength=len(units)) if taken else np.zeros(len(units), np.int64)
@@ -264,8 +334,14 @@ class Sampler:
         path = np.zeros(int(end[-1]) if len(end) else 0, np.int64)
         for k, (a, edge) in enumerate(taken):
             path[end[a] - 1 - k] = edge
-        width = self.width[path]
-        out = self.ids[np.repeat(path, width), np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)]
+        out = piece[path]
+        width = np.ones(len(path), np.int64)
+        rare = np.flatnonzero(out < 0)
+        if len(rare):
+            rows = [self.bytes[r] for r in (-1 - out[rare]).tolist()]
+            width[rare] = [len(r) for r in rows]
+            out = np.repeat(out, width)
+            out[_ranges((np.cumsum(width) - width)[rare], width[rare])] = [b for r in rows for b in r]
         per_unit = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(units)), steps), width, len(units)).astype(np.int64))])
         return out, per_unit[bounds]
 
