@@ -46,14 +46,15 @@ def fold_of(ids, n: int):
     return np.fromiter((zlib.crc32(str(int(i)).encode()) % n for i in ids), np.int64, len(ids))
 
 
-def labelled(labels: DataFrame, column: str, bound: int, balanced: bool = False, where=None) -> DataFrame:
-    """At most ``bound`` labelled ids (``doc_id``, ``y``), those with the smallest hashes.
+def labelled(labels: DataFrame, texts: DataFrame, column: str, bound: int, balanced: bool = False, where=None) -> DataFrame:
+    """At most ``bound`` labelled ids (``doc_id``, ``y``) of ``texts``, those with the smallest hashes.
 
     Rows without an id or label are left out; an id with several labels takes the
     largest.  ``balanced`` takes up to half of the bound from each label.
     """
     rows = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(column).cast("int").alias("y"))
-    rows = rows.filter("doc_id IS NOT NULL AND y IN (0, 1)")
+    # labels of absent documents must not use up the bound
+    rows = rows.filter("doc_id IS NOT NULL AND y IN (0, 1)").join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     rows = (rows.filter(where) if where is not None else rows).groupBy("doc_id").agg(F.max("y").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     if not balanced:

@@ -120,9 +120,7 @@ def _samples(batches):
 def train(docs: DataFrame, labels: DataFrame, sample: int = 3_000, folds: int = 5, held: int = 0) -> dict | float:
     """Weights, or the constant score where both labels do not occur."""
     texts = keyed_texts(docs)
-    # labels of documents that an earlier stage dropped must not use up the bound
-    present = labels.withColumn("doc_id", F.col("doc_id").cast("bigint")).join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
-    chosen = labelled(present, "quality", sample, balanced=True, where=remainder("doc_id", folds) != held)
+    chosen = labelled(labels, texts, "quality", sample, balanced=True, where=remainder("doc_id", folds) != held)
     rows = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(_samples, "doc_id bigint, y int, x binary").toPandas()
     if not len(rows):
         return 0.5

@@ -176,7 +176,8 @@ def _samples(batches):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Forest:
     """Fit on at most ``sample`` labelled documents; the result does not depend on row order."""
-    chosen = keyed_texts(docs).join(F.broadcast(labelled(labels, "quality", sample)), "doc_id")
+    texts = keyed_texts(docs)
+    chosen = texts.join(F.broadcast(labelled(labels, texts, "quality", sample)), "doc_id")
     got = chosen.mapInArrow(_samples, "doc_id bigint, y int, x array<double>").toPandas()
     got = got[got["x"].notna()].sort_values("doc_id", kind="stable") if len(got) else got
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
