@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+#: folder of each local application that names none; a running session cannot take the setting
+_local_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -21,8 +23,8 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"{CHECKPOINT_CONF} must name a shared folder on a cluster")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_CONF, base)
+        app = spark.sparkContext.applicationId
+        base = _local_folders.get(app) or _local_folders.setdefault(app, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
