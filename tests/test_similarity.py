@@ -126,3 +126,15 @@ def test_neighbors_need_no_nested_loop(spark, capsys):
     mem = spark.createDataFrame(rows(20, 3), SCHEMA).withColumnRenamed("id", "memory_id")
     S.semantic_neighbors(spark.createDataFrame(rows(10, 2), SCHEMA), mem, 3).explain()
     assert "NestedLoop" not in (plan := capsys.readouterr().out) and "Cartesian" not in plan
+
+
+def test_edges_build_no_table_at_the_driver(spark, tmp_path):
+    """Exploded keys and profiles look small as files; the driver must not gather them for a broadcast."""
+    data = spark.createDataFrame(rows(), SCHEMA)
+    data.write.parquet(str(tmp_path / "rows"))
+    data = spark.read.parquet(str(tmp_path / "rows"))
+    edges = S.similarity_edges(data, 0.68)
+    for frame in (edges, S.sibling_risk(data, edges)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan
+        assert len(plan) < 40_000
