@@ -87,6 +87,16 @@ def feedback_totals(verdicts: DataFrame) -> DataFrame:
     )
 
 
+def exact_sum(value: Column) -> Column:
+    """Sum of doubles that does not depend on the order of the rows.
+
+    Up to 12 decimal places are added as decimals; where a value is no such decimal
+    (not finite, or 1e16 and more), the plain sum is given.
+    """
+    exact = value.try_cast("decimal(28,12)")
+    return F.when(F.count_if(value.isNotNull() & exact.isNull()) == 0, F.sum(exact).cast("double")).otherwise(F.sum(value))
+
+
 def feedback_reconcile(rows: DataFrame, state: DataFrame, group: str) -> DataFrame:
     """Count and cost of fresh rows against the stored state; bootstrap rows are kept apart."""
     fresh = ~F.col("bootstrap")
@@ -94,8 +104,8 @@ def feedback_reconcile(rows: DataFrame, state: DataFrame, group: str) -> DataFra
         F.count(F.lit(1)).alias("evaluated"),
         F.count_if(fresh).alias("fresh"),
         F.count_if("bootstrap").alias("bootstrapped"),
-        F.round(F.sum(F.when(fresh, F.coalesce("cost", F.lit(0.0))).otherwise(0.0)), 9).alias("cost"),
-        F.round(F.sum(F.when(F.col("bootstrap"), F.coalesce("cost", F.lit(0.0))).otherwise(0.0)), 9).alias("boot_cost"),
+        F.round(exact_sum(F.when(fresh, F.coalesce("cost", F.lit(0.0))).otherwise(0.0)), 9).alias("cost"),
+        F.round(exact_sum(F.when(F.col("bootstrap"), F.coalesce("cost", F.lit(0.0))).otherwise(0.0)), 9).alias("boot_cost"),
     )
     count_ok = F.col("state_count") == F.col("evaluated")
     cost_ok = F.abs(F.coalesce("state_cost", F.lit(0.0)) - F.col("cost")) < 1e-8

@@ -123,7 +123,7 @@ def feedback_reconcile(spark, d):
     state = rows.groupBy("evaluator").agg(
         (F.count(F.lit(1)) + F.when(F.col("evaluator") == "m1", 1).otherwise(0)).alias("state_count"),
         (
-            F.round(F.sum(F.when(F.col("plan_no") != 0, F.col("cost"))), 9)
+            F.round(P.exact_sum(F.when(F.col("plan_no") != 0, F.col("cost"))), 9)
             + F.when(F.col("evaluator") == "m2", 0.01).otherwise(0.0)
         ).alias("state_cost"),
     )

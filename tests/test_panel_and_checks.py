@@ -179,3 +179,12 @@ def test_geometry_scalars(spark):
     v = lambda *x: F.array(*[F.lit(float(i)) for i in x])
     assert one(spark, rms_distance(v(0, 0), v(3, 4))) == pytest.approx((25 / 2) ** 0.5)
     assert one(spark, rms_distance(v(0), v(3, 4))) is None
+
+
+def test_feedback_cost_does_not_depend_on_the_order_of_rows(spark):
+    costs = spark.range(3000).selectExpr("'m0' AS evaluator", "id % 3 = 0 AS bootstrap", "IF(id = 1, 80000000.1D, 0.1D) AS cost")
+    odd = spark.createDataFrame([("m1", False, float("nan")), ("m1", False, 1.0)], "evaluator string, bootstrap boolean, cost double")
+    state = spark.createDataFrame([("m0", 3000, 80000200.0)], "evaluator string, state_count bigint, state_cost double")
+    got = {r.evaluator: r for r in P.feedback_reconcile(costs.unionByName(odd), state, "evaluator").collect()}
+    assert (got["m0"].cost_usd, got["m0"].bootstrap_cost_usd, got["m0"].passed) == (80000200.0, 100.0, True)
+    assert got["m1"].cost_usd != got["m1"].cost_usd  # a cost that is no number stays visible
