@@ -138,3 +138,32 @@ def test_edges_build_no_table_at_the_driver(spark, tmp_path):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan
         assert len(plan) < 40_000
+
+
+def test_a_small_memory_is_not_joined(spark):
+    """Work grows with the candidates alone: no join, and the same rows as the joined form, with many ties and missing texts."""
+    rng = np.random.default_rng(6)
+    draw = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 30, n))
+    docs = spark.createDataFrame([(i, draw(int(rng.integers(0, 9)))) for i in range(30)] + [(30, None)], "doc bigint, text string")
+    known = [(i, draw(int(rng.integers(0, 5)))) for i in range(60)]
+    memory = spark.createDataFrame(known + [(100 + i, known[7][1]) for i in range(9)] + [(120, "")], "mem bigint, text string")
+    ask = lambda k, **more: S.negative_neighbors(docs, memory, k, ident="doc", name="mem", **more)
+    for k in (1, 4, 100):
+        small = ask(k)
+        assert "Join" not in small._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, small.collect())) == sorted(map(tuple, ask(k, small_rows=0).collect()))
+    index = S._overlaps_in_tasks(docs.select("doc", S.tokens(S.F.col("text")).alias("lt")), memory.select("mem", S.tokens(S.F.col("text")).alias("rt")), 4, "doc", "mem", cells=100)
+    score = S.F.round(S.F.when(S.F.col("either") == 0, S.F.lit(0.0)).otherwise(S.F.col("shared") / S.F.col("either")), 6)
+    top = S._top_k(index.select("doc", "mem", score.alias("score")), "doc", "mem", 4)
+    assert sorted(map(tuple, top.select("doc", "rank", "mem", "score").collect())) == sorted(map(tuple, ask(4).collect()))
+
+
+def test_a_large_memory_is_joined_and_equals_brute_force(spark):
+    rng = np.random.default_rng(7)
+    draw = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 40, n))
+    docs, known = ([(i, draw(int(rng.integers(0, top)))) for i in range(n)] for top, n in ((20, 25), (8, 50)))
+    frames = spark.createDataFrame(docs, "doc bigint, text string"), spark.createDataFrame(known, "mem bigint, text string")
+    got = {(r.doc, r["rank"]): (r.mem, r.score) for r in S.negative_neighbors(*frames, 3, ident="doc", name="mem", small_tokens=0).collect()}
+    for d, t in docs:
+        best = sorted((-round(jac(set(t.split()), set(m.split())), 6), str(i), i) for i, m in known)[:3]
+        assert [got[(d, n)] for n in range(1, 4)] == [(i, -s) for s, _, i in best]
