@@ -76,3 +76,37 @@ def test_circle_fit_drops_an_outlier(spark):
     assert fit.refit and fit.used == 40
     assert (fit.cx, fit.cy, fit.r) == (pytest.approx(10), pytest.approx(20), pytest.approx(5))
     assert fit.arc_deg == 5 * len({int(np.degrees(np.arctan2(y - fit.cy, x - fit.cx)) // 5) for _, x, y in rows[:40]})
+
+
+@pytest.mark.parametrize("block", [1, 7, 40, 10_000])
+def test_reachability_by_blocks_equals_brute_force(spark, block, monkeypatch):
+    rng = np.random.default_rng(4)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 80, (110, 2))} | {(i, i + 1) for i in range(100, 130)} | {(5, x) for x in range(20)}
+    want, frontier, hop = {}, {0, 5, 100, 999}, 0
+    while frontier:
+        want |= dict.fromkeys(frontier, hop)
+        frontier = {b for a, b in pairs if a in frontier} - set(want)
+        hop += 1
+    starts = spark.createDataFrame([(x,) for x in (0, 5, 100, 999)], "node bigint")
+    got = N.reachable_from(starts, links(spark, sorted(pairs)), block_links=block).collect()
+    assert len(got) == len(want) and {r.node: r.hops for r in got} == want
+
+
+def test_a_long_way_takes_few_rounds(spark, monkeypatch):
+    """Rounds follow the blocks that a way crosses, not its hops."""
+    written = []
+    cut = N.cut_lineage
+    monkeypatch.setattr(N, "cut_lineage", lambda df, purpose="cut": written.append(purpose) or cut(df, purpose))
+    chain = spark.range(300).selectExpr("id AS src", "id + 1 AS dst")
+    got = N.reachable_from(spark.range(1).selectExpr("id AS node"), chain, block_links=100).collect()
+    assert {r.node: r.hops for r in got} == {i: i for i in range(301)}
+    assert written.count("hops") <= 8
+
+
+def test_chains_build_no_table_at_the_driver(spark, monkeypatch):
+    plans = []
+    cut = N.cut_lineage
+    monkeypatch.setattr(N, "cut_lineage", lambda df, purpose="cut": plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, purpose))
+    got = N.follow_chain(spark.range(40).selectExpr("id AS src", "id + 1 AS dst"))
+    assert {r.hops for r in got.collect()} == set(range(1, 41))
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
