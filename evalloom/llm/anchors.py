@@ -128,15 +128,45 @@ def contents(texts: DataFrame, held: DataFrame, slices: Callable) -> DataFrame:
     return texts.join(lists, "doc_id").select("doc_id", "text", "s").mapInArrow(run, "doc_id bigint, start int, n int, name bigint, digest binary, content binary")
 
 
+def _merge_copies(batches, most: int = 1 << 16):
+    """One row for each (digest, name) of some ten thousand rows, with their count, smallest document and content."""
+
+    def merge(held):
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        digest = rows.column(0).cast(pa.binary(16))
+        halves = np.frombuffer(digest.buffers()[1], np.uint64)[2 * digest.offset : 2 * (digest.offset + len(digest))].reshape(-1, 2)
+        name, doc = (rows.column(i).to_numpy(zero_copy_only=False) for i in (1, 3))
+        # a row with the content comes before those without
+        order = np.lexsort((rows.column(2).is_null().to_numpy(zero_copy_only=False), halves[:, 1], halves[:, 0], name))
+        name_, halves = name[order], halves[order]
+        heads = np.flatnonzero(np.concatenate([[True], (name_[1:] != name_[:-1]) | (halves[1:] != halves[:-1]).any(1)]))
+        kept = rows.select([0, 1, 2]).take(pa.array(order[heads]))
+        copies, low = np.diff(np.append(heads, len(order))), np.minimum.reduceat(doc[order], heads)
+        return pa.RecordBatch.from_arrays([*kept.columns, pa.array(copies), pa.array(low)], ["digest", "name", "content", "copies", "low"])
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= most:
+            yield merge(held)
+            held, n = [], 0
+    if held:
+        yield merge(held)
+
+
 def by_shard(found: DataFrame, solve: Callable, schema: str) -> DataFrame:
     """``solve`` on the distinct contents of whole names, some MB at a time.
 
     ``solve(contents, counts, lows)`` yields columns for the rows of a chunk: places in the chunk and values.
     """
-    distinct = found.groupBy("digest", "name").agg(
-        F.first("content", ignorenulls=True).alias("content"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low")
+    # dealt by name alone, so that one exchange serves the aggregation and the shards; copies are merged before it
+    merged = found.select("digest", "name", "content", "doc_id").mapInArrow(_merge_copies, "digest binary, name bigint, content binary, copies bigint, low bigint")
+    distinct = merged.repartition("name").groupBy("digest", "name").agg(
+        F.first("content", ignorenulls=True).alias("content"), F.sum("copies").alias("copies"), F.min("low").alias("low")
     )
-    ordered = distinct.repartition("name").sortWithinPartitions("name")
+    ordered = distinct.sortWithinPartitions("name")
 
     def run(batches):
         digests, bodies, copies, lows, size, last = [], [], [], [], 0, None

@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
-from evalloom.llm import minhash
+from evalloom.llm import anchors, minhash
 from evalloom.llm.piece_sampling import Pieces, Sampler
 
 
@@ -59,3 +60,24 @@ def test_forgotten_units_give_the_same_ids():
         ids, _ = small.sample(np.array([i]), [text])
         assert ids.tolist() == whole[bounds[i] : bounds[i + 1]].tolist()
     assert len(small.known) == small.uses.n == small.length.n <= 40 + 60
+
+
+def test_shards_are_dealt_once_and_copies_merged_before(spark):
+    """Contents travel once: one exchange, before which copies are one row with their count."""
+    rows = [(bytes([i % 7]) * 16, i % 3, bytes([i % 7]) if i < 100 else None, i) for i in range(1000)]
+    found = spark.createDataFrame(rows, "digest binary, name bigint, content binary, doc_id bigint").coalesce(1)
+    want = {}
+    for digest, name, content, doc in rows:
+        n, low = want.get((digest, name), (0, doc))
+        want[digest, name] = (n + 1, min(low, doc))
+
+    def solve(bodies, copies, lows):
+        return range(len(bodies)), pa.array(bodies, pa.binary()), pa.array(copies), pa.array(lows)
+
+    shards = anchors.by_shard(found, solve, "digest binary, content binary, copies bigint, low bigint")
+    assert shards._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    got = shards.collect()
+    assert all(r.content == r.digest[:1] for r in got)
+    assert sorted((bytes(r.digest), r.copies, r.low) for r in got) == sorted((d, *v) for (d, _), v in want.items())
+    merged = pa.Table.from_batches(anchors._merge_copies([pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], ["digest", "name", "content", "doc_id"])]))
+    assert merged.num_rows == 21
