@@ -136,7 +136,7 @@ def repeated_windows(docs: DataFrame, size: int = 13) -> DataFrame:
             return np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
         return np.where(fits, words.starts[np.minimum(a, len(words.starts) - 1)], 0), np.where(fits, words.ends[np.maximum(b - 1, 0)], 0)
 
-    found = cut_lineage(contents(texts, held, slices), "contents")
+    found = cut_lineage(contents(texts, held, slices).drop("n"), "contents", "zstd")
     drop_written(docs.sparkSession, held)
 
     def solve(bodies, copies, lows):
