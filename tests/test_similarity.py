@@ -167,3 +167,32 @@ def test_a_large_memory_is_joined_and_equals_brute_force(spark):
     for d, t in docs:
         best = sorted((-round(jac(set(t.split()), set(m.split())), 6), str(i), i) for i, m in known)[:3]
         assert [got[(d, n)] for n in range(1, 4)] == [(i, -s) for s, _, i in best]
+
+
+def test_neighbors_of_a_small_memory_stay_in_their_task(spark):
+    """No join and no shuffle of candidates; the same rows as the joined form and as brute force, whatever the block of scores."""
+    data, known = rows(30, 2), rows(40, 3)
+    asked = spark.createDataFrame(data, SCHEMA)
+    memory = spark.createDataFrame(known, SCHEMA).withColumnRenamed("id", "memory_id")
+    for k in (1, 4, 60):
+        small = S.semantic_neighbors(asked, memory, k)
+        plan = small._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Window" not in plan
+        if k < 60:
+            joined = S.semantic_neighbors(asked, memory, k, small_rows=0)
+            assert small.schema == joined.schema
+            assert sorted(map(tuple, small.collect())) == sorted(map(tuple, joined.collect()))
+        else:
+            assert small.count() == len(data) * len(known)
+    blocks = S._neighbors_in_tasks(S.with_tokens(asked), S.with_tokens(memory), 4, "id", "memory_id", cells=100)
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, S.semantic_neighbors(asked, memory, 4).collect()))
+
+
+def test_neighbors_with_missing_sets_come_last(spark):
+    asked = spark.createDataFrame([(1, "f", "a", "r", "m", 1, ["e"], [None], "ring"), (2, "f", "a", "r", "m", 1, None, ["p"], "ring")], SCHEMA)
+    known = [(10, "g", "a", "r", "m", 1, ["e"], [None], "ring"), (11, "f", "a", "r", "m", 1, None, ["p"], "ring"), (9, None, "b", "s", "n", 2, [], [], None)]
+    memory = spark.createDataFrame(known, SCHEMA).withColumnRenamed("id", "memory_id")
+    got = [tuple(r) for r in S.semantic_neighbors(asked, memory, 3).collect()]
+    assert got == [(1, 1, 10, 0.85), (1, 2, 11, None), (1, 3, 9, None), (2, 1, 10, None), (2, 2, 11, None), (2, 3, 9, None)]
+    none = memory.filter("memory_id < 0")
+    assert S.semantic_neighbors(asked, none, 3).count() == 0
