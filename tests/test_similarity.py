@@ -196,3 +196,15 @@ def test_neighbors_with_missing_sets_come_last(spark):
     assert got == [(1, 1, 10, 0.85), (1, 2, 11, None), (1, 3, 9, None), (2, 1, 10, None), (2, 2, 11, None), (2, 3, 9, None)]
     none = memory.filter("memory_id < 0")
     assert S.semantic_neighbors(asked, none, 3).count() == 0
+
+
+def test_clones_build_no_table_at_the_driver(spark):
+    """The marks of all rows meet another table by merge: a digest for each row must not be gathered."""
+    data = spark.createDataFrame(rows(), SCHEMA)
+    marked = data.select("id").join(S.clones(data), "id")
+    assert "Broadcast" not in marked._jdf.queryExecution().executedPlan().toString()
+    seen = {}
+    for r in rows():
+        seen.setdefault(repr((r[1:6], sorted(r[6]), sorted(r[7]), sorted(tokens(r[8])))), []).append(r[0])
+    want = {i: len(ids) > 1 for ids in seen.values() for i in ids}
+    assert {r.id: r.clone for r in marked.collect()} == want and set(want.values()) == {True, False}
