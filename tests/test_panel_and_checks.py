@@ -188,3 +188,13 @@ def test_feedback_cost_does_not_depend_on_the_order_of_rows(spark):
     got = {r.evaluator: r for r in P.feedback_reconcile(costs.unionByName(odd), state, "evaluator").collect()}
     assert (got["m0"].cost_usd, got["m0"].bootstrap_cost_usd, got["m0"].passed) == (80000200.0, 100.0, True)
     assert got["m1"].cost_usd != got["m1"].cost_usd  # a cost that is no number stays visible
+
+
+def test_shared_fields_reduces_keys_before_they_meet(spark):
+    raw = spark.range(50).selectExpr("""'{"a": 1, "b": ' || id || ', "z": 0}' AS raw""")
+    shared = R.shared_fields(raw, "raw", ["a", "c", "b", "a"])
+    lines = shared._jdf.queryExecution().executedPlan().toString().splitlines()
+    join = next(i for i, line in enumerate(lines) if "Join" in line)
+    generate = next(i for i, line in enumerate(lines) if "Generate explode(" in line)
+    assert any("HashAggregate" in line for line in lines[join:generate])
+    assert sorted(r.field for r in shared.collect()) == ["a", "b"]
