@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalloom.functions.geometry import angle_bucket
 from evalloom.plans.scan import neighbour, percentiles
-from evalloom.session import cut_lineage
+from evalloom.session import broadcast_if_small, cut_lineage
 
 # ---------------------------------------------------------------------------
 # grids: one row per scene, the g x g cells as an array
@@ -436,27 +439,30 @@ def common_circle_score(fits: DataFrame, scene: str) -> DataFrame:
 def min_pairwise_gap(shapes: DataFrame, scene: str, ident: str, *, small: int = 32) -> DataFrame:
     """Smallest centre distance minus both radii per scene.
 
-    A scene of at most ``small`` shapes compares its few pairs.  In a larger one
+    A scene of at most ``small`` shapes compares its few pairs, all scenes of an
+    Arrow batch together.  In a larger one
     any two shapes give an upper bound, and neighbours in x order inside a coarse
     strip give a good one; the closest pair lies within that bound plus twice the
     largest radius, so shapes only meet those of the cells of that size around
     them.
     """
-    n = shapes.groupBy(scene).agg(F.count(F.lit(1)).alias("shapes"), F.max("r").alias("rmax"))
-    sized = shapes.select(scene, ident, "x", "y", "r").join(n, scene)
+    kind = shapes.schema[scene].dataType.simpleString()
+    place = [F.col(c).cast("double").alias(c) for c in "xyr"]
+    ordered = shapes.select(F.col(scene).alias("scene"), F.col(ident).alias("i"), *place).repartition("scene").sortWithinPartitions("scene")
+    sizes = ordered.mapInArrow(partial(_gap_batches, small=small), f"scene {kind}, shapes bigint, gap double").withColumnRenamed("scene", scene)
+    sizes = cut_lineage(sizes, "scenes")
+    large = F.col("shapes") > small
 
-    few = sized.filter(F.col("shapes") <= small)
     gap = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")) - F.col("ar") - F.col("br")
     a_side = lambda df, *more: df.select(scene, F.col(ident).alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("r").alias("ar"), *more)
     b_side = lambda df, *more: df.select(scene, F.col(ident).alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("r").alias("br"), *more)
-    near_few = a_side(few).join(b_side(few), scene).filter("a < b").groupBy(scene).agg(F.min(gap).alias("gap"))
-
-    many = sized.filter(F.col("shapes") > small)
+    # few scenes are large, so their rows are found without dealing out all others
+    many = shapes.select(scene, ident, "x", "y", "r").join(broadcast_if_small(sizes.filter(large).select(scene)), scene)
     chain = neighbour(many, [scene], ["x", "y", ident], F.floor(F.col("x")), ["x", "y", "r", ident])
     step = F.hypot(F.col("x") - F.col("prev_x"), F.col("y") - F.col("prev_y")) - F.col("r") - F.col("prev_r")
     # the order may repeat an id; only pairs of different ids count
     different = F.col(f"prev_{ident}") != F.col(ident)
-    bound = chain.groupBy(scene).agg(F.min(F.when(different, step)).alias("bound"))
+    bound = chain.groupBy(scene).agg(F.min(F.when(different, step)).alias("bound"), F.max("r").alias("rmax"))
     reach = F.greatest(F.col("bound") + 2 * F.col("rmax"), F.lit(1e-6))
     placed = (
         many.join(bound, scene).filter("bound IS NOT NULL").withColumn("cell", reach)
@@ -468,7 +474,8 @@ def min_pairwise_gap(shapes: DataFrame, scene: str, ident: str, *, small: int =
         a_side(placed, F.inline(ahead)).join(b_side(placed, "gx", "gy"), [scene, "gx", "gy"]).filter("a <> b")
         .groupBy(scene).agg(F.min(gap).alias("gap"))
     )
-    return n.select(scene, "shapes").join(near_few.unionByName(near_many), scene, "left")
+    found = sizes.filter(large).select(scene, "shapes").join(near_many, scene, "left")
+    return sizes.filter(~large).unionByName(found)
 
 
 def _match_scene(fits: list, truths: list) -> tuple[int, float | None, float | None]:
@@ -486,22 +493,117 @@ def _match_scene(fits: list, truths: list) -> tuple[int, float | None, float | N
     return matched, worst_c, worst_r
 
 
-def _match_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    # rows arrive scene by scene, fits before true shapes, so one scene is held at a time
-    scene, fits, truths = None, [], []
-    columns = ["scene", "matched", "max_centre_error", "max_radius_error"]
+def _in_scene_order(rows: pa.Table, order: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, list[pa.Array]]:
+    """Scenes of rows that lie scene by scene, where each begins and ends, and the columns of ``order`` sorted by them within each scene.
+
+    Missing values come first, as in Spark.
+    """
+    scenes = rows.column("scene").combine_chunks()
+    codes = _codes(scenes)
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+    ends = np.append(first[1:], len(codes))
+    columns = [rows.column(c).combine_chunks() for c in order]
+    keys = [np.repeat(np.arange(len(first)), ends - first)]
+    for column in columns:
+        ranked = column if pa.types.is_floating(column.type) or pa.types.is_integer(column.type) else pc.rank(column, tiebreaker="min", null_placement="at_start")
+        keys += [] if not column.null_count else [column.is_valid().to_numpy(zero_copy_only=False)]
+        keys.append(ranked.fill_null(0).to_numpy(zero_copy_only=False))
+    at = pa.array(np.lexsort(keys[::-1]))
+    return scenes.take(pa.array(first)), first, ends, [c.take(at) for c in columns]
+
+
+def _places(x: pa.Array, y: pa.Array, r: pa.Array) -> np.ndarray:
+    return np.stack([c.to_numpy(zero_copy_only=False) for c in (x, y, r)], axis=1)
+
+
+def _match_scenes(rows: pa.Table, small: int) -> pa.RecordBatch:
+    """``_match_scene`` for whole scenes in a row: those of at most ``small`` fits take their turns together."""
+    scenes, first, ends, (side, _, *xyr) = _in_scene_order(rows, ["side", "i", "x", "y", "r"])
+    shapes = _places(*xyr)
+    true_at = first + np.add.reduceat(side.to_numpy() == 0, first)
+    n_fits = true_at - first
+    matched = np.minimum(n_fits, ends - true_at)
+    worst = np.zeros((len(first), 2))
+    for at in np.flatnonzero(n_fits > small):
+        found = _match_scene(shapes[first[at] : true_at[at]], shapes[true_at[at] : ends[at]])
+        worst[at] = [value or 0.0 for value in found[1:]]
+    few = np.flatnonzero((n_fits <= small) & (matched > 0))
+    place = np.arange(n_fits[few].max(initial=0))
+    open_ = place < n_fits[few, None]
+    free = shapes[np.where(open_, first[few, None] + place, 0)]
+    for turn in range(matched[few].max(initial=0)):
+        going = np.flatnonzero(matched[few] > turn)
+        shape = shapes[true_at[few[going]] + turn]
+        gaps = np.where(open_[going], np.hypot(free[going, :, 0] - shape[:, None, 0], free[going, :, 1] - shape[:, None, 1]), np.inf)
+        best = gaps.argmin(axis=1)
+        open_[going, best] = False
+        errors = np.stack([gaps[np.arange(len(going)), best], np.abs(free[going, best, 2] - shape[:, 2])], axis=1)
+        held = worst[few[going]]
+        worst[few[going]] = np.where(errors > held, errors, held)
+    errors = [pa.array(worst[:, c], mask=matched == 0) for c in (0, 1)]
+    return pa.RecordBatch.from_arrays([scenes, pa.array(matched), *errors], ["scene", "matched", "max_centre_error", "max_radius_error"])
+
+
+def _gaps(rows: pa.Table, left_out: int, small: int) -> pa.RecordBatch:
+    """Shapes and smallest gap of whole scenes in a row; a scene of more than ``small`` shapes is only counted, the last one with ``left_out`` more rows."""
+    scenes, first, ends, (ident, *xyr) = _in_scene_order(rows, ["i", "x", "y", "r"])
+    shapes, i = _places(*xyr), _codes(ident)
+    known = np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in (ident, *xyr)])
+    until = np.repeat(np.where(ends - first <= small, ends, first), ends - first)
+    scene = np.repeat(np.arange(len(first)), ends - first)
+    gap, found = np.full(len(first), np.nan), np.zeros(len(first), dtype=bool)
+    for far in range(1, min(small, int((ends - first).max()))):
+        a = np.flatnonzero(np.arange(len(i)) + far < until)
+        a = a[known[a] & known[a + far] & (i[a] != i[a + far])]
+        b = a + far
+        np.fmin.at(gap, scene[a], np.hypot(shapes[a, 0] - shapes[b, 0], shapes[a, 1] - shapes[b, 1]) - shapes[a, 2] - shapes[b, 2])
+        found[scene[a]] = True
+    size = ends - first
+    size[-1] += left_out
+    return pa.RecordBatch.from_arrays([scenes, pa.array(size), pa.array(gap, mask=~found)], ["scene", "shapes", "gap"])
+
+
+def _codes(values: pa.Array) -> np.ndarray:
+    """Numbers that are equal where the values are; missing ones equal each other."""
+    return values.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+
+
+def _whole_scenes(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[pa.Table, int]]:
+    """Tables of whole scenes from rows that lie scene by scene; only the last scene of a batch may go on in the next.
+
+    Of a scene with more than ``most`` rows the later batches are counted only; their rows come as the second value.
+    """
+    held: list[pa.RecordBatch] = []
+    left_out = 0
     for batch in batches:
-        done = []
-        rows = zip(*(batch[c].to_numpy() for c in ("scene", "side", "x", "y", "r")), strict=True)
-        for s, side, x, y, r in rows:
-            if s != scene:
-                if scene is not None:
-                    done.append((scene, *_match_scene(fits, truths)))
-                scene, fits, truths = s, [], []
-            (truths if side else fits).append((x, y, r))
-        yield pd.DataFrame(done, columns=columns)
-    if scene is not None:
-        yield pd.DataFrame([(scene, *_match_scene(fits, truths))], columns=columns)
+        if not batch.num_rows:
+            continue
+        last_of = [held[-1].column("scene").slice(held[-1].num_rows - 1)] if held else []
+        codes = _codes(pa.concat_arrays([*last_of, batch.column("scene")]))
+        begins = np.flatnonzero(codes[1:] != codes[:-1]) + 1 - len(last_of)
+        if left_out and len(begins):  # the counted scene ends here
+            left_out += int(begins[0])
+            yield pa.Table.from_batches(held), left_out
+            held, left_out, batch, begins = [], 0, batch.slice(begins[0]), begins[1:] - begins[0]
+        if len(begins):
+            yield pa.Table.from_batches([*held, batch.slice(0, begins[-1])]), 0
+            held, batch = [], batch.slice(begins[-1])
+        if most is None or sum(b.num_rows for b in held) <= most:
+            held.append(batch)
+        else:
+            left_out += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held), left_out
+
+
+def _match_batches(batches: Iterator[pa.RecordBatch], small: int = 32) -> Iterator[pa.RecordBatch]:
+    for rows, _ in _whole_scenes(batches):
+        yield _match_scenes(rows, small)
+
+
+def _gap_batches(batches: Iterator[pa.RecordBatch], small: int) -> Iterator[pa.RecordBatch]:
+    for rows, left_out in _whole_scenes(batches, small):
+        yield _gaps(rows, left_out, small)
 
 
 def greedy_match(truth: DataFrame, found: DataFrame, scene: str) -> DataFrame:
@@ -510,8 +612,10 @@ def greedy_match(truth: DataFrame, found: DataFrame, scene: str) -> DataFrame:
     The choice is serial by definition and a scene is one picture.  Both sides
     are streamed in scene order, many scenes to a task, one scene in memory.
     """
-    fits = found.select(F.col(scene).alias("scene"), F.lit(0).alias("side"), F.lit(0).cast("bigint").alias("i"), "x", "y", "r")
-    shapes = truth.select(F.col(scene).alias("scene"), F.lit(1).alias("side"), F.col("i").cast("bigint").alias("i"), "x", "y", "r")
-    ordered = fits.unionByName(shapes).repartition("scene").sortWithinPartitions("scene", "side", "i", "x", "y", "r")
+    place = [F.col(c).cast("double").alias(c) for c in "xyr"]
+    key = F.col(scene).cast("bigint").alias("scene")
+    fits = found.select(key, F.lit(0).alias("side"), F.lit(0).cast("bigint").alias("i"), *place)
+    shapes = truth.select(key, F.lit(1).alias("side"), F.col("i").cast("bigint").alias("i"), *place)
+    ordered = fits.unionByName(shapes).repartition("scene").sortWithinPartitions("scene")
     schema = "scene bigint, matched bigint, max_centre_error double, max_radius_error double"
-    return ordered.mapInPandas(_match_batches, schema).withColumnRenamed("scene", scene)
+    return ordered.mapInArrow(_match_batches, schema).withColumnRenamed("scene", scene)

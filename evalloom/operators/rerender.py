@@ -77,15 +77,20 @@ def corruption_coverage(rows: DataFrame, group: str, ident: str, hooks: Hooks, k
 
 def verify_shapes(truth: DataFrame, found: DataFrame, errors: DataFrame, gaps: DataFrame, scene: str, *, canvas: float, tolerances: dict[str, float]) -> DataFrame:
     """Rule table per scene: count, radius area, border, centre and radius errors, gap."""
-    t = truth.groupBy(scene).agg(F.count(F.lit(1)).alias("expected"))
     border = (F.col("x") - F.col("r") < 0) | (F.col("y") - F.col("r") < 0) | (F.col("x") + F.col("r") > canvas) | (F.col("y") + F.col("r") > canvas)
     pi = 3.141592653589793
     area_gap = F.abs(F.col("area") - pi * F.col("r") * F.col("r"))
     area_tol = tolerances["area_fraction"] * pi * F.col("r") * F.col("r") + tolerances["area_edge"] * 2 * pi * F.col("r")
-    f = found.groupBy(scene).agg(
-        F.count(F.lit(1)).alias("found"), F.count_if(border).alias("at_border"), F.count_if(area_gap > area_tol).alias("bad_area")
+    # both sides are counted in one aggregation; a side without a row counts as missing
+    no = F.lit(False)
+    sides = truth.select(scene, F.lit(True).alias("true"), no.alias("at_border"), no.alias("bad_area")).unionByName(
+        found.select(scene, no.alias("true"), border.alias("at_border"), (area_gap > area_tol).alias("bad_area"))
     )
-    joined = t.join(f, scene, "full_outer").join(errors, scene, "left").join(gaps, scene, "left")
+    counts = sides.groupBy(scene).agg(
+        F.nullif(F.count_if("true"), F.lit(0)).alias("expected"), F.nullif(F.count_if(~F.col("true")), F.lit(0)).alias("found"),
+        F.count_if("at_border").alias("at_border"), F.count_if("bad_area").alias("bad_area"),
+    )
+    joined = counts.join(errors, scene, "left").join(gaps, scene, "left")
     rules = F.array_compact(
         F.array(
             F.when(~F.col("expected").eqNullSafe(F.col("found")), "count"),

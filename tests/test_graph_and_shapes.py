@@ -1,8 +1,10 @@
 """Graphs with cycles, shapes against brute force."""
 
 import itertools
+import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from evalloom.operators import geometry as G
@@ -110,3 +112,43 @@ def test_chains_build_no_table_at_the_driver(spark, monkeypatch):
     got = N.follow_chain(spark.range(40).selectExpr("id AS src", "id + 1 AS dst"))
     assert {r.hops for r in got.collect()} == set(range(1, 41))
     assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
+def _scene_rows(seed=3, n_scenes=60):
+    rng = np.random.default_rng(seed)
+    sizes = {s: tuple(int(x) for x in rng.integers(0, 8, 2)) for s in range(n_scenes)} | {50: (90, 70), 51: (40, 45)}
+    place = lambda: [None if rng.random() < 0.03 else float(x) for x in rng.integers(0, 6, 3)]
+    return [(s, side, i if side else 0, *place()) for s, both in sizes.items() for side, n in enumerate(both) for i in range(n)]
+
+
+def _in_batches(rows, names, kinds, size):
+    shape = pa.schema(list(zip(names, kinds)))
+    return [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[at : at + size]], schema=shape) for at in range(0, len(rows), size)]
+
+
+@pytest.mark.parametrize("size", [1, 7, 100, 10_000])
+def test_scenes_are_matched_together_as_one_by_one(size):
+    """Scenes that go on over batches, few and many fits, missing places; rows of a scene in any order."""
+    rows = _scene_rows()
+    known = lambda r: tuple(math.nan if x is None else x for x in r[3:])
+    order = lambda r: (r[2], *[(x is not None, x or 0) for x in r[3:]])
+    want = {s: G._match_scene(*[[known(r) for r in sorted((r for r in rows if r[:2] == (s, side)), key=order)] for side in (0, 1)]) for s in {r[0] for r in rows}}
+    mixed = sorted(rows, key=lambda r: (r[0], hash(r[1:])))
+    kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.float64()] * 3]
+    for small in (32, 3):
+        out = G._match_batches(iter(_in_batches(mixed, ["scene", "side", "i", *"xyr"], kinds, size)), small)
+        got = [tuple(row.values()) for batch in out for row in batch.to_pylist()]
+        assert len(got) == len(want) and {g[0]: g[1:] for g in got} == want
+
+
+@pytest.mark.parametrize("size", [1, 7, 100, 10_000])
+def test_gaps_of_small_scenes_in_batches(size):
+    """Scenes above the bound are counted only, whatever batches they go on over."""
+    rows = [(s, i // 2, *place) for s, _, i, *place in _scene_rows()]  # ids that repeat
+    out = G._gap_batches(iter(_in_batches(rows, ["scene", "i", *"xyr"], [pa.int64(), pa.int64(), *[pa.float64()] * 3], size)), 32)
+    got = {row["scene"]: (row["shapes"], row["gap"]) for batch in out for row in batch.to_pylist()}
+    for s in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == s]
+        gaps = [math.hypot(a[2] - b[2], a[3] - b[3]) - a[4] - b[4] for a, b in itertools.combinations(mine, 2) if a[1] != b[1] and None not in (*a, *b)]
+        assert got[s][0] == len(mine)
+        assert got[s][1] == (pytest.approx(min(gaps)) if gaps and len(mine) <= 32 else None)
