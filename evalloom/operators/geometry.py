@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -65,8 +65,18 @@ def _stack(values: pd.Series) -> np.ndarray:
     return grid.reshape(len(values), side, side)
 
 
+def _in_slices(kernel: Callable, *columns: pd.Series, rows: int = 512):
+    """A kernel over a few rows at a time, so its working memory does not follow the size of an Arrow batch."""
+    parts = [kernel(*[c.iloc[at : at + rows] for c in columns]) for at in range(0, max(1, len(columns[0])), rows)]
+    return pd.concat(parts, ignore_index=True)
+
+
 @F.pandas_udf(_GEOMETRY)
 def _support_geometry(cells: pd.Series) -> pd.DataFrame:
+    return _in_slices(_geometry_of_masks, cells)
+
+
+def _geometry_of_masks(cells: pd.Series) -> pd.DataFrame:
     mask = _stack(cells) > 0
     n, g, _ = mask.shape
     flat = mask.reshape(n, -1)
@@ -117,6 +127,10 @@ def support_geometry(grids: DataFrame, mask: str) -> DataFrame:
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _centre(values: pd.Series, cells: pd.Series) -> pd.Series:
+    return _in_slices(_centred, values, cells)
+
+
+def _centred(values: pd.Series, cells: pd.Series) -> pd.Series:
     data, mask = _stack(values), _stack(cells) > 0
     n, g, _ = mask.shape
     out = np.zeros_like(data)
@@ -176,7 +190,12 @@ SHAPE_ORDER = ("compact", "pathlike", "multipart")
 def scene_profiles(grids: DataFrame) -> DataFrame:
     """Geometry, descriptor and centred maps per scene."""
     masked = grids.withColumn("mask", support(F.col("impact"), F.col("error")))
-    measured = support_geometry(masked, "mask")
+    # asked for together, so one Python worker for each task runs all kernels
+    drawn = masked.select(
+        "*", _support_geometry(F.col("mask")).alias("__g"), _centre(F.col("mask"), F.col("mask")).alias("impact_map"),
+        _centre(F.col("error"), F.col("mask")).alias("error_map"),
+    )
+    measured = drawn.select(*masked.columns, "__g.*", "impact_map", "error_map")
     parts, stretch = normalised_geometry(F.col("components"), F.col("elongation"))
     measured = measured.withColumn("parts", parts).withColumn("stretch", stretch)
     # the thresholds look at what the normalised values say, as the aggregate does
@@ -184,8 +203,7 @@ def scene_profiles(grids: DataFrame) -> DataFrame:
     stretched = F.pow(F.lit(2.0), F.col("stretch") * F.lit(math.log2(20.0)))
     scale, shape = descriptor_robust(F.col("span"), rounded_parts, stretched, F.col("fill"))
     active = F.col("fraction") > 0
-    described = measured.withColumn("scale", F.when(active, scale)).withColumn("shape", F.when(active, shape))
-    return centre_grid(centre_grid(described, "mask", "mask", "impact_map"), "error", "mask", "error_map")
+    return measured.withColumn("scale", F.when(active, scale)).withColumn("shape", F.when(active, shape))
 
 
 def robust_profile(scenes: DataFrame, candidate: str) -> DataFrame:

@@ -88,11 +88,14 @@ def _map_images(images: DataFrame, ident: str, kernel: Callable[[np.ndarray], li
     names = [ident, *[c.strip().split()[0] for c in columns.split(",")]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a few pictures at a time: the results of a whole Arrow batch are never held as Python objects
         for batch in batches:
-            rows = [
-                (key, *row) for key, image in zip(batch[ident], batch["image"], strict=True) for row in kernel(to_array(image))
-            ]
-            yield pd.DataFrame(rows, columns=names)
+            for at in range(0, len(batch), 256):
+                some = batch.iloc[at : at + 256]
+                rows = [
+                    (key, *row) for key, image in zip(some[ident], some["image"], strict=True) for row in kernel(to_array(image))
+                ]
+                yield pd.DataFrame(rows, columns=names)
 
     kind = images.schema[ident].dataType.simpleString()
     return images.select(ident, "image").mapInPandas(run, f"{ident} {kind}, {columns}")

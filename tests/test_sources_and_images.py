@@ -5,6 +5,7 @@ import json
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
@@ -157,3 +158,30 @@ def test_a_picture_without_an_answer_keeps_its_row(spark, pictures):
 
     rows = I.ablation_impact(images, "scene", scorer, grid=2, overlap=None).collect()
     assert len(rows) == 6 and all(r.decision is None and r.failure == "blank" and r.error == [1.0] * 4 for r in rows)
+
+
+def test_scene_kernels_share_a_worker_and_take_slices(spark):
+    """Memory of Python: one worker for each task runs all kernels of a scene, over few rows at a time whatever the batch."""
+    row = [float(i % 7 == 0) for i in range(64)]
+    grids = spark.createDataFrame([(i, row, row[::-1]) for i in range(3)], "scene bigint, impact array<double>, error array<double>")
+    plan = G.scene_profiles(grids)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    sizes = []
+
+    def count(cells):
+        sizes.append(len(cells))
+        return cells * 2
+
+    assert list(G._in_slices(count, pd.Series(range(1300)))) == [2 * i for i in range(1300)]
+    assert max(sizes) <= 512 and list(G._in_slices(count, pd.Series([], dtype=float))) == []
+
+
+def test_results_of_pictures_come_in_pieces(spark, monkeypatch):
+    held = {}
+    frame = spark.createDataFrame([(0, None)], f"scene bigint, image {I.IMAGE_STRUCT}")
+    monkeypatch.setattr(type(frame), "mapInPandas", lambda self, run, schema: held.setdefault("run", run))
+    I.image_decision(frame, "scene", lambda pixels: str(pixels.shape))
+    image = {"height": 1, "width": 2, "nChannels": 3, "data": bytes(6)}
+    pieces = list(held["run"](iter([pd.DataFrame({"scene": range(700), "image": [image] * 700})])))
+    assert max(map(len, pieces)) <= 256
+    assert pd.concat(pieces)["scene"].tolist() == list(range(700)) and set(pd.concat(pieces)["decision"]) == {"(1, 2, 3)"}
