@@ -1,6 +1,7 @@
 """Similarity joins against brute force, with copies, missing fields and zero overlap."""
 
 import itertools
+import re
 
 import numpy as np
 import pytest
@@ -208,3 +209,31 @@ def test_clones_build_no_table_at_the_driver(spark):
         seen.setdefault(repr((r[1:6], sorted(r[6]), sorted(r[7]), sorted(tokens(r[8])))), []).append(r[0])
     want = {i: len(ids) > 1 for ids in seen.values() for i in ids}
     assert {r.id: r.clone for r in marked.collect()} == want and set(want.values()) == {True, False}
+
+
+def test_sources_are_found_in_the_row_of_a_text(spark):
+    """Neither texts nor hits are dealt out; the same rows as the joined form and as a plain search."""
+    rng = np.random.default_rng(8)
+    vocabulary = ["red", "ring", "bar", "left", "ringed", "the", "axis", "x1"]
+    draw = lambda n: " ".join(rng.choice(vocabulary, n))
+    docs = [(i, draw(int(rng.integers(0, 14))).replace(" ", rng.choice([" ", "-", ". "]))) for i in range(60)] + [(90, None), (91, "")]
+    group = lambda: [draw(int(rng.integers(1, 3))) for _ in range(int(rng.integers(1, 3)))]
+    known = [(i, [group() for _ in range(int(rng.integers(1, 4)))], 0.76, sorted(set(draw(3).split()) - {"the"})) for i in range(25)]
+    known += [(50, [], 0.0, ["bar"]), (51, [["bar"], ["..", ""]], 0.0, ["bar"]), (52, None, 0.0, ["bar"]), (53, [["bar"], None], 0.0, ["bar"]), (54, [[None, "bar"]], 0.0, [])]
+    shape = "src bigint, groups array<array<string>>, floor double, tokens array<string>"
+    frames = spark.createDataFrame(docs, "doc bigint, text string"), spark.createDataFrame(known, shape)
+    found = S.protected_source_match(*frames, ident="doc", name="src")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted(map(tuple, S.protected_source_match(*frames, ident="doc", name="src", max_first_words=0).collect()))
+    assert got == sorted(map(tuple, S.protected_source_match(*frames, ident="doc", name="src", max_phrases=0).collect()))
+    pad = lambda t: " " + " ".join(re.findall("[a-z0-9]+", t.lower())) + " "
+    want = set()
+    for d, t in docs:
+        for s, groups, floor, own in known:
+            hit = t and groups and all(any(p and len(pad(p)) > 2 and pad(p) in pad(t) for p in g or []) for g in groups)
+            if hit and round(0.75 + 0.1 * jac(tokens(pad(t)), set(own)), 6) >= floor:
+                want.add((d, s))
+    assert {r[:2] for r in got} == want and len(want) > 20
+    assert S.protected_source_match(frames[0], frames[1].filter("src < 0"), ident="doc", name="src").count() == 0
