@@ -237,3 +237,26 @@ def test_sources_are_found_in_the_row_of_a_text(spark):
                 want.add((d, s))
     assert {r[:2] for r in got} == want and len(want) > 20
     assert S.protected_source_match(frames[0], frames[1].filter("src < 0"), ident="doc", name="src").count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.68, 0.3])
+def test_pairs_are_compared_once_in_cells_of_any_size(spark, threshold):
+    """A key of many rows is dealt in cells; no pair is met twice or lost, and best scores need no table of edges."""
+    data = rows(90, 4) + [(200, "f1", "a1", "r1", "m1", 1, [None], ["p1"], "ring bar"), (201, "f1", "a1", "r1", None, 1, [None], ["p1"], "ring axis"), (202, "f1", "a1", "r1", "m1", 1, None, ["p1"], "ring bar")]
+    frame = spark.createDataFrame(data, SCHEMA)
+    full = S.profiles(S.with_tokens(frame)).cache()
+    names = {r.rep for r in full.collect()}
+    held = [r for r in data if r[0] in names and r[6] is not None]
+    want = {(a[0], b[0]): score(a, b) for a, b in itertools.combinations(held, 2) if score(a, b) >= threshold}
+    best = {}
+    for a, b in itertools.permutations([r for r in data if r[6] is not None], 2):
+        if score(a, b) >= threshold:
+            best[a[0]] = max(best.get(a[0], 0), score(a, b))
+    for cell, cells in ((4096, 1 << 18), (3, 40)):
+        met = [(r.l_rep, r.r_rep) for r in S.edge_candidates(full, threshold, cell=cell, cells=cells).collect()]
+        assert len(met) == len(set(met)) and want.keys() <= set(met)
+        found = S.edge_candidates(full, threshold, threshold - 1e-6, cell=cell, cells=cells).collect()
+        assert {(r.l_rep, r.r_rep): round(r.raw, 6) for r in found if round(r.raw, 6) >= threshold} == pytest.approx(want)
+        told = S.sibling_scores(frame, threshold, cell=cell, cells=cells)
+        assert {r.id: r.top_score for r in told.collect()} == pytest.approx(best)
+        assert "Broadcast" not in told._jdf.queryExecution().executedPlan().toString()
