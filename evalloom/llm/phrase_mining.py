@@ -4,16 +4,15 @@ Levels follow Apriori: a phrase of k + 1 words is looked at only where both phra
 words in it are frequent.  Which are is told by a bit table of fixed size that every
 task holds (a bit set by chance lets a phrase in, none is lost), and tasks add up what they
 meet, so that only phrases that reach the bound enter a trie.  Candidates of one length
-are dealt by hash to shards of some ``PER_SHARD`` phrases; a shard is a double-array
-trie over (language, word, word, ...) and is broadcast.  numpy advances the states of all
-text positions of a piece of text together, one word a level, counts the accepting
-states with bincount, and the sums over all shards of text are the exact counts.  A
-pass over the texts serves one shard of the trie and, where it is the first, also
-collects the phrases that are a word longer.
-
-Bounds hold at every size: bit table ``BITS``, phrases of one trie ``PER_SHARD``, and
+are dealt by hash to shards of at most some ``PER_SHARD`` phrases; a shard is a double-array
+trie over (language, word, word, ...), made in the task that counts by it.  One pass over the texts
+adds up, in each task, the phrases that another bit table says may be candidates and
+sends them to their shard, where numpy advances the states of all of them together, one word
+a level, and adds their counts at the accepting states.
+
+Bounds hold at every size: bit tables ``BITS``, phrases of one trie ``PER_SHARD``, and
 ``HELD`` different phrases that a task holds before it hands them on.  More frequent phrases
-mean more passes, not larger tables.  Words are equal when their 64-bit hashes are.
+mean more shards, neither more passes over the texts nor larger tables, and no trie travels.  Words are equal when their 64-bit hashes are.
 
 Cases: a null text is empty, a null language ``und``; repeated rows count each;
 documents of any length are read in pieces at row ends; an empty table gives no rows;
@@ -22,7 +21,6 @@ columns besides ``text`` and ``lang`` are ignored.  Languages are told apart by
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +31,7 @@ from pyspark.sql import functions as F
 from evalloom.llm.common import cut_lineage
 from evalloom.llm.text import LOWER, STEP, Words, mix, pieces, running, span_hash
 
-BITS, PER_SHARD, HELD, CHUNK = 1 << 26, 600_000, 400_000, 1 << 14
+BITS, PER_SHARD, HELD = 1 << 26, 600_000, 400_000
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 PHRASE_WORD = ~BREAK
@@ -311,9 +309,13 @@ class DoubleArray:
         return out
 
 
-def longer(docs: DataFrame, table, depth: int, least: int) -> DataFrame:
-    """Phrases of ``depth`` words, (lh, h1.., seen), both of whose parts are set in the broadcast ``table`` and that are met ``least`` times."""
-    names = ["lh", *[f"h{i + 1}" for i in range(depth)]]
+def _columns(depth: int) -> list[str]:
+    return ["lh", *[f"h{i + 1}" for i in range(depth)]]
+
+
+def met(docs: DataFrame, depth: int, wanted) -> DataFrame:
+    """(lh, h1.., n): phrases of ``depth`` words that ``wanted(lang, words)`` lets in, added up by the tasks that meet them."""
+    names = _columns(depth)
 
     def run(batches):
         tally = Tally(depth + 1)
@@ -331,66 +333,66 @@ def longer(docs: DataFrame, table, depth: int, least: int) -> DataFrame:
                 for k in range(depth - 1):
                     whole &= piece.next[k : k + n]
                 at = np.flatnonzero(whole)
-                at = at[is_set(table.value, phrase_hash(tongue[at], [s[at] for s in shift[:-1]]))]
-                at = at[is_set(table.value, phrase_hash(tongue[at], [s[at] for s in shift[1:]]))]
+                at = at[wanted(tongue[at], [s[at] for s in shift])]
                 tally.add(tongue[at], [s[at] for s in shift])
                 for keys, seen in tally.rows():
-                    yield _rows(keys, seen, [*names, "seen"])
+                    yield _rows(keys, seen, [*names, "n"])
         for keys, seen in tally.rows(True):
-            yield _rows(keys, seen, [*names, "seen"])
+            yield _rows(keys, seen, [*names, "n"])
+
+    return texts(docs).mapInArrow(run, ", ".join(f"{n} bigint" for n in [*names, "n"]))
+
+
+def longer(docs: DataFrame, table, depth: int, least: int) -> DataFrame:
+    """Phrases of ``depth`` words, (lh, h1.., seen), both of whose parts are set in the broadcast ``table`` and that are met ``least`` times."""
+
+    def wanted(lang, words):
+        on = is_set(table.value, phrase_hash(lang, words[:-1]))
+        on[on] = is_set(table.value, phrase_hash(lang[on], [w[on] for w in words[1:]]))
+        return on
+
+    return met(docs, depth, wanted).groupBy(*_columns(depth)).agg(F.sum("n").alias("seen")).filter(F.col("seen") >= least)
 
-    met = texts(docs).mapInArrow(run, ", ".join(f"{n} bigint" for n in [*names, "seen"]))
-    return met.groupBy(*names).agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= least)
 
+def count_phrases(docs: DataFrame, candidates: DataFrame, depth: int, per_shard: int = PER_SHARD, bits: int = BITS) -> DataFrame:
+    """(lh, h1.., f) of the written ``candidates``, by one pass over the texts however many they are.
 
-def count_phrases(docs: DataFrame, candidates: DataFrame, depth: int, per_shard: int = PER_SHARD) -> DataFrame:
-    """(lh, h1.., f) of the written ``candidates``: one pass over the texts for each shard of about ``per_shard`` phrases."""
+    Candidates and the phrases that may be candidates by the bit table go to their shard by hash;
+    its task makes the trie of its candidates, some ``per_shard`` at most, and walks all phrases through it.
+    """
     spark = docs.sparkSession
-    names = ["lh", *[f"h{i + 1}" for i in range(depth)]]
-    shards = max(1, -(-candidates.count() // per_shard))
-    of = F.pmod(F.xxhash64(*names), F.lit(shards))
-    done: DataFrame | None = None
-    for k in range(shards):
-        held = candidates.filter(of == k).select(*names).toArrow()
-        keys = np.stack([c.to_numpy().view(np.uint64) for c in held.columns], axis=1) if held.num_rows else np.zeros((0, depth + 1), np.uint64)
-        trie = spark.sparkContext.broadcast(DoubleArray(keys))
-        told = spark.sparkContext.broadcast(keys.view(np.int64))
-
-        def run(batches, trie=trie):
-            total = np.zeros(trie.value.count, np.int64)
-            for batch in batches:
-                for rows, data, offsets in pieces(batch):
-                    piece = Corpus(rows, data, offsets)
-                    if len(piece.hashes):
-                        got = trie.value.advance(piece.langs, piece.at_lang, piece.hashes, piece.next, depth)
-                        total += np.bincount(got[got >= 0], minlength=len(total))
-            starts = [i for i in range(0, len(total), CHUNK) if total[i : i + CHUNK].any()]
-            yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([zlib.compress(total[i : i + CHUNK].tobytes(), 1) for i in starts], pa.binary())], ["start", "counts"])
-
-        def add(batches, told=told):
-            at, total = None, None
-            for batch in batches:
-                out = []
-                for start, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if start != at:
-                        if total is not None:
-                            out.append((at, total))
-                        at, total = start, 0
-                    total = total + np.frombuffer(zlib.decompress(counts), np.int64)
-                yield from (named(told.value, *x) for x in out)
-            if total is not None:
-                yield named(told.value, at, total)
-
-        def named(keys: np.ndarray, start: int, total: np.ndarray) -> pa.RecordBatch:
-            met = np.flatnonzero(total)
-            return _rows(keys[start + met].T, total[met], [*names, "f"])
-
-        counts = texts(docs).mapInArrow(run, "start bigint, counts binary").repartition("start").sortWithinPartitions("start")
-        summed = cut_lineage(counts.mapInArrow(add, ", ".join(f"{n} bigint" for n in [*names, "f"])), "phrases")
-        trie.destroy()
-        told.destroy()
-        done = summed if done is None else done.unionByName(summed)
-    return done
+    names = _columns(depth)
+    least_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    shards = max(least_shards, -(-candidates.count() // per_shard))
+    table = spark.sparkContext.broadcast(bit_table(candidates, names, bits))
+
+    def run(batches):
+        held, trie, keys, total = [], None, None, None
+        for batch in batches:
+            *phrase, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            phrase = np.stack(phrase, axis=1).view(np.uint64)
+            own = int(np.searchsorted(n, 1))  # candidates come first, with 0
+            if own:
+                held.append(phrase[:own])
+            if own == len(n) or not held:
+                continue
+            if trie is None:
+                keys = np.concatenate(held)
+                trie, total = DoubleArray(keys), np.zeros(len(keys), np.int64)
+            phrase, n = phrase[own:], n[own:]
+            langs, lang = np.unique(phrase[:, 0], return_inverse=True)
+            follows = np.tile(np.arange(depth) < depth - 1, len(phrase))
+            got = trie.advance(langs, np.repeat(lang, depth), phrase[:, 1:].reshape(-1), follows, depth)[::depth]
+            np.add.at(total, got[got >= 0], n[got >= 0])
+        if trie is not None:
+            yield _rows(keys[total > 0].T, total[total > 0], [*names, "f"])
+
+    seen = met(docs, depth, lambda lang, words: is_set(table.value, phrase_hash(lang, words)))
+    both = candidates.select(*names, F.lit(0).cast("bigint").alias("n")).unionByName(seen)
+    counted = both.repartition(shards, *names).sortWithinPartitions("n").mapInArrow(run, ", ".join(f"{n} bigint" for n in [*names, "f"]))
+    counted = cut_lineage(counted, "phrases")
+    table.destroy()
+    return counted
 
 
 def first_rows(rows: DataFrame, key: str, order: list, top: int) -> DataFrame:
@@ -443,11 +445,11 @@ def mine_phrases(docs: DataFrame, least: int = 10, share: int = 50, per_shard: i
     ones = spark.sparkContext.broadcast(bit_table(frequent, ["lh", "h1"], bits))
     two = cut_lineage(longer(docs, ones, 2, least), "pairs")
     ones.destroy()
-    two = count_phrases(docs, two, 2, per_shard).filter(F.col("f") >= least)
+    two = count_phrases(docs, two, 2, per_shard, bits).filter(F.col("f") >= least)
     pairs = spark.sparkContext.broadcast(bit_table(two, ["lh", "h1", "h2"], bits))
     three = cut_lineage(longer(docs, pairs, 3, least), "triples")
     pairs.destroy()
-    three = count_phrases(docs, three, 3, per_shard).filter(F.col("f") >= least)
+    three = count_phrases(docs, three, 3, per_shard, bits).filter(F.col("f") >= least)
 
     scored = cut_lineage(score_phrases(frequent, two, three, share), "scored")
     if top is not None:

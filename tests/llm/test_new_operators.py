@@ -59,6 +59,18 @@ def test_phrases_equal_brute_force(spark, least, share, top, per_shard):
     assert sorted(tuple(r) for r in got.collect()) == brute_phrases(ROWS, least, share, top)
 
 
+def test_more_tries_mean_no_more_passes_over_the_texts(spark, monkeypatch):
+    docs = spark.createDataFrame(ROWS, "text string, lang string")
+    passes, real = [], phrase_mining.texts
+    monkeypatch.setattr(phrase_mining, "texts", lambda of: passes.append(1) or real(of))
+    seen = []
+    for per_shard in (1000, 1):
+        passes.clear()
+        assert phrase_mining.best_phrases(docs, least=2, per_shard=per_shard, bits=1 << 16).count() > 10
+        seen.append(len(passes))
+    assert seen[0] == seen[1]
+
+
 def test_phrases_of_an_empty_table(spark):
     got = phrase_mining.best_phrases(spark.createDataFrame([], "text string, lang string"))
     assert got.count() == 0 and got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
